@@ -94,7 +94,7 @@ def _trip_instants(points: DataFrame, start, end, max_trips: int | None) -> Data
             F.col("longitude").alias("lon"),
             F.col("latitude").alias("lat"),
         )
-    return _newest_trips(build_trips(points).where(in_period("ts", start, end)), max_trips)
+    return _newest_trips(build_trips(points, numbered=False).where(in_period("ts", start, end)), max_trips)
 
 
 def space_time_density(
@@ -148,7 +148,7 @@ def corridors(
 ) -> DataFrame:
     """Cell-to-cell passages used by at least ``min_vessels`` vessels."""
     check_period(start, end)
-    trips = build_trips(points)
+    trips = build_trips(points, numbered=False)
     if max_trips is not None:
         trips = _newest_trips(trips, max_trips)
     g = legs(trips)
@@ -202,7 +202,7 @@ def speed_grid(
 ) -> DataFrame:
     """Mean of per-trip time-weighted speeds, binned by the middle of each trip's end points."""
     check_period(start, end)
-    trips = build_trips(points)
+    trips = build_trips(points, numbered=False)
     if max_trips is not None:
         trips = _newest_trips(trips, max_trips)
     from seawake.functions.geo import hav_m

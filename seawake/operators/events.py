@@ -6,7 +6,7 @@ import datetime as dt
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +14,8 @@ from seawake.functions.geo import hav_m, in_period, seconds_between
 from seawake.operators.trips import ordered_points, segment_points
 from seawake.operators.zones import zone_entries
 from seawake.plans.checkpoints import reliable_checkpoint
-from seawake.plans.joins import sized_broadcast
-from seawake.plans.sliced import chain, time_slice
+from seawake.plans.joins import sized_broadcast, spread
+from seawake.plans.sliced import chain, link_within, number_runs, time_slice
 from seawake.schema import EARTH_M, M_PER_DEGREE, SEGMENT_GAP_S, check_period
 
 
@@ -114,15 +114,14 @@ _STOP_SCHEMA = (
 def _greedy_stops(radius_m: float):
     """Stops of one run, restarting at the first report beyond the radius of the anchor."""
 
-    def stops(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="stable")
-        lon, lat = pdf["lon"].to_numpy(), pdf["lat"].to_numpy()
-        ts = pdf["ts"].to_numpy()
+    def stops(run: pa.Table) -> pa.Table:
+        run = run.sort_by("ts")
+        lon, lat = run["lon"].to_numpy(), run["lat"].to_numpy()
         rlon, rlat = np.radians(lon), np.radians(lat)
-        out, i, n = [], 0, len(pdf)
+        first, last, x, y = [], [], [], []
+        i, n = 0, len(lon)
         while i < n:
-            j, width = n, 64
-            lo = i + 1
+            j, width, lo = n, 64, i + 1
             # look for the first report outside in growing blocks
             while lo < n:
                 hi = min(lo + width, n)
@@ -136,15 +135,28 @@ def _greedy_stops(radius_m: float):
                     break
                 lo, width = hi, width * 2
             if j - i > 1:
-                out.append((pdf["mmsi"].iloc[0], ts[i], ts[j - 1], lon[i:j].mean(), lat[i:j].mean(), j - i))
+                first.append(i)
+                last.append(j - 1)
+                x.append(float(lon[i:j].mean()))
+                y.append(float(lat[i:j].mean()))
             i = j
-        return pd.DataFrame(out, columns=["mmsi", "start_time", "end_time", "lon", "lat", "n_points"])
+        starts, ends = pa.array(first, pa.int64()), pa.array(last, pa.int64())
+        return pa.table(
+            {
+                "mmsi": run["mmsi"].take(starts),
+                "start_time": run["ts"].take(starts),
+                "end_time": run["ts"].take(ends),
+                "lon": pa.array(x, pa.float64()),
+                "lat": pa.array(y, pa.float64()),
+                "n_points": pa.array([b - a + 1 for a, b in zip(first, last)], pa.int64()),
+            }
+        )
 
     return stops
 
 
 def slow_runs(points: DataFrame, speed: float = 1.0, start=None, end=None) -> DataFrame:
-    """Reports at or below ``speed`` knots, numbered by runs without a faster report or a gap."""
+    """Runs of two or more slow reports without a faster one or a gap between, numbered per vessel."""
     p = ordered_points(points, start, end).select(
         "mmsi",
         F.col("base_date_time").alias("ts"),
@@ -153,12 +165,11 @@ def slow_runs(points: DataFrame, speed: float = 1.0, start=None, end=None) -> Da
         F.coalesce("sog", F.lit(0.0)).alias("sog"),
     )
 
-    def breaks(prev: Column, cur: Column) -> Column:
-        gap = F.unix_micros(cur["ts"]) - F.unix_micros(prev["ts"]) > SEGMENT_GAP_S * 1_000_000
-        return gap | (cur["sog"] > speed) | (prev["sog"] > speed)
-
-    runs = chain(p, ["mmsi"], ["ts"], ["ts", "sog", "lon", "lat"], time_slice("ts"), breaks)
-    return runs.where(F.col("sog") <= speed).select("mmsi", F.col("seq_id").alias("run"), "ts", "lon", "lat")
+    p = link_within(p, ["mmsi"], "ts", ["ts", "sog"], SEGMENT_GAP_S).where(F.col("sog") <= speed)
+    opens = ~F.coalesce(F.col("prev.sog") <= speed, F.lit(False))
+    closes = ~F.coalesce(F.col("next.sog") <= speed, F.lit(False))
+    runs = number_runs(p.where(~(opens & closes)), ["mmsi"], ["ts"], opens, "run")
+    return runs.select("mmsi", "run", "ts", "lon", "lat")
 
 
 def abnormal_stops(
@@ -172,8 +183,9 @@ def abnormal_stops(
 ) -> DataFrame:
     """Stays within ``radius_m`` of their first report, greedily one after another.
 
-    Only the radius test is sequential, so runs are cut by windows first.  Runs of more
-    than ``run_rows`` reports never enter a task as a whole: each round finds, by one
+    Only the radius test is sequential, so runs are cut by windows first; runs of
+    one report hold no stop and never reach Python.  Runs of more than
+    ``run_rows`` reports never enter a task as a whole: each round finds, by one
     combining aggregate, the first report outside the radius of the current anchor of
     every long run, closes that stop and goes on with the rest, until what is left
     of the run is short.  The result is the same for any ``run_rows``.
@@ -181,11 +193,14 @@ def abnormal_stops(
     check_period(start, end)
     keys = ["mmsi", "run"]
     runs = slow_runs(points, speed, start, end)
-    sizes = runs.groupBy(*keys).agg(F.count("*").alias("n"))
-    long_runs = sized_broadcast(sizes.where(F.col("n") > run_rows).select(*keys))
+    n_rows = F.count("*").alias("n")
     found: list[DataFrame] = []
     short = runs
-    if not long_runs.isEmpty():
+    # a vessel with few slow reports has no long run: settle that on a cheap count first
+    slow = points.where((F.coalesce("sog", F.lit(0.0)) <= speed) & in_period("base_date_time", start, end))
+    if not slow.groupBy("mmsi").agg(n_rows).where(F.col("n") > run_rows).isEmpty():
+        runs = reliable_checkpoint(runs)
+        long_runs = sized_broadcast(runs.groupBy(*keys).agg(n_rows).where(F.col("n") > run_rows).select(*keys))
         open_runs = reliable_checkpoint(runs.join(long_runs, keys, "left_semi"))
         short = runs.join(long_runs, keys, "left_anti")
         rests: list[DataFrame] = []
@@ -212,7 +227,7 @@ def abnormal_stops(
             open_runs = rest.join(big, keys, "left_semi")
         for r in rests:
             short = short.unionByName(r)
-    stops = short.groupBy(*keys).applyInPandas(_greedy_stops(radius_m), _STOP_SCHEMA)
+    stops = spread(short, keys).groupBy(*keys).applyInArrow(_greedy_stops(radius_m), _STOP_SCHEMA)
     for f in found:
         stops = stops.unionByName(f)
     return (

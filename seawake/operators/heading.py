@@ -6,30 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seawake.functions.geo import bearing_deg, cell_id, in_period, seconds_between, wrap180
-from seawake.operators.trips import build_trips, ordered_points
-from seawake.plans.sliced import chain, time_slice
-from seawake.schema import check_period
+from seawake.operators.trips import ordered_points
+from seawake.plans.sliced import chain, link_within, time_slice
+from seawake.schema import TRIP_GAP_S, check_period
 
 
 def _leg_headings(points: DataFrame, start=None, end=None, mmsi: int | None = None) -> DataFrame:
-    """Azimuth at every instant that starts a moving leg."""
-    t = build_trips(points, by_name=False, mmsi=mmsi).where(in_period("ts", start, end))
-    return (
-        t.withColumn("heading", bearing_deg("lon", "lat", "next.lon", "next.lat"))
-        .where(F.col("heading").isNotNull())
-        .select("mmsi", "ts", "heading", "lon", "lat")
-    )
-
-
-def _course_headings(points: DataFrame, start=None, end=None, mmsi: int | None = None) -> DataFrame:
-    p = ordered_points(points, start, end, mmsi=mmsi).where(F.col("cog").isNotNull())
-    return p.select(
+    """Azimuth at every instant that starts a moving leg; NULL elsewhere."""
+    t = ordered_points(points, mmsi=mmsi).select(
         "mmsi",
         F.col("base_date_time").alias("ts"),
-        F.col("cog").alias("heading"),
         F.col("longitude").alias("lon"),
         F.col("latitude").alias("lat"),
+        "cog",
     )
+    t = link_within(t, ["mmsi"], "ts", ["ts", "lon", "lat"], TRIP_GAP_S).where(in_period("ts", start, end))
+    return t.select("mmsi", "ts", "lon", "lat", "cog", bearing_deg("lon", "lat", "next.lon", "next.lat").alias("azimuth"))
 
 
 def heading_series(points: DataFrame, start=None, end=None, mmsi: int | None = None) -> DataFrame:
@@ -39,11 +31,11 @@ def heading_series(points: DataFrame, start=None, end=None, mmsi: int | None = N
     than two such headings falls back to its reported course.
     """
     check_period(start, end)
-    legs = _leg_headings(points, start, end, mmsi)
-    enough = legs.groupBy("mmsi").count().where("count >= 2")
-    course = _course_headings(points, start, end, mmsi).join(enough, "mmsi", "left_anti")
-    chosen = legs.join(enough.select("mmsi"), "mmsi", "left_semi").unionByName(course)
-    linked = chain(chosen, ["mmsi"], ["ts"], ["ts", "heading"], time_slice("ts"))
+    t = _leg_headings(points, start, end, mmsi)
+    moving = t.groupBy("mmsi").agg((F.count("azimuth") >= 2).alias("_moves"))
+    heading = F.when(F.col("_moves"), F.col("azimuth")).otherwise(F.col("cog"))
+    chosen = t.join(moving, "mmsi").withColumn("heading", heading).where(F.col("heading").isNotNull())
+    linked = chain(chosen.select("mmsi", "ts", "heading", "lon", "lat"), ["mmsi"], ["ts"], ["ts", "heading"], time_slice("ts"))
     diff = wrap180(F.col("heading") - F.col("prev.heading"))
     minutes = seconds_between("prev.ts", "ts") / 60
     return linked.select(
@@ -107,6 +99,8 @@ def heading_grid(
     check_period(start, end)
     g = (
         _leg_headings(points, start, end)
+        .where(F.col("azimuth").isNotNull())
+        .withColumnRenamed("azimuth", "heading")
         .groupBy(cell_id("lon", grid_size).alias("cell_x"), cell_id("lat", grid_size).alias("cell_y"))
         .agg(
             F.avg("heading").alias("avg_heading"),

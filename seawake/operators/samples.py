@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seawake.functions.geo import hav_m, seconds, seconds_between
 from seawake.operators.trips import segment_points
-from seawake.plans.sliced import chain, running_sum, time_slice
+from seawake.plans.joins import spread
+from seawake.plans.sliced import link_within, running_sum, time_slice
 from seawake.sources.sinks import write_samples
 
 # Sampling step and window lengths of the learning data.
@@ -112,32 +113,27 @@ def spline_values(t: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     )
 
 
-def _resample_block(step_s: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        first = pdf.iloc[0]
-        t = pdf["sec"].to_numpy().astype("int64")
-        t0, block, n = int(first["t0"]), int(first["block"]), int(first["n_points"])
-        lo = block * first["block_knots"]
-        hi = lo + first["block_knots"]
-        idx = pdf["idx"].to_numpy()
+def _resample_block(step_s: int, block_knots: int):
+    def run(knots: pa.Table) -> pa.Table:
+        knots = knots.sort_by("idx")
+        one = knots.slice(0, 1).to_pylist()[0]
+        t, idx = knots["sec"].to_numpy(), knots["idx"].to_numpy()
+        t0, n, lo = one["t0"], one["n_points"], one["block"] * block_knots
+        hi = lo + block_knots
         # grid points from the first knot of the block up to the first knot of the next
         begin = int(t[idx == lo][0])
-        end = int(first["t1"]) + step_s if hi >= n else int(t[idx == hi][0])
+        end = one["t1"] + step_s if hi >= n else int(t[idx == hi][0])
         k = np.arange(-(-(begin - t0) // step_s), -(-(end - t0) // step_s))
-        if len(k) == 0:
-            return pd.DataFrame({"mmsi": [], "segment_id": [], "k": [], "ts": [], "lon": [], "lat": []})
-        at = (t0 + k * step_s).astype("float64")
-        base = float(t[0])
-        x = t - base
-        return pd.DataFrame(
+        at = t0 + k * step_s
+        x, u = (t - t[0]).astype("float64"), (at - t[0]).astype("float64")
+        return pa.table(
             {
-                "mmsi": first["mmsi"],
-                "segment_id": first["segment_id"],
-                "k": k,
-                "ts": pd.to_datetime(t0 + k * step_s, unit="s", utc=True),
-                "lon": spline_values(x.astype("float64"), pdf["lon"].to_numpy(), at - base),
-                "lat": spline_values(x.astype("float64"), pdf["lat"].to_numpy(), at - base),
+                "mmsi": pa.array(np.full(len(k), one["mmsi"], "int64")),
+                "segment_id": pa.array(np.full(len(k), one["segment_id"], "int64")),
+                "k": pa.array(k.astype("int64")),
+                "ts": pa.array(at.astype("int64") * 1_000_000, pa.timestamp("us", "UTC")),
+                "lon": pa.array(spline_values(x, knots["lon"].to_numpy(), u)),
+                "lat": pa.array(spline_values(x, knots["lat"].to_numpy(), u)),
             }
         )
 
@@ -166,18 +162,17 @@ def spline_resample(segments: DataFrame, step_s: int = STEP_S, block_knots: int
     last = F.floor((F.col("idx") + HALO_KNOTS) / block_knots)
     top = F.floor((F.col("n_points") - 1) / block_knots)
     blocks = F.sequence(F.greatest(F.least(first, own), F.lit(0)), F.least(F.greatest(last, own), top))
-    s = s.select(
-        *SEGMENT, "idx", "sec", "t0", "t1", "n_points", "lon", "lat",
-        F.lit(block_knots).alias("block_knots"), F.explode(blocks).alias("block"),
-    )
-    return s.groupBy(*SEGMENT, "block").applyInPandas(
-        _resample_block(step_s), "mmsi long, segment_id long, k long, ts timestamp, lon double, lat double"
+    s = s.select(*SEGMENT, "idx", "sec", "t0", "t1", "n_points", "lon", "lat", F.explode(blocks).alias("block"))
+    keys = [*SEGMENT, "block"]
+    return spread(s, keys).groupBy(*keys).applyInArrow(
+        _resample_block(step_s, block_knots), "mmsi long, segment_id long, k long, ts timestamp, lon double, lat double"
     )
 
 
 def filter_resampled(resampled: DataFrame, max_kmh: float = MAX_SPEED_KMH) -> DataFrame:
     """M3: drop segments with any grid step faster than ``max_kmh``."""
-    linked = chain(resampled.select(*SEGMENT, "k", "ts", "lon", "lat"), SEGMENT, ["ts"], ["ts", "lon", "lat"], time_slice("ts"))
+    # all steps have one length: a neighbour is never farther than the longest of them
+    linked = link_within(resampled.select(*SEGMENT, "ts", "lon", "lat"), SEGMENT, "ts", ["ts", "lon", "lat"], STEP_S, slices=480)
     bad = _kmh(linked).where(F.col("kmh") > max_kmh).select(*SEGMENT).distinct()
     return resampled.join(bad, SEGMENT, "left_anti")
 

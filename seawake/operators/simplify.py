@@ -11,13 +11,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seawake.operators.trips import ordered_points
 from seawake.plans.checkpoints import reliable_checkpoint
-from seawake.plans.joins import sized_broadcast
+from seawake.plans.joins import sized_broadcast, spread
 from seawake.schema import M_PER_DEGREE
 
 #: stretches up to this many reports go to one Arrow task
@@ -29,11 +29,11 @@ _SCHEMA = "mmsi long, ts timestamp, lon double, lat double, level double"
 def _levels(floor_deg: float):
     """Levels of the inner reports of one stretch, down to ``floor_deg``."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="stable")
-        x, y = pdf["lon"].to_numpy(), pdf["lat"].to_numpy()
-        level = np.full(len(pdf), -1.0)
-        todo = [(0, len(pdf) - 1, float(pdf["cap"].iloc[0]))]
+    def run(stretch: pa.Table) -> pa.Table:
+        stretch = stretch.sort_by("ts")
+        x, y = stretch["lon"].to_numpy(), stretch["lat"].to_numpy()
+        level = np.full(len(x), -1.0)
+        todo = [(0, len(x) - 1, stretch["cap"][0].as_py())]
         while todo:
             a, b, cap = todo.pop()
             if b - a < 2:
@@ -49,9 +49,8 @@ def _levels(floor_deg: float):
                 m = a + 1 + k
                 level[m] = cap = min(cap, float(d[k]))
                 todo += [(a, m, cap), (m, b, cap)]
-        keep = level >= 0
-        out = pdf.loc[keep, ["mmsi", "ts", "lon", "lat"]]
-        return out.assign(level=level[keep])
+        keep = np.flatnonzero(level >= 0)
+        return stretch.select(["mmsi", "ts", "lon", "lat"]).take(keep).append_column("level", pa.array(level[keep]))
 
     return run
 
@@ -88,11 +87,12 @@ def split_levels(
     )
     keys = ["mmsi", "stretch"]
     todo = pts.withColumn("stretch", F.lit(0).cast("long")).withColumn("cap", F.lit(float("inf")))
-    big = todo.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > stretch_rows).select(*keys)
     small, found = todo, [ends]
-    if not big.isEmpty():
+    # no vessel with that many reports, no long track: settle that on a cheap count first
+    n_rows = F.count("*").alias("n")
+    if not points.groupBy("mmsi").agg(n_rows).where(F.col("n") > stretch_rows).isEmpty():
         todo = reliable_checkpoint(todo)
-        big = sized_broadcast(big)
+        big = sized_broadcast(todo.groupBy(*keys).agg(n_rows).where(F.col("n") > stretch_rows).select(*keys))
         small_parts = [todo.join(big, keys, "left_anti")]
         open_part = todo.join(big, keys, "left_semi")
         while not open_part.isEmpty():
@@ -120,14 +120,14 @@ def split_levels(
             left = halves.where(F.col("ts") <= F.col("cut")).select("mmsi", "ts", "lon", "lat", "stretch", F.col("level").alias("cap"))
             right = halves.where(F.col("ts") >= F.col("cut")).select("mmsi", "ts", "lon", "lat", F.unix_micros("cut").alias("stretch"), F.col("level").alias("cap"))
             todo = reliable_checkpoint(left.unionByName(right))
-            big = todo.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > stretch_rows).select(*keys)
+            big = todo.groupBy(*keys).agg(n_rows).where(F.col("n") > stretch_rows).select(*keys)
             big = sized_broadcast(reliable_checkpoint(big))
             small_parts.append(todo.join(big, keys, "left_anti"))
             open_part = todo.join(big, keys, "left_semi")
         small = small_parts[0]
         for part in small_parts[1:]:
             small = small.unionByName(part)
-    inner = small.groupBy(*keys).applyInPandas(_levels(floor_deg), _SCHEMA)
+    inner = spread(small, keys).groupBy(*keys).applyInArrow(_levels(floor_deg), _SCHEMA)
     for f in found:
         inner = inner.unionByName(f)
     return inner

@@ -6,7 +6,8 @@ Trips stay flat.  ``build_trips`` gives one row per instant
 
 where ``prev``/``next`` are ``struct<ts, lon, lat>`` of the adjacent instants of the same
 sequence (NULL at its ends).  A leg is therefore one row (this instant to ``next``) and
-needs no further join or window.
+needs no further join or window.  ``seq_id`` is the only column that depends on the whole
+history of a vessel; operators that do not need it ask for ``numbered=False``.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seawake.functions.geo import add_seconds, hav_m, in_period, instant, seconds_between
-from seawake.plans.sliced import asof_backward, chain, gap_breaks, running_sum, time_slice
+from seawake.plans.sliced import asof_around, asof_within, chain, link_within, number_runs, running_sum, time_slice
 from seawake.schema import MS_TO_KNOTS, SEGMENT_GAP_S, TRIP_GAP_S, check_mmsi, check_period
 from seawake.sources.sinks import dedupe_points
 
@@ -39,7 +40,11 @@ def _name_key(name: Column) -> Column:
 
 
 def build_trips(
-    points: DataFrame, gap_s: float = TRIP_GAP_S, by_name: bool = True, mmsi: int | None = None
+    points: DataFrame,
+    gap_s: float = TRIP_GAP_S,
+    by_name: bool = True,
+    mmsi: int | None = None,
+    numbered: bool = True,
 ) -> DataFrame:
     """Trips per (mmsi, vessel_name), or per mmsi when ``by_name`` is false.
 
@@ -56,14 +61,18 @@ def build_trips(
         F.col("latitude").alias("lat"),
     )
     keys = ["mmsi", "trip_key"] if by_name else ["mmsi"]
-    t = chain(p, keys, ["ts"], ["ts", "lon", "lat"], time_slice("ts"), gap_breaks("ts", gap_s))
+    t = link_within(p, keys, "ts", ["ts", "lon", "lat"], gap_s)
+    if numbered:
+        t = number_runs(t, keys, ["ts"], F.col("prev").isNull(), "seq_id")
     if by_name:
         t = t.withColumn(
             "vessel_name", F.when(F.col("trip_key") != "", F.expr("substring(trip_key, 2)"))
         )
-    return t.select(
-        "mmsi", "vessel_name", "trip_key", "seq_id", "ts", "lon", "lat", "prev", "next", "slice"
-    )
+    return t.select("mmsi", "vessel_name", "trip_key", *_seq(t), "ts", "lon", "lat", "prev", "next", "slice")
+
+
+def _seq(df: DataFrame) -> list[str]:
+    return ["seq_id"] if "seq_id" in df.columns else []
 
 
 def segment_points(points: DataFrame, gap_s: float = SEGMENT_GAP_S, extra: Sequence[str] = ()) -> DataFrame:
@@ -75,9 +84,8 @@ def segment_points(points: DataFrame, gap_s: float = SEGMENT_GAP_S, extra: Seque
         F.col("latitude").alias("lat"),
         *extra,
     )
-    payload = ["ts", "lon", "lat"]
-    s = chain(p, ["mmsi"], ["ts"], payload, time_slice("ts"), gap_breaks("ts", gap_s))
-    return s.withColumnRenamed("seq_id", "segment_id")
+    s = link_within(p, ["mmsi"], "ts", ["ts", "lon", "lat"], gap_s)
+    return number_runs(s, ["mmsi"], ["ts"], F.col("prev").isNull(), "segment_id")
 
 
 def collect_ordered(df: DataFrame, keys: Sequence[str], slice_col: str, item: Column, name: str) -> DataFrame:
@@ -143,7 +151,7 @@ def legs(trip_points: DataFrame) -> DataFrame:
         "mmsi",
         "vessel_name",
         "trip_key",
-        "seq_id",
+        *_seq(trip_points),
         "ts",
         F.col("next.ts").alias("ts2"),
         "lon",
@@ -200,8 +208,8 @@ def at_period(trip_points: DataFrame, start, end, closed: bool = False) -> DataF
     )
     return (
         trip_points.where((ts <= e) & (F.coalesce(nxt["ts"], ts) >= s))
-        .select("mmsi", "vessel_name", "trip_key", "seq_id", F.explode(pieces).alias("p"))
-        .select("mmsi", "vessel_name", "trip_key", "seq_id", "p.*")
+        .select("mmsi", "vessel_name", "trip_key", *_seq(trip_points), F.explode(pieces).alias("p"))
+        .select("mmsi", "vessel_name", "trip_key", *_seq(trip_points), "p.*")
     )
 
 
@@ -212,7 +220,7 @@ def track_statistics(points: DataFrame, start=None, end=None, mmsi: int | None =
     and the sums combine before the shuffle.
     """
     check_period(start, end)
-    t = build_trips(points, mmsi=mmsi)
+    t = build_trips(points, mmsi=mmsi, numbered=False)
     leg_end = F.coalesce("next.ts", "ts")
     t1, t2 = F.col("ts"), leg_end
     if start is not None:
@@ -243,7 +251,7 @@ def track_statistics(points: DataFrame, start=None, end=None, mmsi: int | None =
 def speed_series(points: DataFrame, start=None, end=None, mmsi: int | None = None) -> DataFrame:
     """Step speed in knots at every instant; the last instant repeats its last leg."""
     check_period(start, end)
-    t = build_trips(points, mmsi=mmsi).where(in_period("ts", start, end))
+    t = build_trips(points, mmsi=mmsi, numbered=False).where(in_period("ts", start, end))
     out = F.col("next"), F.col("prev")
     fwd = hav_m("lon", "lat", out[0]["lon"], out[0]["lat"]) / seconds_between("ts", out[0]["ts"])
     back = hav_m(out[1]["lon"], out[1]["lat"], "lon", "lat") / seconds_between(out[1]["ts"], "ts")
@@ -253,13 +261,14 @@ def speed_series(points: DataFrame, start=None, end=None, mmsi: int | None = Non
     )
 
 
-def value_at(trip_points: DataFrame, queries: DataFrame) -> DataFrame:
+def value_at(trip_points: DataFrame, queries: DataFrame, gap_s: float = TRIP_GAP_S) -> DataFrame:
     """Position at each ``(mmsi, ts)`` query, NULL outside a sequence or in a gap.
 
-    Expects vessel-level trips (``by_name=False``).  Each query finds the last instant
-    at or before it; the leg from there holds the answer.
+    Expects vessel-level trips (``by_name=False``) built with the same ``gap_s``.  Each query finds
+    the last instant at or before it; the leg from there, at most ``gap_s`` long, holds
+    the answer.
     """
-    got = asof_backward(queries, trip_points, ["mmsi"], "ts", "ts", ["ts", "lon", "lat", "next"])
+    got = asof_within(queries, trip_points, ["mmsi"], "ts", "ts", ["ts", "lon", "lat", "next"], gap_s)
     hit = F.col("hit")
     frac = seconds_between(hit["ts"], "ts") / seconds_between(hit["ts"], hit["next"]["ts"])
     exact = hit["ts"] == F.col("ts")
@@ -320,19 +329,18 @@ def resample_frames(points: DataFrame, start, end, step_s: int = 60, mmsi: int |
         "sog",
         "cog",
     )
-    linked = chain(p, ["mmsi"], ["ts"], ["ts", "lon", "lat"], time_slice("ts"))
     s, e = F.unix_micros(instant(start)), F.unix_micros(instant(end))
     step = F.lit(int(step_s * 1_000_000))
     grid = p.select("mmsi").distinct().select(
         "mmsi", F.posexplode(F.sequence(s, e, step)).alias("frame", "_us")
     ).select("mmsi", "frame", F.timestamp_micros("_us").alias("ts"))
-    got = asof_backward(grid, linked, ["mmsi"], "ts", "ts", ["ts", "lon", "lat", "sog", "cog", "next"])
-    hit = F.col("hit")
-    frac = seconds_between(hit["ts"], "ts") / seconds_between(hit["ts"], hit["next"]["ts"])
-    hold = (hit["ts"] == F.col("ts")) | hit["next"].isNull()
+    got = asof_around(grid, p, ["mmsi"], "ts", "ts", ["ts", "lon", "lat", "sog", "cog"])
+    hit, ahead = F.col("hit"), F.col("ahead")
+    frac = seconds_between(hit["ts"], "ts") / seconds_between(hit["ts"], ahead["ts"])
+    hold = (hit["ts"] == F.col("ts")) | ahead.isNull()
 
     def pos(axis: str) -> Column:
-        return F.when(hold, hit[axis]).otherwise(lerp(hit[axis], hit["next"][axis], frac))
+        return F.when(hold, hit[axis]).otherwise(lerp(hit[axis], ahead[axis], frac))
 
     return got.where(hit.isNotNull()).select(
         "mmsi",
@@ -368,7 +376,7 @@ def frame_trails(frames: DataFrame, n: int = 10, block: int = 1000) -> DataFrame
 
 def track_lines(points: DataFrame, start=None, end=None, mmsi: int | None = None) -> DataFrame:
     """Track of each vessel in ``[start, end)`` as flat rows ready for ``to_geojson``."""
-    trips = build_trips(points, by_name=False, mmsi=mmsi)
+    trips = build_trips(points, by_name=False, mmsi=mmsi, numbered=False)
     return trips if start is None else at_period(trips, start, end)
 
 
@@ -382,35 +390,39 @@ def resample_arclength(tracks: DataFrame, n: int = 120, order: str = "ts", keys:
     keys = list(keys)
     is_ts = dict(tracks.dtypes)[order].startswith("timestamp")
     sl = time_slice(order) if is_ts else F.floor(F.col(order) / 4096)
-    linked = chain(tracks.select(*keys, order, "lon", "lat"), keys, [order], [order, "lon", "lat"], sl)
-    dx, dy = F.col("next.lon") - F.col("lon"), F.col("next.lat") - F.col("lat")
-    step = F.coalesce(F.sqrt(dx * dx + dy * dy), F.lit(0.0))
-    cum = running_sum(linked.withColumn("_d", step), keys, [order], {"_end": F.col("_d")}, F.col("slice"))
-    total = cum.groupBy(*keys).agg(F.max("_end").alias("_total"))
-    d = cum.join(total, keys).withColumn("_beg", F.col("_end") - F.col("_d"))
-    short = F.col("_total") < 1e-6
-    prev_end = F.when(F.col("prev").isNull(), F.lit(-1.0)).otherwise(F.col("_beg"))
-    ratio_of = F.lit(float(n - 1)) / F.col("_total")
-    lo = F.greatest(F.floor(F.col("_beg") * ratio_of) - 1, F.lit(0))
-    hi = F.least(F.floor(F.col("_end") * ratio_of) + 1, F.lit(n - 1))
-    first = short & F.col("prev").isNull()
-    is_leg = ~short & F.col("next").isNotNull()
-    span = F.when(first, F.sequence(F.lit(0), F.lit(n - 1))).when(
-        is_leg & (F.col("_d") > 0), F.sequence(lo.cast("int"), hi.cast("int"))
+
+    def planar(a: Column, b: Column) -> Column:
+        dx, dy = b["lon"] - a["lon"], b["lat"] - a["lat"]
+        return F.sqrt(dx * dx + dy * dy)
+
+    d = chain(
+        tracks.select(*keys, order, "lon", "lat"), keys, [order], [order, "lon", "lat"], sl, {"len": planar}
     )
-    d = d.withColumn("i", F.explode(span))
-    target = F.when(F.col("i") == n - 1, F.col("_total")).otherwise(F.col("i") * F.col("_total") / (n - 1))
-    d = d.withColumn("_target", target)
-    # the first leg with positive length takes target 0
-    mine = (F.col("_target") <= F.col("_end")) & (
-        (F.col("_target") > F.col("_beg")) | ((F.col("i") == 0) & (F.col("_beg") == 0))
+    total, first, last = F.col("len_total"), F.col("prev").isNull(), F.col("next").isNull()
+    per_unit = F.lit(float(n - 1)) / F.nullif(total, F.lit(0.0))
+    done = lambda c: F.least(F.floor(F.col(c) * per_unit), F.lit(n - 2)).cast("int")
+    inner = F.when(
+        ~first & (done("len") > done("len_before")), F.sequence(done("len_before") + 1, done("len"))
+    ).otherwise(F.array().cast("array<int>"))
+    none = F.array().cast("array<int>")
+    targets = F.when(
+        total < 1e-6, F.when(first, F.sequence(F.lit(0), F.lit(n - 1))).otherwise(none)
+    ).otherwise(
+        F.concat(
+            F.when(first, F.array(F.lit(0))).otherwise(none),
+            inner,
+            F.when(last, F.array(F.lit(n - 1))).otherwise(none),
+        )
     )
-    frac = (F.col("_target") - F.col("_beg")) / (F.col("_d") + 1e-6)
+    d = d.withColumn("_step", planar(F.col("prev"), F.struct("lon", "lat"))).withColumn("i", F.explode(targets))
+    target = F.when(F.col("i") == n - 1, F.col("len")).otherwise(F.col("i") * total / (n - 1))
+    frac = (target - F.col("len_before")) / (F.col("_step") + 1e-6)
+    own = first | (total < 1e-6)
 
     def pos(axis: str) -> Column:
-        return F.when(short, F.col(axis)).otherwise(lerp(F.col(axis), F.col("next")[axis], frac))
+        return F.when(own, F.col(axis)).otherwise(lerp(F.col("prev")[axis], F.col(axis), frac))
 
-    return d.where(short | mine).select(*keys, "i", pos("lon").alias("lon"), pos("lat").alias("lat"))
+    return d.select(*keys, "i", pos("lon").alias("lon"), pos("lat").alias("lat"))
 
 
 def to_displacement(

@@ -48,7 +48,7 @@ def area_detection(points: DataFrame, zones: DataFrame, start, end) -> DataFrame
     vessel that crosses between two reports.  ``inside_track`` needs two reports inside.
     """
     check_period(start, end)
-    trips = build_trips(points, by_name=False)
+    trips = build_trips(points, by_name=False, numbered=False)
     leg = clip_legs(legs(trips), start, end)
     f1 = seconds_between("ts", "t1") / F.col("dt")
     f2 = seconds_between("ts", "t2") / F.col("dt")
@@ -179,22 +179,40 @@ def port_stays(points: DataFrame, ports: DataFrame, start, end) -> DataFrame:
     return stays.withColumn("stay_minutes", F.greatest(minutes, F.lit(0.0)))
 
 
+def _vessel_stays(points: DataFrame, ports: DataFrame, start, end) -> DataFrame:
+    """Entries, exits and total stay per (port, vessel).
+
+    Entries and exits alternate, so the total is the sum of exit times, with ``end`` for an open
+    stay, minus the sum of entry times: nothing has to be paired.
+    """
+    p = port_presence(points, ports, start, end)
+    entry = F.when(F.col("is_entry"), seconds_between(instant(start), "base_date_time"))
+    left = seconds_between(instant(start), "exit_time")
+    return (
+        p.groupBy("port_id", "mmsi")
+        .agg(
+            F.count(entry).alias("entries"),
+            F.count("exit_time").alias("exits"),
+            F.coalesce(F.sum(entry), F.lit(0.0)).alias("_in"),
+            F.coalesce(F.sum(left), F.lit(0.0)).alias("_out"),
+        )
+        .withColumn("_open", (F.col("entries") - F.col("exits")) * seconds_between(instant(start), instant(end)))
+        .withColumn("stay_minutes", (F.col("_out") + F.col("_open") - F.col("_in")) / 60)
+        .drop("_in", "_out", "_open")
+    )
+
+
 def port_analysis(points: DataFrame, ports: DataFrame, start, end) -> DataFrame:
     """Vessels, entries, exits, total and mean stay per port in ``[start, end]``."""
-    presence = port_presence(points, ports, start, end)
-    per_vessel = presence.groupBy("port_id", "mmsi").agg(
-        F.sum(F.col("is_entry").cast("long")).alias("n_in"), F.count("exit_time").alias("n_out")
-    )
-    counts = per_vessel.groupBy("port_id").agg(
-        F.count("*").alias("vessels"), F.sum("n_in").alias("entries"), F.sum("n_out").alias("exits")
-    )
-    stays = port_stays(points, ports, start, end).groupBy("port_id").agg(
-        F.sum("stay_minutes").alias("total_stay"), F.avg("stay_minutes").alias("avg_stay")
+    stays = _vessel_stays(points, ports, start, end).groupBy("port_id").agg(
+        F.count("*").alias("vessels"),
+        F.sum("entries").alias("entries"),
+        F.sum("exits").alias("exits"),
+        F.sum("stay_minutes").alias("total"),
     )
     zero = F.lit(0)
     return (
         ports.select(F.col("id").alias("port_id"), F.col("name").alias("port_name"))
-        .join(counts, "port_id", "left")
         .join(stays, "port_id", "left")
         .select(
             "port_id",
@@ -202,8 +220,8 @@ def port_analysis(points: DataFrame, ports: DataFrame, start, end) -> DataFrame:
             F.coalesce("vessels", zero).alias("vessels"),
             F.coalesce("entries", zero).alias("entries"),
             F.coalesce("exits", zero).alias("exits"),
-            F.coalesce("total_stay", F.lit(0.0)).alias("total_stay_minutes"),
-            F.coalesce("avg_stay", F.lit(0.0)).alias("avg_stay_minutes"),
+            F.coalesce("total", F.lit(0.0)).alias("total_stay_minutes"),
+            F.coalesce(F.col("total") / F.nullif(F.col("entries"), zero), F.lit(0.0)).alias("avg_stay_minutes"),
         )
     )
 
@@ -212,9 +230,7 @@ def port_top_vessels(points: DataFrame, ports: DataFrame, start, end, top_n: int
     """Per port the vessels with most stay minutes, then most visits, with their newest name."""
     from pyspark.sql.window import Window as W
 
-    totals = port_stays(points, ports, start, end).groupBy("port_id", "mmsi").agg(
-        F.sum("stay_minutes").alias("stay_minutes"), F.count("*").alias("visits")
-    )
+    totals = _vessel_stays(points, ports, start, end).withColumnRenamed("entries", "visits")
     w = W.partitionBy("port_id").orderBy(F.desc("stay_minutes"), F.desc("visits"), F.asc("mmsi"))
     top = totals.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
     tie = ["src_id"] if "src_id" in points.columns else []

@@ -42,3 +42,13 @@ def with_span_buckets(
 def semi_filter(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Keep rows whose key occurs in ``keys`` (``IN`` list of any length)."""
     return df.join(keys.select(*on).distinct(), on, "left_semi")
+
+
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Partition by ``keys`` for Python groups, keeping every shuffle partition.
+
+    AQE merges partitions by bytes; small rows with much work per group would end in one
+    Python worker.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)

@@ -12,9 +12,11 @@ slice borders:
                                                 -> Window ---------+
 
 Only the summary is gathered per key: at most one row per hour and key.  The join adds
-no shuffle on the row side, which is already partitioned by (key, slice).
+no shuffle on the row side, which is already partitioned by (key, slice).  Keys must be
+non-NULL (the join back uses plain equality).
 
-Keys must be non-NULL (the join back uses plain equality).
+Where only neighbours within a known time matter (a gap ends a trip), ``link_within`` and
+``asof_within`` need no summary at all: rows near a slice border are copied across it.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql.window import Window as W
 
 SLICE_S = 3600
 
-Breaks = Callable[[Column, Column], Column]
+Step = Callable[[Column, Column], Column]
 
 
 def time_slice(ts: Column | str, slice_s: int = SLICE_S) -> Column:
@@ -35,13 +37,35 @@ def time_slice(ts: Column | str, slice_s: int = SLICE_S) -> Column:
     return F.floor(F.unix_micros(c) / F.lit(slice_s * 1_000_000))
 
 
-def gap_breaks(ts: str, gap_s: float) -> Breaks:
-    """A new sequence starts where more than ``gap_s`` seconds passed."""
+def link_within(
+    df: DataFrame, keys: Sequence[str], ts: str, payload: Sequence[str], reach_s: float, slices: int = 12
+) -> DataFrame:
+    """Neighbours that are at most ``reach_s`` away, in one pass and without a join.
+
+    Adds ``slice`` and the structs ``prev`` and ``next`` of the ``payload`` (which must hold ``ts``) of
+    the adjacent rows, NULL when they are farther than ``reach_s``.  Such a neighbour is in the
+    same slice or just across its border, so rows near a border are also copied to the slice
+    behind it; with slices of ``slices * reach_s`` that is a small share.
+    """
+    keys = list(keys)
+    reach, width = F.lit(int(reach_s * 1_000_000)), F.lit(int(reach_s * slices * 1_000_000))
+    us = F.unix_micros(ts)
+    row = F.struct(*payload)
+    d = df.withColumn("_own", F.floor(us / width)).withColumn(
+        "slice", F.explode(F.sequence(F.floor((us - reach) / width), F.floor((us + reach) / width)))
+    )
+    w = W.partitionBy(*keys, "slice").orderBy(ts)
+    d = d.withColumn("_p", F.lag(row).over(w)).withColumn("_n", F.lead(row).over(w)).where("slice = _own")
+    return (
+        d.withColumn("prev", F.when(us - F.unix_micros(F.col("_p")[ts]) <= reach, F.col("_p")))
+        .withColumn("next", F.when(F.unix_micros(F.col("_n")[ts]) - us <= reach, F.col("_n")))
+        .drop("_own", "_p", "_n")
+    )
 
-    def breaks(prev: Column, cur: Column) -> Column:
-        return F.unix_micros(cur[ts]) - F.unix_micros(prev[ts]) > F.lit(int(gap_s * 1_000_000))
 
-    return breaks
+def number_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], starts: Column, name: str) -> DataFrame:
+    """Number rows 1, 1, 2, … per key, one up at every row where ``starts`` holds; needs ``slice``."""
+    return running_sum(df, keys, order, {name: starts.cast("long")}, "slice")
 
 
 def chain(
@@ -50,16 +74,16 @@ def chain(
     order: Sequence[str],
     payload: Sequence[str],
     slice_by: Column,
-    breaks: Breaks | None = None,
+    steps: dict[str, Step] | None = None,
 ) -> DataFrame:
-    """Link every row to its neighbours within ``keys``.
+    """Link every row to its neighbours within ``keys``, however far they are.
 
-    Adds ``slice``, and the structs ``prev`` and ``next`` of the ``payload`` columns of
-    the adjacent rows.  With ``breaks`` it also adds ``seq_id`` (1, 2, … per key,
-    a new one wherever ``breaks(prev, row)`` holds), and ``prev``/``next`` are NULL
-    across a break.
+    Adds ``slice`` and the structs ``prev`` and ``next`` of the ``payload`` columns of the adjacent
+    rows.  For each of ``steps`` it adds the sum of ``step(prev, row)`` from the first row of
+    the key up to this one (``name``), up to the row before (``name_before``, bit for bit
+    that row's value), and over the whole key (``name_total``).
     """
-    keys = list(keys)
+    keys, steps = list(keys), steps or {}
     row = F.struct(*payload)
     w = W.partitionBy(*keys, "slice").orderBy(*order)
     d = (
@@ -67,64 +91,108 @@ def chain(
         .withColumn("_p", F.lag(row).over(w))
         .withColumn("_n", F.lead(row).over(w))
     )
-    if breaks is not None:
-        cut = F.when(F.col("_p").isNotNull() & breaks(F.col("_p"), row), 1).otherwise(0)
-        d = d.withColumn("_cut", cut).withColumn(
-            "_c", F.sum("_cut").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
+    for name, step in steps.items():
+        inner = F.when(F.col("_p").isNotNull(), step(F.col("_p"), row)).otherwise(F.lit(0.0))
+        d = d.withColumn("_s", inner).withColumn(
+            f"_c_{name}", F.sum("_s").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
         )
-
-    head = F.first(F.when(F.col("_p").isNull(), row), ignorenulls=True).alias("_head")
-    tail = F.first(F.when(F.col("_n").isNull(), row), ignorenulls=True).alias("_tail")
-    aggs = [head, tail] + ([F.max("_c").alias("_tot")] if breaks is not None else [])
-    edges = d.where(F.col("_p").isNull() | F.col("_n").isNull()).groupBy(*keys, "slice").agg(*aggs)
-    we = W.partitionBy(*keys).orderBy("slice")
-    edges = edges.withColumn("_pt", F.lag("_tail").over(we)).withColumn("_nh", F.lead("_head").over(we))
-    cols = ["_pt", "_nh"]
-    if breaks is not None:
-        cross = F.when(F.col("_pt").isNull() | breaks(F.col("_pt"), F.col("_head")), 1).otherwise(0)
-        edges = edges.withColumn("_step", cross + F.lag("_tot", 1, 0).over(we)).withColumn(
-            "_base", F.sum("_step").over(we.rowsBetween(W.unboundedPreceding, W.currentRow))
+        d = d.withColumn(f"_l_{name}", F.lag(f"_c_{name}").over(w)).drop("_s")
+
+    at = lambda border, value: F.first(F.when(F.col(border).isNull(), value), ignorenulls=True)
+    edges = (
+        d.where(F.col("_p").isNull() | F.col("_n").isNull())
+        .groupBy(*keys, "slice")
+        .agg(
+            at("_p", row).alias("_head"),
+            at("_n", row).alias("_tail"),
+            *[at("_n", F.col(f"_c_{n}")).alias(f"_t_{n}") for n in steps],
         )
-        cols.append("_base")
-    out = (
-        d.join(edges.select(*keys, "slice", *cols), [*keys, "slice"])
-        .withColumn("prev", F.coalesce("_p", "_pt"))
-        .withColumn("next", F.coalesce("_n", "_nh"))
     )
-    drop = ["_p", "_n", "_pt", "_nh"]
-    if breaks is not None:
-        out = (
-            out.withColumn("seq_id", F.col("_base") + F.col("_c"))
-            .withColumn("prev", F.when(~breaks(F.col("prev"), row), F.col("prev")))
-            .withColumn("next", F.when(~breaks(row, F.col("next")), F.col("next")))
+    we = W.partitionBy(*keys).orderBy("slice")
+    edges = edges.withColumn("_pt", F.lag("_tail").over(we)).withColumn("_nh", F.lead("_head").over(we))
+    carried = ["_pt", "_nh"]
+    for name, step in steps.items():
+        cross = F.when(F.col("_pt").isNotNull(), step(F.col("_pt"), F.col("_head"))).otherwise(F.lit(0.0))
+        edges = (
+            edges.withColumn("_s", cross + F.lag(f"_t_{name}", 1, 0.0).over(we))
+            .withColumn(f"_b_{name}", F.sum("_s").over(we.rowsBetween(W.unboundedPreceding, W.currentRow)))
+            .withColumn("_s", F.col(f"_b_{name}") + F.col(f"_t_{name}"))
+            .withColumn(f"_e_{name}", F.lag("_s", 1, 0.0).over(we))
+            .withColumn(f"{name}_total", F.max("_s").over(W.partitionBy(*keys)))
+            .drop("_s")
         )
-        drop += ["_cut", "_c", "_base"]
-    return out.drop(*drop)
+        carried += [f"_b_{name}", f"_e_{name}", f"{name}_total"]
+    out = d.join(edges.select(*keys, "slice", *carried), [*keys, "slice"])
+    for name in steps:
+        before = F.when(F.col("_p").isNull(), F.col(f"_e_{name}")).otherwise(F.col(f"_b_{name}") + F.col(f"_l_{name}"))
+        out = out.withColumn(name, F.col(f"_b_{name}") + F.col(f"_c_{name}")).withColumn(f"{name}_before", before)
+    out = out.withColumn("prev", F.coalesce("_p", "_pt")).withColumn("next", F.coalesce("_n", "_nh"))
+    return out.drop("_p", "_n", "_pt", "_nh", *[f"{x}{n}" for n in steps for x in ("_c_", "_l_", "_b_", "_e_")])
 
 
 def running_sum(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column], slice_by: Column
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column], slice_by: Column | str
 ) -> DataFrame:
-    """Inclusive running sums per key; ``values`` maps result name to summand."""
+    """Inclusive running sums per key; ``values`` maps result name to summand.
+
+    ``slice_by`` is an expression, or the name of a slice column the rows are already
+    partitioned by.
+    """
     keys = list(keys)
-    w = W.partitionBy(*keys, "_sl").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    d = df.withColumn("_sl", slice_by)
+    sl = slice_by if isinstance(slice_by, str) else "_sl"
+    d = df if isinstance(slice_by, str) else df.withColumn(sl, slice_by)
+    w = W.partitionBy(*keys, sl).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     for name, value in values.items():
         d = d.withColumn(f"_v_{name}", value)
-    totals = d.groupBy(*keys, "_sl").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
-    we = W.partitionBy(*keys).orderBy("_sl").rowsBetween(W.unboundedPreceding, -1)
+    totals = d.groupBy(*keys, sl).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
+    we = W.partitionBy(*keys).orderBy(sl).rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select(
-        *keys, "_sl", *[F.coalesce(F.sum(f"_t_{n}").over(we), F.lit(0)).alias(f"_b_{n}") for n in values]
+        *keys, sl, *[F.coalesce(F.sum(f"_t_{n}").over(we), F.lit(0)).alias(f"_b_{n}") for n in values]
     )
     for name in values:
         d = d.withColumn(f"_s_{name}", F.sum(f"_v_{name}").over(w))
-    out = d.join(totals, [*keys, "_sl"])
+    out = d.join(totals, [*keys, sl])
     for name in values:
         out = out.withColumn(name, F.col(f"_s_{name}") + F.col(f"_b_{name}"))
     return out.drop("_sl", *[f"{p}{n}" for n in values for p in ("_v_", "_s_", "_b_")])
 
 
-def asof_backward(
+def _union_in_time(queries, facts, keys, query_ts, fact_ts, payload) -> DataFrame:
+    """Facts (``_hit``) and queries (``_q``) as one frame with time ``_t``; facts sort first at equal times."""
+    asked = F.struct(*[c for c in queries.columns if c not in keys])
+    f = facts.select(*keys, F.col(fact_ts).alias("_t"), F.lit(0).alias("_kind"), F.struct(*payload).alias("_hit"))
+    q = queries.select(*keys, F.col(query_ts).alias("_t"), F.lit(1).alias("_kind"), asked.alias("_q"))
+    return f.unionByName(q, allowMissingColumns=True)
+
+
+def asof_within(
+    queries: DataFrame,
+    facts: DataFrame,
+    keys: Sequence[str],
+    query_ts: str,
+    fact_ts: str,
+    payload: Sequence[str],
+    reach_s: float,
+    slices: int = 12,
+) -> DataFrame:
+    """For each query row the last fact of the key at or before it, at most ``reach_s`` back, as ``hit``.
+
+    A union and a running ``last`` replace the inequality join.  Facts near the end of a slice
+    are copied to the next one, so one pass suffices.
+    """
+    keys = list(keys)
+    reach, width = F.lit(int(reach_s * 1_000_000)), F.lit(int(reach_s * slices * 1_000_000))
+    us = F.unix_micros("_t")
+    last = F.floor((us + F.when(F.col("_kind") == 0, reach).otherwise(F.lit(0))) / width)
+    u = _union_in_time(queries, facts, keys, query_ts, fact_ts, [*payload, F.col(fact_ts).alias("_at")])
+    u = u.withColumn("_sl", F.explode(F.sequence(F.floor(us / width), last)))
+    w = W.partitionBy(*keys, "_sl").orderBy("_t", "_kind").rowsBetween(W.unboundedPreceding, 0)
+    d = u.withColumn("hit", F.last("_hit", ignorenulls=True).over(w)).where("_kind = 1")
+    near = us - F.unix_micros("hit._at") <= reach
+    return d.select(*keys, "_q.*", F.when(near, F.col("hit")).alias("hit"))
+
+
+def asof_around(
     queries: DataFrame,
     facts: DataFrame,
     keys: Sequence[str],
@@ -132,32 +200,31 @@ def asof_backward(
     fact_ts: str,
     payload: Sequence[str],
     slice_s: int = SLICE_S,
-    tie: Sequence[str] = (),
 ) -> DataFrame:
-    """For each query row the last fact of the key at or before its time, as ``hit``.
+    """For each query row the last fact at or before it (``hit``) and the first after it (``ahead``).
 
-    A union and a running ``last`` replace the inequality join; facts of a key are
-    never matched against all its queries.  ``hit`` is NULL where no fact precedes.
+    However far they are: the facts around a slice are carried over from its summary.
     """
     keys = list(keys)
-    qcols = [c for c in queries.columns if c not in keys]
-    tie_cols = [F.col(t).alias(f"_tie{i}") for i, t in enumerate(tie)]
-    f = facts.select(
-        *keys,
-        F.col(fact_ts).alias("_t"),
-        F.lit(0).alias("_kind"),
-        *tie_cols,
-        F.struct(*payload).alias("_hit"),
+    u = _union_in_time(queries, facts, keys, query_ts, fact_ts, payload)
+    u = u.withColumn("_sl", time_slice("_t", slice_s))
+    run = lambda w: w.rowsBetween(W.unboundedPreceding, 0)
+    by = W.partitionBy(*keys, "_sl")
+    up, down = by.orderBy("_t", "_kind"), by.orderBy(F.desc("_t"), F.desc("_kind"))
+    last = lambda c, w: F.last(c, ignorenulls=True).over(w)
+    d = u.withColumn("_in", last("_hit", run(up))).withColumn("_out", last("_hit", run(down)))
+    edges = d.groupBy(*keys, "_sl").agg(
+        F.max(F.when(F.col("_kind") == 0, F.struct("_t", "_hit"))).alias("_z"),
+        F.min(F.when(F.col("_kind") == 0, F.struct("_t", "_hit"))).alias("_a"),
     )
-    q = queries.select(
-        *keys, F.col(query_ts).alias("_t"), F.lit(1).alias("_kind"), F.struct(*qcols).alias("_q")
+    we = W.partitionBy(*keys)
+    edges = edges.select(
+        *keys,
+        "_sl",
+        last("_z", we.orderBy("_sl").rowsBetween(W.unboundedPreceding, -1)).alias("_z"),
+        last("_a", we.orderBy(F.desc("_sl")).rowsBetween(W.unboundedPreceding, -1)).alias("_a"),
     )
-    u = f.unionByName(q, allowMissingColumns=True).withColumn("_sl", time_slice("_t", slice_s))
-    ties = [f"_tie{i}" for i in range(len(tie))]
-    w = W.partitionBy(*keys, "_sl").orderBy("_t", "_kind", *ties)
-    d = u.withColumn("_in", F.last("_hit", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    d = d.withColumn("_end", F.lead("_kind").over(w).isNull())
-    we = W.partitionBy(*keys).orderBy("_sl").rowsBetween(W.unboundedPreceding, -1)
-    edges = d.where("_end").select(*keys, "_sl", F.last("_in", ignorenulls=True).over(we).alias("_carry"))
     out = d.where("_kind = 1").join(edges, [*keys, "_sl"])
-    return out.select(*keys, "_q.*", F.coalesce("_in", "_carry").alias("hit"))
+    return out.select(
+        *keys, "_q.*", F.coalesce("_in", "_z._hit").alias("hit"), F.coalesce("_out", "_a._hit").alias("ahead")
+    )
