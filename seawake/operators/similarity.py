@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from seawake.plans.joins import sized_broadcast
@@ -121,7 +122,7 @@ def encode_shape(gh: np.ndarray, sec: np.ndarray) -> int:
     return interleave([quantise(f[name], lo, hi) for name, (lo, hi) in SHAPE_RANGES.items()])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _encode(gh: pd.Series, sec: pd.Series) -> pd.Series:
     return pd.Series([encode_shape(np.asarray(g), np.asarray(s)) for g, s in zip(gh, sec)], dtype="int64")
 
