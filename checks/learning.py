@@ -99,6 +99,13 @@ def _(spark, sf):
     )
 
 
+def _stored(spark, sf, step):
+    """Numbered samples written and read back: search and forecast start from stored samples."""
+    path = scratch(spark) + "/samples"
+    write_samples(_windows(spark, sf, step), path)
+    return samples.with_global_id(spark.read.parquet(path))
+
+
 @check("with_global_id", f"{with_points(_windows_sql(30))} SELECT {I('id')} AS global_traj_id, mmsi, {I('t1')} AS t FROM sp")
 def _(spark, sf):
     s = samples.with_global_id(_windows(spark, sf, 30))
@@ -129,7 +136,7 @@ def _(spark, sf):
 
 @check("shape_code")
 def _(spark, sf):
-    s = similarity.shape_code(samples.with_global_id(_windows(spark, sf, 30)))
+    s = similarity.shape_code(_stored(spark, sf, 30))
     return s.select("global_traj_id", "mmsi", "code")
 
 
@@ -177,7 +184,9 @@ et AS (SELECT query_id, avg(deg) AS ade, avg(km) AS ade_km, arg_max(deg, step) A
 
 
 def _forecast(spark, sf):
-    s = samples.with_global_id(_windows(spark, sf, 60)).withColumn("code", (F.col("global_traj_id") * 2654435761) % 4294967296)
+    path = scratch(spark) + "/coded"
+    write_samples(_stored(spark, sf, 60).withColumn("code", (F.col("global_traj_id") * 2654435761) % 4294967296), path)
+    s = spark.read.parquet(path)
     asked = s.select(F.col("global_traj_id").alias("query_id"), "code", "obs")
     near = similarity.similar_tracks(s, asked, k=5, exclude_self=True)
     truth = s.select(F.col("global_traj_id").alias("query_id"), F.posexplode("pred").alias("i", "p")).select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -54,25 +54,28 @@ def forecast_retrieval(
 ) -> DataFrame:
     """The mean movement of the most similar past tracks, from the query's last position.
 
-    ``neighbours`` is the answer of ``similar_tracks`` for ``queries`` (``query_id``, ``obs``).  Each
+    ``samples`` are stored samples (``build_samples``).  ``neighbours`` is the answer of ``similar_tracks`` for ``queries`` (``query_id``, ``obs``).  Each
     reference adds the steps of its ``pred`` part; fewer than ``k`` are filled up with the last
     one, none with the query's own movement.  ``confidence`` is found / k within [0.1, 1].
     """
-    step_of = lambda seq, prev: F.transform(
-        seq,
-        lambda p, i: F.struct(
-            (i + 1).alias("step"),
-            (p["lon"].cast("double") - F.when(i == 0, prev["lon"]).otherwise(seq[F.greatest(i - 1, F.lit(0))]["lon"]).cast("double")).alias("d_lon"),
-            (p["lat"].cast("double") - F.when(i == 0, prev["lat"]).otherwise(seq[F.greatest(i - 1, F.lit(0))]["lat"]).cast("double")).alias("d_lat"),
-        ),
-    )
+    def steps(seq: Column, before: Column) -> Column:
+        """Numbered movements along ``seq``, the first one from ``before``."""
+        n = F.size(seq)
+        came = F.concat(F.array(before), F.slice(seq, 1, n - 1))
+        move = lambda axis: F.zip_with(
+            seq, came, lambda p, c: p[axis].cast("double") - c[axis].cast("double")
+        )
+        return F.arrays_zip(
+            F.sequence(F.lit(1), n).alias("step"), move("lon").alias("d_lon"), move("lat").alias("d_lat")
+        )
+
     found = neighbours.groupBy("query_id").agg(F.count("*").alias("n_refs"), F.max("rank").alias("last_rank"))
     q = queries.select("query_id", "obs").join(found, "query_id", "left").withColumn(
         "n_refs", F.coalesce("n_refs", F.lit(0))
     )
     # each reference counts once, the last one also for every missing place
     refs = neighbours.join(samples.select(id_col, F.element_at("obs", -1).alias("o"), "pred"), id_col)
-    refs = refs.withColumn("s", F.explode(step_of(F.col("pred"), F.col("o")))).select("query_id", "rank", "s.*")
+    refs = refs.withColumn("s", F.explode(steps(F.col("pred"), F.col("o")))).select("query_id", "rank", "s.*")
     weight = F.when(F.col("rank") == F.col("last_rank"), k - F.col("n_refs") + 1).otherwise(1)
     mean = (
         refs.join(found, "query_id")
@@ -83,7 +86,7 @@ def forecast_retrieval(
             (F.sum(F.col("d_lat") * F.col("w")) / F.sum("w")).alias("d_lat"),
         )
     )
-    alone = q.where("n_refs = 0").withColumn("s", F.explode(step_of(F.col("obs"), F.col("obs")[0])))
+    alone = q.where("n_refs = 0").withColumn("s", F.explode(steps(F.col("obs"), F.col("obs")[0])))
     moves = mean.unionByName(alone.select("query_id", "s.step", "s.d_lon", "s.d_lat"))
     cum = running_sum(moves, ["query_id"], ["step"], {"_x": F.col("d_lon"), "_y": F.col("d_lat")}, F.floor(F.col("step") / 4096))
     start = F.element_at("obs", -1)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seawake.functions.geo import hav_m, seconds, seconds_between
 from seawake.operators.trips import segment_points
+from seawake.plans.checkpoints import reliable_checkpoint
 from seawake.plans.joins import spread
 from seawake.plans.sliced import link_within, running_sum, time_slice
 from seawake.sources.sinks import write_samples
@@ -226,9 +227,13 @@ def with_global_id(samples: DataFrame, block: int = 100_000) -> DataFrame:
 
 
 def samples_from_points(points: DataFrame) -> DataFrame:
-    """M1 to M5 as one lazy plan."""
-    grid = filter_resampled(spline_resample(valid_segments(points)))
-    return with_global_id(sliding_samples(grid))
+    """M1 to M5.
+
+    The spline runs once: the windows are written before they are numbered, because numbering
+    reads them several times.
+    """
+    grid = reliable_checkpoint(spline_resample(valid_segments(points)))
+    return with_global_id(reliable_checkpoint(sliding_samples(filter_resampled(grid))))
 
 
 def build_samples(points: DataFrame, path: str) -> None:
