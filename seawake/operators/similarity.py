@@ -95,11 +95,22 @@ def shape_features(x: np.ndarray, y: np.ndarray, r: float = BUFFER) -> dict[str,
     }
 
 
-def quantise(value: float, low: float, high: float, bits: int = BITS) -> int:
-    """Bisection code: the upper half of the range sets a bit; a midpoint counts as lower."""
-    steps = 1 << bits
-    pos = int(np.ceil((min(max(value, low), high) - low) / (high - low) * steps)) - 1
-    return min(max(pos, 0), steps - 1)
+def midpoints(low: float, high: float, bits: int = BITS) -> np.ndarray:
+    """The inner borders of ``2 ** bits`` cells made by halving a range again and again."""
+    edges = np.array([low, high])
+    for _ in range(bits):
+        halved = np.empty(2 * len(edges) - 1)
+        halved[::2], halved[1::2] = edges, (edges[:-1] + edges[1:]) / 2
+        edges = halved
+    return edges[1:-1]
+
+
+_BORDERS = {name: midpoints(*bounds) for name, bounds in SHAPE_RANGES.items()}
+
+
+def quantise(value: float, borders: np.ndarray) -> int:
+    """Cell of a value: the number of borders below it, so a border itself counts as lower."""
+    return int(np.searchsorted(borders, value, side="left"))
 
 
 def interleave(codes: list[int], bits: int = BITS) -> int:
@@ -119,7 +130,7 @@ def encode_shape(gh: np.ndarray, sec: np.ndarray) -> int:
     if len(gh) < 3:
         return 0
     f = shape_features(_unit(gh.astype("float64")), _unit(sec.astype("float64")))
-    return interleave([quantise(f[name], lo, hi) for name, (lo, hi) in SHAPE_RANGES.items()])
+    return interleave([quantise(f[name], borders) for name, borders in _BORDERS.items()])
 
 
 @F.pandas_udf(T.LongType())

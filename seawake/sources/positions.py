@@ -40,7 +40,9 @@ HEADER_ALIASES = {
 
 REQUIRED = ("mmsi", "base_date_time", "latitude", "longitude")
 
-_BOM = "﻿"
+SPARK_CHARSETS = {"ISO-8859-1", "US-ASCII", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32", "UTF-8"}
+
+_BOM = "\ufeff"
 
 
 def normalise_header(name: str) -> str:
@@ -91,6 +93,9 @@ def rejected_rows(raw: DataFrame) -> DataFrame:
 def read_text_columns(
     spark: SparkSession, paths: str | Sequence[str], encoding: str = "UTF-8", glob: str | None = None
 ) -> DataFrame:
+    if encoding.upper() not in SPARK_CHARSETS:
+        # Spark reads its standard charsets only unless told otherwise
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     reader = spark.read.option("header", True).option("encoding", encoding)
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
