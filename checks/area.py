@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from checks.base import (
-    END, I, Q, START, T0, T1, TRIPS_SQL, VTRIPS_SQL, ZONES, check, inside_sql, points, ports, ports_sql, q, ring_sql,
+    END, I, Q, START, T0, T1, VTRIPS_SQL, ZONES, check, inside_sql, points, ports, ports_sql, q, ring_sql,
     sec, with_points, zones, zones_sql,
 )
 from checks.fleet import _BOX_SQL, _boxes

@@ -9,10 +9,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from checks.base import (
-    END, I, Q, SEGMENTS_SQL, START, T0, T1, TRIPS_SQL, VIEWPORT, ZONES, cell, check, hav, points, q, sec,
+    END, I, Q, SEGMENTS_SQL, START, T0, T1, TRIPS_SQL, VIEWPORT, cell, check, hav, points, q, sec,
     with_points, zones, zones_sql,
 )
-from seawake.functions.geo import add_seconds  # noqa: F401
 from seawake.operators import density, events, registry, trips
 from seawake.sources import positions, sinks
 from seawake.sources import zones as zone_source

@@ -104,7 +104,8 @@ def knn_query(
     upto = W.partitionBy("query_id").orderBy("level")
     counts = counts.withColumn("upto", F.sum("n").over(upto))
     stop = counts.groupBy("query_id").agg(F.min(F.when(F.col("upto") >= k, F.col("level"))).alias("stop"))
-    near = c.join(sized_broadcast(stop), "query_id").where(F.col("stop").isNull() | (F.col("level") <= F.col("stop")))
+    # one row per query point of the given list
+    near = c.join(F.broadcast(stop), "query_id").where(F.col("stop").isNull() | (F.col("level") <= F.col("stop")))
     w = W.partitionBy("query_id").orderBy("distance", "mmsi")
     return (
         near.withColumn("rank", F.row_number().over(w))

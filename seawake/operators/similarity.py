@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from seawake.plans.joins import sized_broadcast
 
 # The shape code's value range per feature, buffer radius, bits per feature.
 SHAPE_RANGES = {
@@ -182,7 +181,7 @@ def similar_tracks(
     deepest = (
         codes.select("q", F.explode(prefixes).alias("p"))
         .select("q", "p.*")
-        .join(sized_broadcast(counts.select("bits", "prefix")), ["bits", "prefix"])
+        .join(counts.select("bits", "prefix"), ["bits", "prefix"])
         .groupBy("q")
         .agg(F.max("bits").alias("bits"))
         .withColumn("prefix", _prefix(F.col("q"), F.col("bits")))

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seawake.functions.geo import add_seconds, hav_m, in_period, instant, seconds_between
+from seawake.functions.geo import hav_m, in_period, instant, seconds_between
 from seawake.plans.sliced import asof_around, asof_within, chain, link_within, number_runs, running_sum, time_slice
 from seawake.schema import MS_TO_KNOTS, SEGMENT_GAP_S, TRIP_GAP_S, check_mmsi, check_period
 from seawake.sources.sinks import dedupe_points

@@ -285,3 +285,10 @@ def test_arguments_are_checked(fixture_points):
 
 def test_pairs_cover_the_fleet(spark):
     assert pairs(spark, SF).count() >= 0 and zones(spark).count() == 2
+
+
+def test_references_are_cut_or_filled(spark):
+    step = lambda n: [(1.0, 2.0)] * n
+    df = spark.createDataFrame([(1, step(2)), (2, step(5))], "id long, disp array<struct<d_lon:double,d_lat:double>>")
+    got = {r["id"]: [tuple(d) for d in r["disp"]] for r in forecast.align_reference(df, 3).collect()}
+    assert got == {1: [(1.0, 2.0), (1.0, 2.0), (0.0, 0.0)], 2: step(3)}
