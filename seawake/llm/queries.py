@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seawake.llm.common import read_table
+from seawake.llm.common import read_table, scratch_folder, utf8
+from seawake.llm.sharding import shard_by_bytes
 from seawake.llm.token_counts import count_tokens
+from seawake.llm.token_files import read_token_files, write_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -23,3 +26,29 @@ def query(fn):
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = utf8()
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.crc32(body).alias("text_crc32"), body.alias("body"))
+    # the digest needs no texts beyond this point: their size and hash travel instead
+    slim = docs.select("doc_id", "text_crc32", (F.octet_length("body") + 16).alias("n"), F.xxhash64("body").alias("h"))
+    placed = shard_by_bytes(slim, 40, F.col("n"), F.col("h"))
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    folder = scratch_folder(spark, "token-ids")
+    manifest = write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), folder, end_id=2)
+    return read_token_files(manifest, folder)
