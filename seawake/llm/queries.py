@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from seawake.llm.common import read_table, scratch_folder, utf8
 from seawake.llm.sharding import shard_by_bytes
+from seawake.llm.toxicity import toxicity, train
 from seawake.llm.token_counts import count_tokens
 from seawake.llm.token_files import read_token_files, write_token_files
 
@@ -52,3 +53,9 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_folder(spark, "token-ids")
     manifest = write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), folder, end_id=2)
     return read_token_files(manifest, folder)
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return toxicity(docs, train(docs, labels))
