@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seawake.llm.common import read_table, scratch_folder, utf8
+from seawake.llm.near_duplicates import jaccard_components
 from seawake.llm.sharding import shard_by_bytes
 from seawake.llm.toxicity import toxicity, train
 from seawake.llm.token_counts import count_tokens
@@ -59,3 +60,8 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
     return toxicity(docs, train(docs, labels))
+
+
+@query
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read_table(spark, sf_dir, "documents"), width=3, percent=90)
