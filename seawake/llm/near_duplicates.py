@@ -62,7 +62,11 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def word_hashes(text: bytes) -> np.ndarray:
     """64-bit hashes of the words (between ASCII white space) of a text, A-Z lower-cased."""
-    words = text.translate(_lower).split()
+    return hash_words(text.translate(_lower).split())
+
+
+def hash_words(words: list[bytes]) -> np.ndarray:
+    """Hashes of words, each distinct one computed once per Python worker."""
     fresh = set(words).difference(_memo)
     if len(_memo) > MEMO_WORDS:
         _memo.clear()

@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seawake.llm.common import read_table, scratch_folder, utf8
+from seawake.llm.decontamination import benchmark_overlaps
+from seawake.llm.licenses import scan_licenses
 from seawake.llm.near_duplicates import jaccard_components
+from seawake.llm.quality_lines import line_quality
+from seawake.llm.quality_lines import train as train_field
 from seawake.llm.sharding import shard_by_bytes
 from seawake.llm.toxicity import toxicity, train
 from seawake.llm.token_counts import count_tokens
@@ -65,3 +69,20 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+@query
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return line_quality(docs, train_field(docs, labels))
+
+
+@query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = (read_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return benchmark_overlaps(docs, benchmark)

@@ -42,12 +42,17 @@ _odd = re.compile(
 )
 
 
+# a full stop or comma behind an ASCII letter, at the end of a piece
+_stop = re.compile(rb"([A-Za-z])([.,])\0")
+
+
 class PieceIds:
     """Ids of pieces a byte-level BPE tokenizer encodes independently, remembered per worker.
 
     Its pre-tokenizer cuts before a single space that has no white space beside it (the space
     opens the next piece) and on both sides of a single line break, and merges never cross a
-    cut.  So each distinct piece is encoded once and a text is put together from its pieces.
+    cut.  It also cuts between a letter and the full stop or comma that ends a piece.  So each
+    distinct piece is encoded once and a text is put together from its pieces.
     """
 
     def __init__(self, path: str):
@@ -80,9 +85,8 @@ class PieceIds:
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.index) > MEMO_PIECES:
             self._reset()
-        split = [
-            None if _odd.search(t) else t.replace(b" ", b"\0 ").replace(b"\n", b"\0\n\0").split(b"\0") for t in texts
-        ]
+        cut = lambda t: _stop.sub(rb"\1\0\2\0", t.replace(b" ", b"\0 ").replace(b"\n", b"\0\n\0"))
+        split = [None if _odd.search(t) else cut(t).split(b"\0") for t in texts]
         fresh = set().union(*(s for s in split if s is not None)).difference(self.index)
         self._learn(list(fresh))
         return [self._whole(t) if s is None else self._joined(s) for t, s in zip(texts, split)]
