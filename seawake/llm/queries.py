@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from seawake.llm.common import read_table, scratch_folder, utf8
 from seawake.llm.decontamination import benchmark_overlaps
 from seawake.llm.licenses import scan_licenses
+from seawake.llm.mixing import Recipe, mix, word_tokens
 from seawake.llm.near_duplicates import jaccard_components
 from seawake.llm.quality_lines import line_quality
 from seawake.llm.quality_lines import train as train_field
@@ -86,3 +87,11 @@ def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = (read_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
     return benchmark_overlaps(docs, benchmark)
+
+
+@query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    total = docs.agg(F.sum(word_tokens()).alias("n")).first()["n"] or 0
+    mixed = mix(docs, Recipe(entropy=0.95, repeats=4.0, budget=total))
+    return mixed.select("doc_id", "source", "epoch", "block", "place", word_tokens().alias("n_tokens"), "weight")
