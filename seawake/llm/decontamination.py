@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seawake.llm.common import slices, stored, utf8
+from seawake.llm.ids import drop_ids
 from seawake.llm.near_duplicates import _mix, hash_words
 
 MASKS = ("1111011", "11001000111", "11010110001")
@@ -196,5 +197,4 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that overlap no benchmark item, with all their columns."""
-    bad = benchmark_overlaps(docs, benchmark).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    return drop_ids(docs, stored(benchmark_overlaps(docs, benchmark).select("doc_id").distinct(), "benchmark-ids"))

@@ -30,9 +30,11 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from seawake.llm.common import slices, stored, utf8
 from seawake.llm.components import connected
+from seawake.llm.ids import drop_ids, has_bit, id_bits, with_bit
 
 _lower = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: words a Python worker remembers the hash of before it starts afresh
@@ -48,8 +50,6 @@ FREQUENT_TIMES, FREQUENT_LEAST = 6, 64
 TIERS = ((0, 40, 1), (28, 1_000, 4), (700, 16_000, 64), (11_000, 1 << 40, 1024))
 #: all pairs left are checked once there are at most this many per document and key
 ALL_PAIRS_TIMES = 2
-#: length of the bit field that says which ids may be candidates
-ID_BITS = 16_777_213
 
 _M1, _M2, _M3 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -205,21 +205,10 @@ def _index(width: int, percent: int, freq):
     return run
 
 
-def id_bits(docs: DataFrame) -> np.ndarray:
-    """A bit field of fixed length with a bit for every id of ``docs``; others may share one."""
-    at = F.pmod("doc", F.lit(ID_BITS))
-    words = docs.select(at.alias("i")).groupBy(F.expr("i div 32").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(i % 32 as int)))").alias("b"))
-    out = np.zeros(ID_BITS // 32 + 1, np.uint32)
-    for r in words.collect():
-        out[r["w"]] = r["b"]
-    return out
-
-
 def _sets(width: int, bits):
     def run(batches):
         for batch in batches:
-            at = batch.column(0).to_numpy() % ID_BITS
-            batch = batch.filter(pa.array((bits.value[at // 32] >> (at % 32).astype(np.uint32)) & 1 == 1))
+            batch = batch.filter(pa.array(has_bit(bits.value, batch.column(0).to_numpy())))
             for ids, texts in slices(batch, "doc_id", "body"):
                 sets = [shingle_set(t, width).tobytes() for t in texts]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["doc", "shingles"])
@@ -350,3 +339,21 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, round
     out = about.withColumn("g1", own).join(tops.withColumnRenamed("f1", "g1").withColumnRenamed("f2", "g2"), ["g1"], "left")
     out = out.where("g2 is null or g2 = f2")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("top", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each component, the one of the smallest id, with all its columns.
+
+    Documents without words stay, as do those without id; of rows that share an id one stays.
+    """
+    found = stored(jaccard_components(docs, width, percent).select("doc_id", "component_id"), "jaccard-components")
+    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    out = drop_ids(docs, gone)
+    again = again.select("doc_id").join(gone, "doc_id", "left_anti")
+    if again.isEmpty():
+        return out
+    field = id_bits(again)
+    order = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    first = with_bit(out, "doc_id", field).withColumn("_n", F.row_number().over(order)).where("_n = 1 or doc_id is null")
+    return with_bit(out, "doc_id", field, False).unionByName(first.drop("_n"))

@@ -15,6 +15,7 @@ from seawake.llm.mixing import Recipe, mix, word_tokens
 from seawake.llm.near_duplicates import jaccard_components
 from seawake.llm.quality_lines import line_quality
 from seawake.llm.quality_lines import train as train_field
+from seawake.llm.repeated_passages import remove_repeats
 from seawake.llm.sharding import shard_by_bytes
 from seawake.llm.toxicity import toxicity, train
 from seawake.llm.token_counts import count_tokens
@@ -95,3 +96,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = docs.agg(F.sum(word_tokens()).alias("n")).first()["n"] or 0
     mixed = mix(docs, Recipe(entropy=0.95, repeats=4.0, budget=total))
     return mixed.select("doc_id", "source", "epoch", "block", "place", word_tokens().alias("n_tokens"), "weight")
+
+
+@query
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents"), length=100)

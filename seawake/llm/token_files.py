@@ -21,6 +21,7 @@ import json
 import re
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +37,30 @@ MEMO_PIECES = 500_000
 
 # A text with any of these is encoded whole: white space next to white space, at the ends or outside
 # ASCII, the separator byte used below, and anything that looks like a special token.
-_odd = re.compile(
-    rb"[\x09-\x0d\x20][\x09-\x0d\x20]|^[\x09-\x0d\x20]|[\x09-\x0d\x20]$|[\x00\x09\x0b-\x0d\x1c-\x1f]|<\|"
-    rb"|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8-\xaf]|\xe2\x81[\x9f-\xaf]|\xe3\x80\x80|\xef\xbb\xbf"
-)
-
+_pairs = (b"  ", b" \n", b"\n ", b"\n\n", b"<|", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe1\xa0\x8e", b"\xe3\x80\x80", b"\xef\xbb\xbf")
+_control = b"\x00\x09\x0b\x0c\x0d\x1c\x1d\x1e\x1f"
+_wide = re.compile(rb"\xe2\x80[\x80-\x8f\xa8-\xaf]|\xe2\x81[\x9f-\xaf]")
 
 # a full stop or comma behind an ASCII letter, at the end of a piece
 _stop = re.compile(rb"([A-Za-z])([.,])\0")
+_kinds = bytes(
+    97 if chr(c).isalpha() and c < 128 else 46 if c in b".," else 32 if c in b" \n" else 120 for c in range(256)
+)
+
+
+def odd(text: bytes) -> bool:
+    if text[:1] in b" \n" or text[-1:] in b" \n" or len(text.translate(None, _control)) < len(text):
+        return True
+    return any(p in text for p in _pairs) or (b"\xe2" in text and _wide.search(text) is not None)
+
+
+def pieces_of(text: bytes) -> list[bytes]:
+    """The pieces of a text that is not ``odd``; joined they are the text."""
+    marked = text.replace(b" ", b"\0 ").replace(b"\n", b"\0\n\0")
+    kinds = text.translate(_kinds)
+    if b"x. " in kinds or b".. " in kinds or b" . " in kinds:  # some full stop may belong to a run of symbols: look at each
+        return _stop.sub(rb"\1\0\2\0", marked).split(b"\0")
+    return marked.replace(b".\0", b"\0.\0").replace(b",\0", b"\0,\0").split(b"\0")
 
 
 class PieceIds:
@@ -71,7 +88,7 @@ class PieceIds:
             part = pieces[at : at + 20_000]
             got = [e.ids for e in self.tk.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)]
             lengths = np.fromiter(map(len, got), np.int64, len(got))
-            new = np.fromiter((i for ids in got for i in ids), np.uint32, int(lengths.sum()))
+            new = np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum()))
             n = len(self.index)
             self.starts = _grown(self.starts, n + len(part))
             self.lengths = _grown(self.lengths, n + len(part))
@@ -85,8 +102,7 @@ class PieceIds:
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.index) > MEMO_PIECES:
             self._reset()
-        cut = lambda t: _stop.sub(rb"\1\0\2\0", t.replace(b" ", b"\0 ").replace(b"\n", b"\0\n\0"))
-        split = [None if _odd.search(t) else cut(t).split(b"\0") for t in texts]
+        split = [None if odd(t) else pieces_of(t) for t in texts]
         fresh = set().union(*(s for s in split if s is not None)).difference(self.index)
         self._learn(list(fresh))
         return [self._whole(t) if s is None else self._joined(s) for t, s in zip(texts, split)]
