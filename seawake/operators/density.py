@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from seawake.functions.geo import (
     bucket_start,
@@ -14,6 +15,7 @@ from seawake.functions.geo import (
     time_bucket,
 )
 from seawake.operators.trips import build_trips, legs, ordered_points
+from seawake.plans.joins import fullest
 from seawake.schema import M_PER_DEGREE, MS_TO_KNOTS, check_bbox, check_mmsi, check_period
 
 
@@ -35,25 +37,25 @@ def viewport_heatmap(
     start=None,
     end=None,
     granularity: int = 60,
-    top: int = 2000,
+    top: int | None = 2000,
 ) -> DataFrame:
-    """Mean position and log-scaled intensity per viewport cell, ``top`` fullest cells."""
+    """Mean position and log-scaled intensity per viewport cell, ``top`` fullest cells (None: all)."""
     check_period(start, end)
     cells = (
         _viewport_cells(points.where(in_period("base_date_time", start, end)), bbox, granularity)
         .groupBy("row", "col")
         .agg(F.count("*").alias("n_points"), F.avg("latitude").alias("lat"), F.avg("longitude").alias("lon"))
     )
-    peak = F.nullif(F.log(cells.agg(F.max("n_points")).scalar() + 1.0), F.lit(0.0))
-    return (
+    # at most granularity ** 2 cells, so the peak is a window over all of them
+    peak = F.nullif(F.log(F.max("n_points").over(W.partitionBy()) + 1.0), F.lit(0.0))
+    out = (
         cells.withColumn("intensity", F.least(F.log(F.col("n_points") + 1.0) / peak, F.lit(1.0)))
-        .orderBy(F.desc("n_points"), "row", "col")
-        .limit(top)
     )
+    return fullest(out, top, F.desc("n_points"), "row", "col")
 
 
 def vessel_density(
-    points: DataFrame, bbox: tuple[float, float, float, float], granularity: int = 30, top: int = 500
+    points: DataFrame, bbox: tuple[float, float, float, float], granularity: int = 30, top: int | None = 500
 ) -> DataFrame:
     """Distinct vessels per viewport cell at the mean of their mean positions."""
     per_vessel = (
@@ -64,12 +66,11 @@ def vessel_density(
     cells = per_vessel.groupBy("row", "col").agg(
         F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.count("*").alias("vessels")
     )
-    peak = F.nullif(cells.agg(F.max("vessels")).scalar(), F.lit(0))
-    return (
+    peak = F.nullif(F.max("vessels").over(W.partitionBy()), F.lit(0))
+    out = (
         cells.withColumn("intensity", F.least(F.col("vessels") / peak, F.lit(1.0)))
-        .orderBy(F.desc("vessels"), "row", "col")
-        .limit(top)
     )
+    return fullest(out, top, F.desc("vessels"), "row", "col")
 
 
 def _newest_trips(trips: DataFrame, max_trips: int | None) -> DataFrame:
@@ -103,7 +104,7 @@ def space_time_density(
     interval_s: int = 3600,
     start=None,
     end=None,
-    top: int = 1000,
+    top: int | None = 1000,
     max_trips: int | None = None,
 ) -> DataFrame:
     """D3: points and vessels per grid cell and time bucket, cells with more than one point."""
@@ -126,15 +127,14 @@ def space_time_density(
         )
         .where("n_points > 1")
     )
-    return (
+    out = (
         cells.withColumn("time_bucket", bucket_start(F.col("_b"), interval_s))
         .withColumn("lon", F.col("cell_x") * grid_size)
         .withColumn("lat", F.col("cell_y") * grid_size)
         .withColumn("intensity", F.least(F.lit(1.0), F.col("n_points") / 100.0))
         .drop("_b")
-        .orderBy(F.desc("n_points"), "time_bucket", "cell_x", "cell_y")
-        .limit(top)
     )
+    return fullest(out, top, F.desc("n_points"), "time_bucket", "cell_x", "cell_y")
 
 
 def corridors(
@@ -143,12 +143,14 @@ def corridors(
     min_vessels: int = 5,
     start=None,
     end=None,
-    top: int = 500,
+    top: int | None = 500,
     max_trips: int | None = None,
 ) -> DataFrame:
     """Cell-to-cell passages used by at least ``min_vessels`` vessels."""
     check_period(start, end)
-    trips = build_trips(points, numbered=False)
+    # the newest trips can only be told from the whole history
+    period = {} if max_trips is not None else {"start": start, "end": end}
+    trips = build_trips(points, numbered=False, **period)
     if max_trips is not None:
         trips = _newest_trips(trips, max_trips)
     g = legs(trips)
@@ -175,7 +177,7 @@ def corridors(
     )
     cx, cy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     direction = F.when((cx != 0) | (cy != 0), F.pmod(F.degrees(F.atan2(cx.cast("double"), cy.cast("double"))), F.lit(360.0)))
-    return cells.select(
+    out = cells.select(
         *keys,
         (F.col("x1") * grid_size).alias("start_lon"),
         (F.col("y1") * grid_size).alias("start_lat"),
@@ -188,7 +190,8 @@ def corridors(
         (F.col("m") / F.col("s") * MS_TO_KNOTS).alias("avg_speed_kn"),
         direction.alias("direction"),
         F.least(F.lit(1.0), F.col("vessels") / 50.0).alias("intensity"),
-    ).orderBy(F.desc("vessels"), F.desc("passages"), *keys).limit(top)
+    )
+    return fullest(out, top, F.desc("vessels"), F.desc("passages"), *keys)
 
 
 def speed_grid(
@@ -197,7 +200,7 @@ def speed_grid(
     start=None,
     end=None,
     min_vessels: int = 2,
-    top: int = 500,
+    top: int | None = 500,
     max_trips: int | None = None,
 ) -> DataFrame:
     """Mean of per-trip time-weighted speeds, binned by the middle of each trip's end points."""
@@ -229,7 +232,7 @@ def speed_grid(
         ((F.col("a.lon") + F.col("b.lon")) / 2).alias("x"),
         ((F.col("a.lat") + F.col("b.lat")) / 2).alias("y"),
     )
-    return (
+    out = (
         per_trip.groupBy(cell_id("x", grid_size).alias("cell_x"), cell_id("y", grid_size).alias("cell_y"))
         .agg(
             (F.avg("v") * MS_TO_KNOTS).alias("avg_speed_kn"),
@@ -239,9 +242,8 @@ def speed_grid(
         .where(F.col("trips") >= min_vessels)
         .withColumn("lon", F.col("cell_x") * grid_size)
         .withColumn("lat", F.col("cell_y") * grid_size)
-        .orderBy(F.desc("avg_speed_kn"), "cell_x", "cell_y")
-        .limit(top)
     )
+    return fullest(out, top, F.desc("avg_speed_kn"), "cell_x", "cell_y")
 
 
 def time_distribution(points: DataFrame, bucket_s: int = 3600, mmsi: int | None = None) -> DataFrame:

@@ -55,7 +55,8 @@ def overspeed_events(points: DataFrame, threshold: float = 30.0, start=None, end
     """Positioned reports at or above ``threshold`` knots."""
     check_period(start, end)
     sog = F.coalesce("sog", F.lit(0.0))
-    p = ordered_points(points.where(sog >= threshold), start, end)
+    # copies of one instant are settled before the threshold: only the report that stays counts
+    p = ordered_points(points, start, end).where(sog >= threshold)
     return p.select(
         "mmsi",
         F.col("base_date_time").alias("ts"),

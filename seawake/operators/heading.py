@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seawake.functions.geo import bearing_deg, cell_id, in_period, seconds_between, wrap180
-from seawake.operators.trips import ordered_points
+from seawake.operators.trips import around_period, ordered_points
+from seawake.plans.joins import fullest
 from seawake.plans.sliced import chain, link_within, time_slice
 from seawake.schema import TRIP_GAP_S, check_period
 
 
 def _leg_headings(points: DataFrame, start=None, end=None, mmsi: int | None = None) -> DataFrame:
     """Azimuth at every instant that starts a moving leg; NULL elsewhere."""
-    t = ordered_points(points, mmsi=mmsi).select(
+    t = ordered_points(around_period(points, start, end), mmsi=mmsi).select(
         "mmsi",
         F.col("base_date_time").alias("ts"),
         F.col("longitude").alias("lon"),
@@ -93,9 +94,9 @@ def turn_events(
 
 
 def heading_grid(
-    points: DataFrame, grid_size: float = 0.05, start=None, end=None, min_points: int = 5, top: int = 1000
+    points: DataFrame, grid_size: float = 0.05, start=None, end=None, min_points: int = 5, top: int | None = 1000
 ) -> DataFrame:
-    """H3: mean heading per grid cell with at least ``min_points`` headings, ``top`` fullest cells."""
+    """H3: mean heading per grid cell with at least ``min_points`` headings, ``top`` fullest cells (None: all)."""
     check_period(start, end)
     g = (
         _leg_headings(points, start, end)
@@ -109,9 +110,5 @@ def heading_grid(
         )
         .where(F.col("n_points") >= min_points)
     )
-    return (
-        g.withColumn("lon", F.col("cell_x") * grid_size)
-        .withColumn("lat", F.col("cell_y") * grid_size)
-        .orderBy(F.desc("n_points"), "cell_x", "cell_y")
-        .limit(top)
-    )
+    g = g.withColumn("lon", F.col("cell_x") * grid_size).withColumn("lat", F.col("cell_y") * grid_size)
+    return fullest(g, top, F.desc("n_points"), "cell_x", "cell_y")

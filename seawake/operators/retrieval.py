@@ -5,11 +5,13 @@ from __future__ import annotations
 import datetime as dt
 import math
 from collections.abc import Sequence
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seawake.functions.geo import instant, mbb_intersects, seconds
+from seawake.plans.checkpoints import reliable_checkpoint
 from seawake.plans.joins import semi_filter, sized_broadcast
 
 Box = tuple[float, float, float, float, dt.datetime, dt.datetime]
@@ -31,31 +33,37 @@ def range_query(summaries: DataFrame, boxes: DataFrame, pruned: bool = True, str
 
     ``boxes`` has ``box_id`` and ``box``.  With ``pruned`` both sides meet on longitude strips,
     so a trip is compared only with boxes near it.  Without, every box is tested on
-    every trip, one scan per batch of boxes; that form exists to check the first.
+    every trip, one scan per block of 1000 boxes; that form exists to check the first.
     """
     if not pruned:
-        listed = boxes.select("box_id", "box").limit(1001).collect()
-        if len(listed) > 1000:
-            raise ValueError("the unpruned scan takes at most 1000 boxes")
-        tests = F.array(
-            *[
-                F.struct(
-                    F.lit(r["box_id"]).alias("box_id"),
-                    box_column(
-                        (r["box"]["xmin"], r["box"]["xmax"], r["box"]["ymin"], r["box"]["ymax"], r["box"]["tmin"], r["box"]["tmax"])
-                    ).alias("box"),
-                )
-                for r in listed
-            ]
-        )
-        hits = F.filter(tests, lambda q: mbb_intersects(F.col("mbb"), q["box"]))
-        return summaries.select("mmsi", F.explode(hits).alias("q")).select("q.box_id", "mmsi").distinct()
+        listed, found = boxes.select("box_id", "box").toLocalIterator(), None
+        while block := list(islice(listed, 1000)):
+            hits = _scan(summaries, block)
+            found = hits if found is None else found.unionByName(hits)
+        return (_scan(summaries, []) if found is None else found).distinct()
     s = summaries.select("mmsi", "mbb", F.explode(_strips(F.col("mbb"), strip_deg)).alias("strip"))
     q = boxes.select("box_id", "box", F.explode(_strips(F.col("box"), strip_deg)).alias("strip"))
     meet = s.join(sized_broadcast(q), "strip").where(mbb_intersects(F.col("mbb"), F.col("box")))
     return meet.select("box_id", "mmsi").distinct()
 
 
+def _scan(summaries: DataFrame, block: list) -> DataFrame:
+    """The hits of a block of boxes on every trip."""
+    tests = [
+        F.struct(
+            F.lit(r["box_id"]).alias("box_id"),
+            box_column(
+                (r["box"]["xmin"], r["box"]["xmax"], r["box"]["ymin"], r["box"]["ymax"], r["box"]["tmin"], r["box"]["tmax"])
+            ).alias("box"),
+        )
+        for r in block
+    ]
+    if not tests:
+        return summaries.select(F.lit(0).cast("long").alias("box_id"), "mmsi").limit(0)
+    hits = F.filter(F.array(*tests), lambda q: mbb_intersects(F.col("mbb"), q["box"]))
+    return summaries.select("mmsi", F.explode(hits).alias("q")).select("q.box_id", "mmsi")
+
+
 def knn_query(
     summaries: DataFrame, query_points: Sequence[tuple], k: int = 10, radius: float = 0.1, max_radius: float = 180.0
 ) -> DataFrame:
@@ -122,33 +130,47 @@ def vessel_details(summaries: DataFrame, ids: DataFrame | Sequence[int]) -> Data
 
 
 def st_partition(summaries: DataFrame, n_parts: int = 16) -> DataFrame:
-    """Balanced space-time parts: add ``part``, splitting cells at the median of their widest axis.
+    """``n_parts`` balanced space-time parts: adds ``part``, splitting cells at the median of their widest axis.
 
-    Axes are box centres in degrees and hours.  Each round is one aggregate over all
-    cells; what returns to the driver is one row per cell, at most ``n_parts``.
-    Write the result with ``partitionBy('part')`` so that range queries skip files.
+    Axes are box centres in degrees and hours.  Each round splits all parts, or the fullest ones if fewer are
+    missing, and is one aggregate; what returns to the driver is one row per part.  There are fewer
+    parts only where no part can be split any more.  Write the result with ``partitionBy('part')`` so
+    that range queries skip files.
     """
-    depth = max(0, math.ceil(math.log2(n_parts)))
     b = F.col("mbb")
     d = summaries.select(
         "*",
         ((b["xmin"] + b["xmax"]) / 2).alias("_x"),
         ((b["ymin"] + b["ymax"]) / 2).alias("_y"),
         ((seconds("mbb.tmin") + seconds("mbb.tmax")) / 7200).alias("_t"),
-        F.lit(0).alias("part"),
     )
-    spark = summaries.sparkSession
-    axes = ("_x", "_y", "_t")
-    for _ in range(depth):
-        stats = d.groupBy("part").agg(
+    if n_parts < 2:
+        return d.drop("_x", "_y", "_t").withColumn("part", F.lit(0))
+    d = reliable_checkpoint(d)
+    axes, part, n, solid = ("_x", "_y", "_t"), F.lit(0), 1, set()
+    while n < n_parts:
+        stats = d.withColumn("part", part).groupBy("part").agg(
+            F.count(F.lit(1)).alias("n"),
             *[F.percentile_approx(a, 0.5, 10_000).alias(f"mid{a}") for a in axes],
-            *[(F.max(a) - F.min(a)).alias(f"width{a}") for a in axes],
+            *[F.min(a).alias(f"min{a}") for a in axes],
+            *[F.max(a).alias(f"max{a}") for a in axes],
         )
+        rows = [r for r in stats.collect() if r["part"] not in solid]
         cuts = []
-        for r in stats.collect():
-            axis = max(axes, key=lambda a: r[f"width{a}"])
-            cuts.append((r["part"], axes.index(axis), float(r[f"mid{axis}"])))
-        plan = F.broadcast(spark.createDataFrame(cuts, "part int, axis int, mid double"))
-        value = F.when(F.col("axis") == 0, F.col("_x")).when(F.col("axis") == 1, F.col("_y")).otherwise(F.col("_t"))
-        d = d.join(plan, "part").withColumn("part", F.col("part") * 2 + (value > F.col("mid")).cast("int")).drop("axis", "mid")
-    return d.drop(*axes)
+        for r in sorted(rows, key=lambda r: (-r["n"], r["part"]))[: n_parts - n]:
+            axis = max(axes, key=lambda a: r[f"max{a}"] - r[f"min{a}"])
+            low, mid, high = (float(r[f"{k}{axis}"]) for k in ("min", "mid", "max"))
+            if low == high:
+                solid.add(r["part"])
+            else:  # a median at the top would leave nothing above it
+                cuts.append((r["part"], axis, mid if mid < high else math.nextafter(high, low), n + len(cuts)))
+        if not cuts:
+            break
+        n += len(cuts)
+        # the part so far as an expression: a chain of at most n_parts comparisons
+        moved = part
+        for old, axis, mid, new in cuts:
+            moved = F.when((part == old) & (F.col(axis) > mid), F.lit(new)).otherwise(moved)
+        d = reliable_checkpoint(d.withColumn("_p", moved))
+        part = F.col("_p")
+    return d.withColumn("part", part).drop(*axes, "_p")

@@ -170,10 +170,10 @@ def spline_resample(segments: DataFrame, step_s: int = STEP_S, block_knots: int
     )
 
 
-def filter_resampled(resampled: DataFrame, max_kmh: float = MAX_SPEED_KMH) -> DataFrame:
-    """M3: drop segments with any grid step faster than ``max_kmh``."""
+def filter_resampled(resampled: DataFrame, max_kmh: float = MAX_SPEED_KMH, step_s: int = STEP_S) -> DataFrame:
+    """M3: drop segments with any grid step faster than ``max_kmh``; ``step_s`` is the step of the grid."""
     # all steps have one length: a neighbour is never farther than the longest of them
-    linked = link_within(resampled.select(*SEGMENT, "ts", "lon", "lat"), SEGMENT, "ts", ["ts", "lon", "lat"], STEP_S, slices=480)
+    linked = link_within(resampled.select(*SEGMENT, "ts", "lon", "lat"), SEGMENT, "ts", ["ts", "lon", "lat"], step_s, slices=480)
     bad = _kmh(linked).where(F.col("kmh") > max_kmh).select(*SEGMENT).distinct()
     return resampled.join(bad, SEGMENT, "left_anti")
 

@@ -34,6 +34,19 @@ def ordered_points(points: DataFrame, start=None, end=None, closed: bool = True,
     return dedupe_points(p, keep="first")
 
 
+def around_period(points: DataFrame, start, end, gap_s: float = TRIP_GAP_S) -> DataFrame:
+    """Reports of a period and ``gap_s`` around it.
+
+    A leg is at most that long, so every leg that touches the period has both its ends here, and
+    the bounds reach the scan.
+    """
+    if start is None:
+        return points
+    halo = F.make_dt_interval(secs=F.lit(float(gap_s)))
+    at = F.col("base_date_time")
+    return points.where((at >= instant(start) - halo) & (at <= instant(end) + halo))
+
+
 def _name_key(name: Column) -> Column:
     """Non-NULL stand-in for a nullable name, so that NULL names group and join."""
     return F.coalesce(F.concat(F.lit("="), name), F.lit(""))
@@ -45,14 +58,21 @@ def build_trips(
     by_name: bool = True,
     mmsi: int | None = None,
     numbered: bool = True,
+    start=None,
+    end=None,
 ) -> DataFrame:
     """Trips per (mmsi, vessel_name), or per mmsi when ``by_name`` is false.
 
+    With ``start`` and ``end`` only the legs that touch that period are sure to be complete, and
+    reports farther away are not read; sequence numbers need the whole history.
+
     A new sequence starts at a gap longer than ``gap_s``.  ``by_name=False`` follows
     a vessel through reports with a missing or changed name; ``vessel_name`` is then
     that of the report.
     """
-    p = ordered_points(points, mmsi=mmsi).select(
+    if start is not None and numbered:
+        raise ValueError("sequence numbers need the whole history: use numbered=False with a period")
+    p = ordered_points(around_period(points, start, end, gap_s), mmsi=mmsi).select(
         "mmsi",
         *([] if by_name else ["vessel_name"]),
         (_name_key(F.col("vessel_name")) if by_name else F.lit("")).alias("trip_key"),
@@ -183,6 +203,18 @@ def lerp(p1: Column, p2: Column, frac: Column) -> Column:
     return p1 + (p2 - p1) * frac
 
 
+def lerp_lon(p1: Column, p2: Column, frac: Column) -> Column:
+    """Between two longitudes the short way round; across 180 degrees the result is wrapped."""
+    d = p2 - p1
+    over = p1 + (d - 360.0 * F.signum(d)) * frac
+    wrapped = over - 360.0 * F.floor((over + 180.0) / 360.0)
+    return F.when(F.abs(d) <= 180.0, lerp(p1, p2, frac)).otherwise(wrapped)
+
+
+def lerp_axis(axis: str):
+    return lerp_lon if axis == "lon" else lerp
+
+
 def at_period(trip_points: DataFrame, start, end, closed: bool = False) -> DataFrame:
     """T4: a trip restricted to a period, with interpolated points at cut ends.
 
@@ -194,7 +226,7 @@ def at_period(trip_points: DataFrame, start, end, closed: bool = False) -> DataF
     ts, nxt = F.col("ts"), F.col("next")
     cut = lambda t: F.struct(
         t.alias("ts"),
-        lerp(F.col("lon"), nxt["lon"], seconds_between(ts, t) / seconds_between(ts, nxt["ts"])).alias("lon"),
+        lerp_lon(F.col("lon"), nxt["lon"], seconds_between(ts, t) / seconds_between(ts, nxt["ts"])).alias("lon"),
         lerp(F.col("lat"), nxt["lat"], seconds_between(ts, t) / seconds_between(ts, nxt["ts"])).alias("lat"),
         F.lit(True).alias("interpolated"),
     )
@@ -220,7 +252,7 @@ def track_statistics(points: DataFrame, start=None, end=None, mmsi: int | None =
     and the sums combine before the shuffle.
     """
     check_period(start, end)
-    t = build_trips(points, mmsi=mmsi, numbered=False)
+    t = build_trips(points, mmsi=mmsi, numbered=False, start=start, end=end)
     leg_end = F.coalesce("next.ts", "ts")
     t1, t2 = F.col("ts"), leg_end
     if start is not None:
@@ -251,7 +283,7 @@ def track_statistics(points: DataFrame, start=None, end=None, mmsi: int | None =
 def speed_series(points: DataFrame, start=None, end=None, mmsi: int | None = None) -> DataFrame:
     """Step speed in knots at every instant; the last instant repeats its last leg."""
     check_period(start, end)
-    t = build_trips(points, mmsi=mmsi, numbered=False).where(in_period("ts", start, end))
+    t = build_trips(points, mmsi=mmsi, numbered=False, start=start, end=end).where(in_period("ts", start, end))
     out = F.col("next"), F.col("prev")
     fwd = hav_m("lon", "lat", out[0]["lon"], out[0]["lat"]) / seconds_between("ts", out[0]["ts"])
     back = hav_m(out[1]["lon"], out[1]["lat"], "lon", "lat") / seconds_between(out[1]["ts"], "ts")
@@ -274,7 +306,7 @@ def value_at(trip_points: DataFrame, queries: DataFrame, gap_s: float = TRIP_GAP
     exact = hit["ts"] == F.col("ts")
 
     def pos(axis: str) -> Column:
-        return F.when(exact, hit[axis]).when(hit["next"].isNotNull(), lerp(hit[axis], hit["next"][axis], frac))
+        return F.when(exact, hit[axis]).when(hit["next"].isNotNull(), lerp_axis(axis)(hit[axis], hit["next"][axis], frac))
 
     return got.withColumn("lon", pos("lon")).withColumn("lat", pos("lat")).drop("hit")
 
@@ -340,7 +372,7 @@ def resample_frames(points: DataFrame, start, end, step_s: int = 60, mmsi: int |
     hold = (hit["ts"] == F.col("ts")) | ahead.isNull()
 
     def pos(axis: str) -> Column:
-        return F.when(hold, hit[axis]).otherwise(lerp(hit[axis], ahead[axis], frac))
+        return F.when(hold, hit[axis]).otherwise(lerp_axis(axis)(hit[axis], ahead[axis], frac))
 
     return got.where(hit.isNotNull()).select(
         "mmsi",
@@ -361,6 +393,7 @@ def frame_trails(frames: DataFrame, n: int = 10, block: int = 1000) -> DataFrame
     """
     from pyspark.sql.window import Window as W
 
+    block = max(block, n)  # the frames before one lie in its block or the one ahead
     own = F.floor(F.col("frame") / block)
     late = F.col("frame") % block >= block - n
     halo = frames.withColumn("_own", own).withColumn(
@@ -376,7 +409,7 @@ def frame_trails(frames: DataFrame, n: int = 10, block: int = 1000) -> DataFrame
 
 def track_lines(points: DataFrame, start=None, end=None, mmsi: int | None = None) -> DataFrame:
     """Track of each vessel in ``[start, end)`` as flat rows ready for ``to_geojson``."""
-    trips = build_trips(points, by_name=False, mmsi=mmsi, numbered=False)
+    trips = build_trips(points, by_name=False, mmsi=mmsi, numbered=False, start=start, end=end)
     return trips if start is None else at_period(trips, start, end)
 
 

@@ -48,7 +48,7 @@ def area_detection(points: DataFrame, zones: DataFrame, start, end) -> DataFrame
     vessel that crosses between two reports.  ``inside_track`` needs two reports inside.
     """
     check_period(start, end)
-    trips = build_trips(points, by_name=False, numbered=False)
+    trips = build_trips(points, by_name=False, numbered=False, start=start, end=end)
     leg = clip_legs(legs(trips), start, end)
     f1 = seconds_between("ts", "t1") / F.col("dt")
     f2 = seconds_between("ts", "t2") / F.col("dt")

@@ -13,22 +13,14 @@ def sized_broadcast(df: DataFrame, weight: Column | None = None, limit: int = BR
     """Mark ``df`` for broadcast if its measured size is within ``limit``.
 
     The size is the row count, or the sum of ``weight`` (for instance polygon
-    vertices).  The probe reads at most ``limit + 1`` rows.  A larger frame is returned
+    vertices), at least one per row.  The probe reads at most ``limit + 1`` rows.  A larger frame is returned
     unchanged and Spark shuffles, with AQE splitting skewed partitions.
     """
-    w = F.lit(1) if weight is None else weight
+    w = F.lit(1) if weight is None else F.greatest(F.coalesce(weight.cast("long"), F.lit(1)), F.lit(1))
     probe = df.select(w.alias("w")).limit(limit + 1).agg(F.coalesce(F.sum("w"), F.lit(0)).alias("n"))
     return F.broadcast(df) if probe.first()["n"] <= limit else df
 
 
-def with_buckets(df: DataFrame, ts: Column, width_s: float, reach: int = 0, name: str = "bucket") -> DataFrame:
-    """Add time bucket ``name``; with ``reach`` each row appears in the buckets around too."""
-    b = F.floor(F.unix_micros(ts) / F.lit(int(width_s * 1_000_000)))
-    if reach:
-        b = F.explode(F.sequence(b - reach, b + reach))
-    return df.withColumn(name, b)
-
-
 def with_span_buckets(
     df: DataFrame, start: Column, end: Column, width_s: float, name: str = "bucket"
 ) -> DataFrame:
@@ -39,6 +31,11 @@ def with_span_buckets(
     )
 
 
+def fullest(df: DataFrame, top: int | None, *order) -> DataFrame:
+    """The first ``top`` rows in ``order``, or all of them, unordered, with ``top=None``."""
+    return df if top is None else df.orderBy(*order).limit(top)
+
+
 def semi_filter(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Keep rows whose key occurs in ``keys`` (``IN`` list of any length)."""
     return df.join(keys.select(*on).distinct(), on, "left_semi")
