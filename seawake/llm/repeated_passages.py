@@ -36,7 +36,7 @@ from seawake.llm.ids import id_bits, with_bit
 GRAM = 24
 SEGMENT = 1 << 19
 #: anchors a task holds before it settles and ships them
-FLUSH = 1_500_000
+FLUSH = 400_000
 SHALLOW = 48
 HOT = 200_000
 

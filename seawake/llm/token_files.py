@@ -173,13 +173,14 @@ class SequenceFile:
         flat = np.concatenate(self.ids) if self.ids else np.zeros(0, np.uint32)
         ends = np.zeros(len(flat), bool)
         ends[self.ends] = True
-        full = len(flat) if last else len(flat) // self.length * self.length
+        unit = self.BATCH * self.length  # every batch but the last has BATCH sequences
+        full = len(flat) if last else len(flat) // unit * unit
         out, marks, real = flat[:full], ends[:full], np.ones(full, bool)
         if pad := -full % self.length:
             out, marks, real = (np.concatenate([a, np.zeros(pad, a.dtype)]) for a in (out, marks, real))
         dtype = self.kind.to_pandas_dtype()
-        for at in range(0, len(out), self.BATCH * self.length):
-            cut = slice(at, at + self.BATCH * self.length)
+        for at in range(0, len(out), unit):
+            cut = slice(at, at + unit)
             columns = (pa.array(out[cut].astype(dtype)), pa.array(real[cut]), pa.array(marks[cut]))
             arrays = [pa.FixedSizeListArray.from_arrays(c, self.length) for c in columns]
             self.writer.write_batch(pa.RecordBatch.from_arrays(arrays, schema=self.schema))
