@@ -59,6 +59,18 @@ def _(spark, sf):
     return _typed(positions.read_positions_csv(spark, folder, glob="*.csv"))
 
 
+@check("read_positions_folder", f"{with_points()} {_TEXT_SQL}")
+def _(spark, sf):
+    """One folder with files of two column orders, and one that has no position."""
+    folder, p = scratch(spark) + "/csv", _as_text(points(spark, sf))
+    even = F.col("MMSI").cast("long") % 2 == 0
+    save = lambda df: df.write.mode("append").option("header", True).csv(folder)
+    save(p.where(even))
+    save(p.where(~even).select(*reversed(p.columns)))
+    save(p.drop("LAT").limit(5))
+    return _typed(positions.read_positions_csv(spark, folder, glob="*.csv"))
+
+
 @check("type_positions", f"{with_points()} {_TEXT_SQL}")
 def _(spark, sf):
     return _typed(positions.type_positions(_as_text(points(spark, sf))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -102,19 +103,68 @@ def read_text_columns(
     return reader.csv(paths if isinstance(paths, str) else list(paths))
 
 
+#: bytes at the start of a file that tell its header and its encoding
+SAMPLE_BYTES = 1 << 20
+
+
+def _start(spark: SparkSession, path: str) -> bytes:
+    """The first bytes of a file, cut behind the last line break if the file goes on."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(sc._jsc.hadoopConfiguration()).open(at)
+    try:
+        data = bytes(stream.readNBytes(SAMPLE_BYTES))
+    finally:
+        stream.close()
+    return data[: data.rfind(b"\n") + 1] if len(data) == SAMPLE_BYTES else data
+
+
+def header_groups(
+    spark: SparkSession, paths: str | Sequence[str], encoding: str | None = None, glob: str | None = None
+) -> dict[tuple[str, str], list[str]]:
+    """Files by (encoding, header line).  Without ``encoding`` a file that is not UTF-8 is taken for GBK.
+
+    Only the first ``SAMPLE_BYTES`` of every file are read.  Empty files are left out.
+    """
+    reader = spark.read.format("binaryFile")
+    if glob is not None:
+        reader = reader.option("pathGlobFilter", glob)
+    files = reader.load(paths if isinstance(paths, str) else list(paths)).select("path").orderBy("path").collect()
+    groups: dict[tuple[str, str], list[str]] = {}
+    for r in files:
+        data, found = _start(spark, r["path"]), encoding
+        if found is None:
+            try:
+                data.decode("utf-8")
+                found = "UTF-8"
+            except UnicodeDecodeError:
+                found = "GBK"
+        header = data.decode(found, "replace").lstrip("\ufeff").split("\n", 1)[0].rstrip("\r")
+        if header.strip():
+            groups.setdefault((found, header), []).append(r["path"])
+    return groups
+
+
 def read_positions_csv(
     spark: SparkSession,
     paths: str | Sequence[str],
-    encoding: str = "UTF-8",
+    encoding: str | None = None,
     glob: str | None = None,
 ) -> DataFrame:
     """SRC1, SRC3, SRC4: position CSV files to typed points.
 
-    ``paths`` is a file, a directory or a list; pass ``glob='*.csv'`` to filter a directory
-    and ``encoding='GBK'`` for files that are not UTF-8.  Files read together share
-    one header; read files with other headers in separate calls and union them by name.
+    ``paths`` is a file, a directory or a list; pass ``glob='*.csv'`` to filter a directory.  Every file
+    is read by its own header: files that share one are one scan.  A file whose header lacks the
+    vessel, the time or the position is skipped.  ``encoding`` holds for all files; left out, it is
+    UTF-8 (with or without a mark) or else GBK, file by file.
     """
-    return type_positions(read_text_columns(spark, paths, encoding, glob))
+    out = None
+    for (found, header), files in header_groups(spark, paths, encoding, glob).items():
+        if any(c not in map_headers(next(csv.reader([header]))) for c in REQUIRED):
+            continue
+        part = type_positions(read_text_columns(spark, files, found))
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], POINT_SCHEMA) if out is None else out
 
 
 def clean_points(df: DataFrame, ts_format: str = "yyyy-MM-dd HH:mm:ss") -> DataFrame:

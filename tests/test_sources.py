@@ -85,3 +85,19 @@ def test_streamed_import_is_idempotent(spark, tmp_path):
         raw = stream_positions(spark, str(folder), HEAD.split(","))
         start_import(raw, table, str(tmp_path / "checkpoint")).awaitTermination(120)
     assert spark.read.parquet(table).count() == 1
+
+
+def test_headers_and_encodings_file_by_file(spark, tmp_path):
+    """Two column orders, a file without position, a GBK one, an empty one and one with a mark."""
+    when = "2025-01-01 00:00:00"
+    write(tmp_path / "a.csv", f"MMSI,BaseDateTime,LAT,LON\n200000001,{when},30.5,121.5\n")
+    write(tmp_path / "b.csv", f"MMSI,BaseDateTime,LON,LAT\n200000002,{when},121.5,30.5\n")
+    write(tmp_path / "c.csv", f"MMSI,BaseDateTime,SOG\n200000003,{when},5\n")
+    write(tmp_path / "d.csv", f"MMSI,BaseDateTime,LAT,LON,VesselName\n200000004,{when},30.5,121.5,长江\n", "gbk")
+    write(tmp_path / "e.csv", "")
+    write(tmp_path / "f.csv", f"MMSI,BaseDateTime,LAT,LON\r\n200000006,{when},30.5,121.5\r\n", "utf-8-sig")
+    rows = {r.mmsi: r for r in positions.read_positions_csv(spark, str(tmp_path), glob="*.csv").collect()}
+    assert sorted(rows) == [200000001, 200000002, 200000004, 200000006]
+    assert {(r.longitude, r.latitude) for r in rows.values()} == {(121.5, 30.5)}
+    assert rows[200000004].vessel_name == "长江"
+    assert positions.read_positions_csv(spark, str(tmp_path / "c.csv")).count() == 0
