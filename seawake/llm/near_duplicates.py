@@ -15,15 +15,18 @@ group within the shorter prefix, and so would miss more than is allowed.  So no
 whatever shingles are called frequent: frequencies steer the cost alone, never the result.  They
 come from a sketch of fixed size that counts every shingle of every document.
 
-*Verification.*  Documents under one index key are candidates.  Emitting all pairs of a key would be
-quadratic for groups of near copies, so candidates are taken in rounds: each key names a few
-leaders, every other document under it is checked against them, and documents found in one
-component need no further check among each other.  Leaders change from round to round; when few
-pairs are left, or after the last round, all pairs still in different components are checked.
+*Verification.*  Documents that share a key are candidates.  Emitting their pairs would be quadratic, and
+similar documents share many keys.  So each key names its least document as leader, and all documents under
+the keys of one leader form a group: a pair that shares a key is in a group together, and in few.  A
+group is compared whole, by the products of its shingle-by-document matrix, in one task or, if larger than
+``BLOCK``, in blocks; what comes out is a forest of links.  Large groups are first checked against their
+leader alone, and documents that are in one component after that are not compared again.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from seawake.llm.common import slices, stored, utf8
+from seawake.llm.common import shuffle_width, slices, stored, utf8
 from seawake.llm.components import connected
 from seawake.llm.ids import drop_ids, has_bit, id_bits, with_bit
 
@@ -42,14 +45,16 @@ MEMO_WORDS = 1_000_000
 _memo: dict[bytes, int] = {}
 
 #: counters of the frequency sketch (2 ** SKETCH_BITS) and how many travel in one row
-SKETCH_BITS, SKETCH_ROW = 21, 1 << 13
+SKETCH_BITS, SKETCH_ROW = 22, 1 << 13
 #: a shingle is frequent from this many times the mean count of a counter, and this many at least
 FREQUENT_TIMES, FREQUENT_LEAST = 6, 64
 #: (from set size, to set size, groups of frequent shingles); neighbouring ranges overlap by more than
 #: the sizes of two similar sets can differ, so every similar pair has a range in common
 TIERS = ((0, 40, 1), (28, 1_000, 4), (700, 16_000, 64), (11_000, 1 << 40, 1024))
-#: all pairs left are checked once there are at most this many per document and key
-ALL_PAIRS_TIMES = 2
+#: documents of a group that one task compares with each other or with as many others
+BLOCK = 256
+#: columns of the incidence matrix multiplied at once
+COLUMNS = 8_192
 
 _M1, _M2, _M3 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -107,15 +112,27 @@ def _describe(width: int):
     )
 
     def run(batches):
-        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+        sketch, held, n = np.zeros(1 << SKETCH_BITS, np.uint32), [], 0
+
+        def count():
+            flat = np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)
+            places, times = np.unique(flat.astype(np.int64), return_counts=True)
+            sketch[places] += times.astype(np.uint32)
+            held.clear()
+
         for batch in batches:
             for ids, texts in slices(batch, "doc_id", "body"):
                 sets = [shingle_set(t, width) for t in texts]
-                flat = np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)
-                sketch += np.bincount(flat.astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
+                held += sets
+                n += sum(map(len, sets))
+                if n > 2_000_000:
+                    count()
+                    n = 0
                 prints = [_fingerprint(s) for s in sets]
                 columns = [ids, list(map(len, sets)), *zip(*prints), [None] * len(ids), [None] * len(ids)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+        if held:
+            count()
         packer = zstandard.ZstdCompressor(level=1)
         rows = [
             (i, packer.compress(sketch[at : at + SKETCH_ROW].tobytes()))
@@ -161,11 +178,14 @@ def index_keys(shingles: np.ndarray, freq: Frequencies, percent: int) -> np.ndar
     """Keys of which two different similar sets share at least one."""
     n = len(shingles)
     need = n - least_overlap(n, percent) + 1
-    if need <= 1:  # every shingle must be shared: only equal sets are similar
+    if n < 2:  # only an equal set is similar to a set of one
         return np.zeros(0, np.uint64)
     counts = freq.of(shingles)
-    order = np.lexsort((shingles, counts))
-    ordered, common = shingles[order], counts[order] >= freq.frequent
+    order = np.argsort(counts, kind="stable")  # equal counts stay in the order of the hash
+    ordered = shingles[order]
+    if counts[order[need - 1]] < freq.frequent:  # the plain prefix is all rare, in every tier
+        return ordered[:need]
+    common = counts[order] >= freq.frequent
     keys = []
     for tier, (least, most, groups) in enumerate(TIERS):
         if not least <= n <= most:
@@ -187,20 +207,22 @@ def index_keys(shingles: np.ndarray, freq: Frequencies, percent: int) -> np.ndar
     return np.unique(np.concatenate(keys))
 
 
-def _index(width: int, percent: int, freq):
+def _index(width: int, percent: int, freq, skip=None):
+    """Keys of each document; those whose bit is set in ``skip`` are left out."""
+
     def run(batches):
         for batch in batches:
+            if skip is not None:
+                batch = batch.filter(pa.array(~has_bit(skip.value, batch.column(0).to_numpy())))
             for ids, texts in slices(batch, "doc_id", "body"):
                 sets = [shingle_set(t, width) for t in texts]
                 keys = [index_keys(s, freq.value, percent) for s in sets]
                 sizes = list(map(len, keys))
                 flat = np.concatenate(keys).view(np.int64)
                 docs = np.repeat(np.array(ids, np.int64), sizes)
-                prints = np.repeat(np.array([_fingerprint(s)[0] for s in sets], np.int64), sizes)
                 for at in range(0, len(flat), 100_000):
                     cut = slice(at, at + 100_000)
-                    arrays = [pa.array(c[cut]) for c in (flat, docs, prints)]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["key", "doc", "f"])
+                    yield pa.RecordBatch.from_arrays([pa.array(flat[cut]), pa.array(docs[cut])], names=["key", "doc"])
 
     return run
 
@@ -241,57 +263,101 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.mapInArrow(_verify(percent), "a long, b long")
 
 
-def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members with their component, under the keys that still hold more than one."""
-    m = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left")
-    m = m.select("key", "doc", "n", F.coalesce("comp", "doc").alias("comp"))
-    mixed = m.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-    return m.join(mixed.select("key"), "key")
+def similar_forest(docs, comps, blocks, sets, percent: int) -> list[tuple[int, int]]:
+    """Links that join the components of these documents as far as similar pairs do.
+
+    With two different ``blocks`` only pairs across them count.  Overlaps come from products of the incidence
+    matrix of the shingles that occur more than once.
+    """
+    sizes = np.array([len(s) for s in sets])
+    shingles, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    rank = np.cumsum(times > 1) - 1
+    keep = times[column] > 1
+    row, column = row[keep], rank[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (start, start + COLUMNS))
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[row[a:b], column[a:b] - start] = 1
+        both += part @ part.T
+    both = both.astype(np.int64)
+    similar = np.triu(100 * both >= percent * (sizes[:, None] + sizes[None, :] - both), 1)
+    similar &= comps[:, None] != comps[None, :]
+    if blocks.min() != blocks.max():
+        similar &= blocks[:, None] != blocks[None, :]
+    top: dict[int, int] = {}
+
+    def find(x):
+        while top.get(x, x) != x:
+            x = top[x]
+        return x
+
+    out = []
+    for i, j in np.argwhere(similar).tolist():
+        x, y = find(int(comps[i])), find(int(comps[j]))
+        if x != y:
+            top[max(x, y)] = min(x, y)
+            out.append((int(docs[i]), int(docs[j])))
+    return out
+
+
+def _compare(percent: int):
+    """All groups of a part: rows of one ``lead, i, j`` are compared with each other."""
+
+    def run(table):
+        lead, i, j, docs, comps, own = (table.column(n).to_numpy() for n in ("lead", "i", "j", "doc", "comp", "own"))
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        order = np.lexsort((docs, j, i, lead))
+        cut = np.flatnonzero((np.diff(lead[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)) + 1
+        links = []
+        for at in np.split(order, cut):
+            if len(at) > 1:
+                links += similar_forest(docs[at], comps[at], own[at], [sets[k] for k in at], percent)
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
 
 
-def _pairs_left(open_: DataFrame) -> tuple[int, int]:
-    """How many pairs lie under a key in different components, and under how many rows."""
-    per = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).cast("double").alias("c"))
-    per = per.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("s"))
-    r = per.agg(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2).alias("p"), F.sum("n").alias("n")).first()
-    return int(r["p"] or 0), int(r["n"] or 0)
+def _with_comp(df: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
+    side = labels.select(F.col("node").alias(column), F.col("comp").alias("_c"))
+    return df.join(side, column, "left").withColumn(name, F.coalesce("_c", column)).drop("_c")
 
 
-def _leader_pairs(members: DataFrame, leaders: int, seed: int, percent: int) -> DataFrame:
-    """Each document under a key with that key's leaders, where sizes allow a link and components differ.
+def _group_links(groups: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Links between different components of each group ``lead, doc``.
 
-    Leaders are the documents least by a hash that depends on the round, found by an aggregate
-    that combines before the shuffle; a hot key joins by its few leaders.
+    A small group is one comparison.  In a large one the documents of the leader's component and the others
+    form blocks; a block of others meets every block, two of the leader's component never meet.
     """
-    rank = F.xxhash64(F.lit(seed), "doc") if seed else F.col("doc")
-    heads = None
-    for i in range(leaders):
-        mine = rank if not i else F.xxhash64(F.lit(seed * 100 + i), "doc")
-        head = F.min(F.struct(mine.alias("r"), F.col("doc").alias("doc"), F.col("n").alias("n"), F.col("comp").alias("comp")))
-        heads = [*(heads or []), head.alias(f"h{i}")]
-    top = members.groupBy("key").agg(*heads, F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-    top = top.where("c0 <> c1").select("key", F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(leaders)]))).alias("h"))
-    near = F.least("n", "h.n") * 100 >= percent * F.greatest("n", "h.n")
-    met = members.join(top, "key").where((F.col("comp") != F.col("h.comp")) & near)
-    return met.select(F.least("doc", "h.doc").alias("a"), F.greatest("doc", "h.doc").alias("b")).distinct()
-
-
-def _all_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """What is left: pairs under a key in different components."""
-    m = members.select("key", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    o = members.select("key", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    near = F.least("na", "nb") * 100 >= percent * F.greatest("na", "nb")
-    return m.join(o, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b").distinct()
-
-
-def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, rounds: tuple[int, ...] = (1, 3, 6)) -> DataFrame:
+    g = _with_comp(_with_comp(groups, labels, "doc", "comp"), labels, "lead", "main")
+    other = F.count_if(F.col("comp") != F.col("main"))
+    size = g.groupBy("lead").agg(F.count(F.lit(1)).alias("m"), other.alias("o")).where("o > 0")
+    g = g.join(size, "lead").withColumn("small", F.col("m") <= BLOCK)
+    first, rest = F.ceil((F.col("m") - F.col("o")) / BLOCK), F.ceil(F.col("o") / BLOCK)
+    pick = F.xxhash64("doc")
+    own = F.when(F.col("comp") == F.col("main"), F.pmod(pick, first)).otherwise(first + F.pmod(pick, rest))
+    g = g.withColumn("own", F.when(F.col("small"), F.lit(0)).otherwise(own).cast("int"))
+    meets = F.when(F.col("small"), F.array(F.lit(0).cast("long"))).when(
+        F.col("comp") == F.col("main"), F.sequence(first.cast("long"), (first + rest - 1).cast("long"))
+    ).otherwise(F.sequence(F.lit(0).cast("long"), (first + rest - 1).cast("long")))
+    g = g.withColumn("k", F.explode(meets)).withColumn("k", F.col("k").cast("int"))
+    g = g.select("lead", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "doc", "comp", "own")
+    full = g.join(sets, "doc").withColumn("part", F.pmod(F.xxhash64("lead", "i", "j"), F.lit(parts)))
+    return full.groupBy("part").applyInArrow(_compare(percent), "a long, b long")
+
+
+def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """``doc_id, n_shingles, component_id``: the smallest id reachable over links, itself included.
 
     Two documents link when their shingle sets (``width`` words, A-Z lower-cased, words between
     ASCII white space) have ``100 * intersection >= percent * union``.  Documents without words,
     or without text, link with nothing.  A NULL ``doc_id`` is a document of its own that links
     with nothing; repeated rows of an id are one document for linking (their texts' sets all count)
-    and give one row each.  ``rounds`` are the leaders per key in each round; they change the cost only.
+    and give one row each.
     """
     if percent < 70:
         raise ValueError("the size ranges of TIERS hold for similarities from 70 %")
@@ -312,27 +378,37 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, round
     ties = solid.join(several, "doc_id").join(reps, ["f1", "f2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = stored(ties.where("a <> b"), "jaccard-links")
 
-    # index keys that documents with different sets share, and the representatives under them
-    keys = stored(body.where("doc_id is not null").mapInArrow(_index(width, percent, freq), "key long, doc long, f long"), "jaccard-keys")
-    shared = keys.groupBy("key").agg(F.min("f").alias("f0"), F.max("f").alias("f1")).where("f0 <> f1").select("key")
-    found = keys.join(shared, "key").select("key", "doc").distinct()
-    members = stored(found.join(reps.select(F.col("rep").alias("doc"), "n"), "doc"), "jaccard-members")
+    # keys of the representatives; copies cannot add to them and are left out, by a bit field and exactly
+    named = body.where("doc_id is not null")
+    copies = solid.select("doc_id").distinct().join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti")
+    skip = spark.sparkContext.broadcast(id_bits(copies))
+    alike = with_bit(named, "doc_id", skip.value).join(copies, "doc_id", "left_anti")
+    columns = "key long, doc long"
+    keys = named.mapInArrow(_index(width, percent, freq, skip), columns)
+    keys = stored(keys.unionByName(alike.mapInArrow(_index(width, percent, freq), columns)), "jaccard-keys")
+
+    # documents that share a key with another one of a size that allows a link: sizes that do lie in
+    # one class or in neighbouring ones, so each document is put under its class and the next
+    shared = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "jaccard-shared")
+    found = with_bit(keys, "key", id_bits(shared)).join(shared, "key")
+    found = found.join(reps.select(F.col("rep").alias("doc"), "n"), "doc")
+    step = math.log(100 / percent) * 1.0001
+    size = F.floor(F.log("n") / step)
+    found = found.withColumn("key", F.explode(F.array(F.xxhash64("key", size), F.xxhash64("key", size + 1)))).distinct()
+    several = found.groupBy("key").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1")).where("d0 <> d1")
+    members = stored(found.join(several.select("key"), "key"), "jaccard-members")
     bits = spark.sparkContext.broadcast(id_bits(members.select("doc")))
-    sets = stored(body.where("doc_id is not null").mapInArrow(_sets(width, bits), "doc long, shingles binary"), "jaccard-shingles")
-
-    labels = connected(links)
-    for i, leaders in enumerate((*rounds, 0)):
-        open_ = stored(_open_members(members, labels), "jaccard-open")
-        left, rows = _pairs_left(open_)
-        if not left:
-            break
-        few = left <= ALL_PAIRS_TIMES * rows
-        pairs = _all_pairs(open_, percent) if few or not leaders else _leader_pairs(open_, leaders, i, percent)
-        new = stored(_links(pairs, sets, percent), "jaccard-links")
-        links = links.unionByName(new)
-        labels = stored(connected(links), "jaccard-labels")
-        if few or not leaders:
-            break
+    sets = stored(named.mapInArrow(_sets(width, bits), "doc long, shingles binary"), "jaccard-shingles")
+
+    heads = members.groupBy("key").agg(F.min("doc").alias("lead"))
+    groups = stored(members.join(heads, "key").select("lead", "doc").distinct(), "jaccard-groups")
+    large = groups.groupBy("lead").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK).select("lead")
+    star = groups.join(large, "lead").where("doc <> lead").select(F.col("lead").alias("a"), F.col("doc").alias("b"))
+    links = links.unionByName(stored(_links(star, sets, percent), "jaccard-links"))
+    labels = stored(connected(links), "jaccard-labels")
+    parts = 4 * shuffle_width(spark)
+    links = links.unionByName(stored(_group_links(groups, labels, sets, percent, parts), "jaccard-links"))
+    labels = stored(connected(links), "jaccard-labels")
 
     tops = reps.join(labels, reps.rep == labels.node, "left").select("f1", "f2", F.coalesce("comp", "rep").alias("top"))
     own = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("f1"))

@@ -94,12 +94,38 @@ def chain(spark):
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
-@pytest.mark.parametrize("rounds", [(), (1,), (1, 2, 3)])
-def test_rounds_change_nothing(chain, rounds, monkeypatch):
-    monkeypatch.setattr(nd, "ALL_PAIRS_TIMES", 0)  # leaders until the last round
+@pytest.mark.parametrize("block", [2, 7, 1000])
+def test_blocks_change_nothing(chain, block, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK", block)  # large groups: leader first, then blocks
     monkeypatch.setattr(nd, "FREQUENT_LEAST", 8)
     rows = [(r.doc_id, r.text) for r in chain.collect()]
-    assert components(chain, rounds=rounds) == brute(rows, 3, 90)
+    assert components(chain) == brute(rows, 3, 90)
+
+
+@pytest.mark.parametrize("columns", [8, 8192])
+def test_similar_forest(columns, monkeypatch):
+    monkeypatch.setattr(nd, "COLUMNS", columns)
+    r = np.random.default_rng(columns)
+    sets = [np.unique(r.integers(0, 40, 30).astype(np.uint64)) for _ in range(40)] + [np.arange(3, dtype=np.uint64)]
+    docs, comps, blocks = np.arange(41), np.arange(41), np.arange(41) % 2
+    comps[7] = 3
+    for own in (np.zeros(41), blocks):
+        links = nd.similar_forest(docs, comps, own, sets, 60)
+        good = {
+            (i, j) for i in range(41) for j in range(i + 1, 41)
+            if (own[i] != own[j] or own.max() == 0) and comps[i] != comps[j]
+            and 100 * len(np.intersect1d(sets[i], sets[j])) >= 60 * len(np.union1d(sets[i], sets[j]))
+        }
+        assert set(links) <= good
+
+        def labels(edges):
+            top = list(range(41))
+            for _ in range(41):
+                for a, b in [*edges, (3, 7)]:
+                    top[a] = top[b] = min(top[a], top[b])
+            return top
+
+        assert labels(links) == labels(good) and len(links) < 41
 
 
 def test_keep_one(repeated):
