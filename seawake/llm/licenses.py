@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from seawake.llm.common import stored
+
 # Phrases and labels of the base
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
@@ -175,7 +177,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         gate = gate | F.contains("norm", F.lit(g))
     table = F.from_json(F.lit(json.dumps(rules())), _RULE)
 
-    plain = words.where(~gate).select(
+    # one pass over the texts; what goes on are the few that hold a gate phrase
+    words = stored(words.select("doc_id", "n_words", F.when(gate, F.col("norm")).alias("norm")), "licenses")
+    plain = words.where("norm is null").select(
         "doc_id",
         "n_words",
         F.lit(0).cast("long").alias("n_base"),
@@ -187,7 +191,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     )
 
     # one row per candidate rule, then per match; pieces between and inside matches give its place in words
-    tried = words.where(gate).withColumn("row", F.monotonically_increasing_id()).withColumn("rules", table)
+    tried = words.where("norm is not null").withColumn("row", F.monotonically_increasing_id()).withColumn("rules", table)
     tried = tried.withColumn("r", F.explode_outer(F.expr("filter(rules, r -> contains(norm, r.keyword))"))).drop("rules")
     tried = tried.withColumn("hits", F.regexp_extract_all("norm", F.col("r.pattern"), F.lit(0)))
     pieces = F.when(F.size("hits") > 0, F.arrays_zip(F.expr("split(norm, r.pattern, -1)").alias("gap"), F.col("hits").alias("hit")))
