@@ -69,8 +69,8 @@ def _beginnings(word: bytes) -> list[bytes]:
     return [word[:n] if n < len(word) else word + b" " for n in {min(len(word), k) for k in (5, 6, 7, 8, 10)}]
 
 
-def _surroundings(texts: list[bytes]) -> dict[bytes, int]:
-    """For each beginning of a word the number of different neighbour pairs it was seen between."""
+def _surroundings(texts: list[bytes], only: dict | None = None) -> dict[bytes, int]:
+    """For each beginning of a word (in ``only``) the number of different neighbour pairs it was seen between."""
     seen = collections.defaultdict(set)
     for text in texts:
         words = [b"", *_word.findall(text), b""]
@@ -78,15 +78,17 @@ def _surroundings(texts: list[bytes]) -> dict[bytes, int]:
             if len(word) >= 4:
                 pair = hash((before, after))
                 for b in _beginnings(word):
-                    seen[b].add(pair)
+                    if only is None or b in only:
+                        seen[b].add(pair)
     return {b: len(pairs) for b, pairs in seen.items()}
 
 
 def toxic_dictionary(toxic: list[bytes], ordinary: list[bytes], odds: float = 6, least: int = 6, words: int = 150) -> bytes:
     """The words that mark toxic text, the most telling ones last."""
-    t, o = _surroundings(toxic), _surroundings(ordinary)
+    t = {b: n for b, n in _surroundings(toxic).items() if n >= least}
+    o = _surroundings(ordinary, t)
     share = sum(map(len, toxic)) / max(1, sum(map(len, ordinary)))
-    marks = {b for b, n in t.items() if n >= least and n > odds * share * (o.get(b, 0) + 1)}
+    marks = {b for b, n in t.items() if n > odds * share * (o.get(b, 0) + 1)}
     counts = collections.Counter()
     for text in toxic:
         counts.update(w for w in _word.findall(text) if not marks.isdisjoint(_beginnings(w)))
