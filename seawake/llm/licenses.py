@@ -1,8 +1,8 @@
 """License scan with ordered signature rules, in DataFrame functions only.
 
 A text becomes its words: A-Z lower-cased, runs of ASCII that is neither digit nor letter replaced by
-one space.  A few gate phrases decide which texts can hold a license statement at all; only those
-go on.  Each rule has a keyword that must occur before its regular expression is tried.
+one space.  Gate phrases, taken from the rules, decide which texts can hold a license statement at all;
+only those go on.  Each rule has a keyword that must occur before its regular expression is tried.
 
 Every match is an interval of words.  An interval inside another one is suppressed; of equal ones
 the rule of the better priority stays.  Of two survivors that overlap in part, the one with the
@@ -25,9 +25,6 @@ from seawake.llm.common import stored
 # Phrases and labels of the base
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: a text with none of these holds no statement that any rule finds
-GATES = ("licen", "cc by", "rights reserved", "public domain", "creative commons", "released under", "spdx")
-
 # Hand-written signatures: label, keyword, how the name is written (as words), versions
 FAMILIES = (
     ("apache", "apache", "apache(?: software)?", "1.0 1.1 2.0"),
@@ -62,7 +59,7 @@ FAMILIES = (
     ("bsl", "boost", "boost software", "1.0"),
     ("busl", "business source", "business source", "1.0 1.1"),
     ("psf", "python", "python(?: software foundation)?", "2 2.0"),
-    ("php", " php ", "php", "3.0 3.01"),
+    ("php", " php", "php", "3.0 3.01"),
     ("ruby", " ruby ", "ruby", ""),
     ("openssl", "openssl", "openssl", ""),
     ("ofl", "open font", "(?:sil )?open font", "1.0 1.1"),
@@ -102,7 +99,10 @@ OTHERS = (
     ("unspecified", "licen", "(?:licen[cs]ed|released|distributed) under (?:the terms of )?(?:the|an|a) [a-z0-9]+ licen[cs]e", 9),
 )
 
-_GRANT = "(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?"
+_VERBS = ("licen[cs]ed", "released", "distributed", "available", "published", "provided")
+_GRANT = f"(?:{'|'.join(_VERBS)}) under (?:the )?(?:terms of )?(?:the )?"
+#: every match of a rule that begins with ``_GRANT`` holds one of these
+_GRANTED = ("licen", *(f" {v} under " for v in _VERBS[1:]))
 _LICENSE = "(?: public)?(?: licen[cs]e)?"
 
 
@@ -111,26 +111,30 @@ def _words(version: str) -> str:
 
 
 def rules() -> list[dict]:
-    """All signatures: label, priority (0 is best), keyword, pattern, confidence, and whether it is a base phrase."""
+    """All signatures: label, priority (0 is best), keyword, pattern, confidence, and whether it is a base phrase.
+
+    Every match holds the keyword and one of ``gates``.
+    """
     out, seen = [], set()
 
-    def add(label, priority, keyword, pattern, base=False):
+    def add(label, priority, keyword, pattern, base=False, gates=None):
         if (pattern, base) in seen:
             return
         seen.add((pattern, base))
         confidence = 0.5 if base else round(1 - priority / 20, 2)
-        out.append(dict(label=label, priority=priority, keyword=keyword, base=base, confidence=confidence, pattern=f"(?<= ){pattern}(?= )"))
+        rule = dict(label=label, priority=priority, keyword=keyword, base=base, confidence=confidence, pattern=f"(?<= ){pattern}(?= )")
+        out.append(rule | {"gates": gates or (keyword,)})
 
     for phrase, label in BASE:
         add(label, 10, phrase, phrase, base=True)
     for label, keyword, name, versions in FAMILIES:
-        add(label, 3, keyword, f"{_GRANT}{name}{_LICENSE}")
-        add(label, 5, keyword, f"{name}(?: public)? licen[cs]e")
+        add(label, 3, keyword, f"{_GRANT}{name}{_LICENSE}", gates=_GRANTED)
+        add(label, 5, keyword, f"{name}(?: public)? licen[cs]e", gates=("licen",))
         add(label, 2, "spdx", f"spdx licen[cs]e identifier {_words(label.replace('-', ' '))}")
         for v in versions.split():
             numbered = f"(?: version| v)? ?{_words(v)}"
-            add(f"{label}-{v}", 1, keyword, f"{_GRANT}{name}{_LICENSE}{numbered}")
-            add(f"{label}-{v}", 4, keyword, f"{name}(?: public)? licen[cs]e{numbered}")
+            add(f"{label}-{v}", 1, keyword, f"{_GRANT}{name}{_LICENSE}{numbered}", gates=_GRANTED)
+            add(f"{label}-{v}", 4, keyword, f"{name}(?: public)? licen[cs]e{numbered}", gates=("licen",))
             add(f"{label}-{v}", 0, "spdx", f"spdx licen[cs]e identifier {_words(label.replace('-', ' '))} {_words(v)}(?: only| or later)?")
     for parts, v in product(CC_PARTS, ("", *CC_VERSIONS)):
         label, tail = f"cc-{parts}" + (f"-{v}" if v else ""), f" {_words(v)}" if v else ""
@@ -144,6 +148,9 @@ def rules() -> list[dict]:
     return out
 
 
+#: a text with none of these holds no statement that any rule finds
+GATES = tuple(sorted({g for r in rules() for g in r["gates"]}))
+
 _RULE = "array<struct<label string, priority int, keyword string, pattern string, confidence double, base boolean>>"
 
 
@@ -175,7 +182,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     gate = F.lit(False)
     for g in GATES:
         gate = gate | F.contains("norm", F.lit(g))
-    table = F.from_json(F.lit(json.dumps(rules())), _RULE)
+    table = F.from_json(F.lit(json.dumps([{k: v for k, v in r.items() if k != "gates"} for r in rules()])), _RULE)
 
     # one pass over the texts; what goes on are the few that hold a gate phrase
     words = stored(words.select("doc_id", "n_words", F.when(gate, F.col("norm")).alias("norm")), "licenses")

@@ -1,6 +1,9 @@
 """The license scan against Python's regular expressions."""
 
 import re
+import sys
+
+import pytest
 
 from seawake.llm.licenses import BASE, GATES, rules, scan_licenses
 
@@ -86,3 +89,63 @@ def test_rules_are_many_and_distinct():
     r = rules()
     assert len(r) > 300 and len({(x["pattern"], x["base"]) for x in r}) == len(r)
     assert all(re.search(x["pattern"], " ") is None for x in r)
+
+
+def expand(parsed):
+    """Every text a rule's pattern matches; of a free word one."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            ways = [chr(arg)]
+        elif name == "IN":
+            ways = [chr(v) for o, v in arg if str(o) == "LITERAL"] or ["q"]
+        elif name == "BRANCH":
+            ways = [x for branch in arg[1] for x in expand(branch)]
+        elif name == "SUBPATTERN":
+            ways = expand(arg[3])
+        elif name == "MAX_REPEAT":
+            ways = [""] * (arg[0] == 0) + expand(arg[2])
+        else:
+            assert name in ("ASSERT", "ASSERT_NOT"), name
+            ways = [""]
+        out = [a + b for a in out for b in ways]
+    return out
+
+
+@pytest.fixture
+def no_gate(monkeypatch):
+    """The brute force tries every rule on every text."""
+    monkeypatch.setattr(sys.modules[__name__], "GATES", ("",))
+
+
+def test_every_match_holds_keyword_and_gate():
+    for r in rules():
+        for text in expand(re._parser.parse(r["pattern"])):
+            assert re.search(r["pattern"], f" {text} ")
+            assert r["keyword"] in f" {text} " and any(g in f" {text} " for g in GATES), (text, r)
+
+
+def test_every_rule_fires_alone(spark, no_gate):
+    """Texts that hold the shortest and the longest match of one rule and nothing else."""
+    texts = {f(expand(re._parser.parse(r["pattern"])), key=len) for r in rules() for f in (min, max)}
+    got = check(spark.createDataFrame(list(enumerate(sorted(texts))), "doc_id long, text string"))
+    assert len(got) == len(texts) and all(r.labels and r.score > 0 for r in got.values())
+
+
+def test_statements_without_the_word_license(spark, no_gate):
+    lines = {
+        "Distributed under the GNU GPL version 3": "gpl-3",
+        "available under the Apache 2.0": "apache-2.0",
+        "published under MIT": "mit",
+        "CC0 1.0 Universal": "cc0",
+        "Proprietary and confidential": "proprietary",
+        "not without the express written permission": "proprietary",
+    }
+    got = check(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    assert [got[i].labels for i in range(len(lines))] == list(lines.values())
+
+
+def test_tables_without_gate(given, docs, no_gate):
+    check(given("documents"))
+    check(docs)
