@@ -2,9 +2,10 @@
 
 Texts are words: A-Z lower-cased, ASCII letters, digits and everything outside ASCII, split at the rest.
 A seed is a fixed mask laid over a run of words; it hashes the words under its ones and ignores the
-others.  The three masks are chosen so that any 15 words of which at most 3 were substituted
-still have a place where one of the masks sees none of the substitutions: with the limits
-below no such overlap is missed.
+others.  The masks are chosen so that any 15 words of which at most 3 were substituted
+still have a place where one of the masks sees none of the substitutions, and likewise the whole of a
+shorter item with the substitutions its length allows (``SHORT``): with the limits below no such
+overlap is missed.  Documents are hashed with the masks that the benchmark's items need.
 
 1. Benchmark seeds are hashed; a bit field of fixed length is made of them and sent to all tasks.
 2. Tasks hash all seeds of all documents and keep the places whose bits are set, grouped into regions
@@ -27,14 +28,27 @@ from seawake.llm.ids import drop_ids
 from seawake.llm.near_duplicates import _mix, hash_words
 
 MASKS = ("1111011", "11001000111", "11010110001")
+#: masks of shorter items: from, to how many words, and the masks; 13 and 14 words have those above
+SHORT = (
+    (1, 1, ("1",)),
+    (2, 2, ("11",)),
+    (3, 3, ("111",)),
+    (4, 4, ("1111",)),
+    (5, 6, ("1111", "10111", "11011", "11101")),
+    (7, 9, ("11111", "110111", "111101")),
+    (10, 12, ("111011", "1101011", "1110011")),
+)
 WINDOW, PERCENT = 15, 80
+#: an item of fewer words is no evidence
+SHORTEST = 7
 #: words of a region at most; a longer one is cut, with WINDOW words of overlap
 REGION = 512
 #: the bit field holds 2 ** FIELD_BITS bits, two for each seed
 FIELD_BITS = 24
 
 _words = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
-_OFFSETS = [np.array([i for i, c in enumerate(m) if c == "1"]) for m in MASKS]
+_ALL = tuple(dict.fromkeys((*MASKS, *(m for _, _, masks in SHORT for m in masks))))
+_OFFSETS = [np.array([i for i, c in enumerate(m) if c == "1"]) for m in _ALL]
 _ODD = [np.uint64(0x9E3779B97F4A7C15 + 2 * i * 0x51ED270B) for i in range(16)]
 
 
@@ -42,10 +56,16 @@ def words_of(text: bytes) -> np.ndarray:
     return hash_words(text.translate(_words).split())
 
 
-def seeds(words: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def masks_of(n: int) -> tuple[int, ...]:
+    """The numbers of the masks for an item of ``n`` words."""
+    return tuple(_ALL.index(m) for m in next((masks for a, b, masks in SHORT if a <= n <= b), MASKS))
+
+
+def seeds(words: np.ndarray, masks: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per mask the hashes of its places and the word each starts at."""
     out = []
-    for k, offsets in enumerate(_OFFSETS):
+    for k in masks:
+        offsets = _OFFSETS[k]
         n = max(0, len(words) - int(offsets[-1]))
         h = np.full(n, k + 1, np.uint64)
         for j, o in enumerate(offsets):
@@ -59,21 +79,23 @@ def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h & low).astype(np.int64), ((h >> np.uint64(32)) & low).astype(np.int64)
 
 
-def _item_seeds(window: int):
+def _item_seeds(window: int, shortest: int):
     def run(batches):
         for batch in batches:
             for ids, texts in slices(batch, "item_id", "body"):
                 rows = []
                 for item, text in zip(ids, texts):
                     w = words_of(text)
-                    for h, at in seeds(w):
+                    masks = masks_of(len(w)) if len(w) >= shortest else ()
+                    for k, (h, at) in zip(masks, seeds(w, masks)):
                         for x, i in zip(h.view(np.int64).tolist(), at.tolist()):
                             around = w[max(0, i - window) : i + 2 * window]
                             same = xxhash.xxh3_64_intdigest(around.tobytes()) >> 1
-                            rows.append((x, item, i, same))
+                            rows.append((x, item, i, k, same))
                 if rows:
-                    arrays = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int64()))]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["h", "item_id", "i", "same"])
+                    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+                    arrays = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["h", "item_id", "i", "mask", "same"])
 
     return run
 
@@ -92,7 +114,7 @@ def bit_field(item_seeds: DataFrame) -> np.ndarray:
 _REGION = "doc_id long, start int, words binary, hits array<struct<h:long,at:int>>"
 
 
-def _regions(field, window: int):
+def _regions(field, masks: tuple[int, ...], window: int):
     hit_type = pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32())]))
     types = (pa.int64(), pa.int32(), pa.binary(), hit_type)
 
@@ -103,7 +125,7 @@ def _regions(field, window: int):
         return ((f[a >> 5] >> (a & 31).astype(np.uint32)) & (f[b >> 5] >> (b & 31).astype(np.uint32)) & one) == one
 
     def of(doc, w):
-        found = [(h[k], at[k]) for h, at in seeds(w) for k in [on(h)]]
+        found = [(h[k], at[k]) for h, at in seeds(w, masks) for k in [on(h)]]
         h, at = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
         if not len(at):
             return
@@ -164,24 +186,28 @@ def _verify(window: int, percent: int):
     return run
 
 
-def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = PERCENT) -> DataFrame:
+def benchmark_overlaps(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = PERCENT, shortest: int = SHORTEST
+) -> DataFrame:
     """One row per document and benchmark item that overlap: ``doc_id, item_id, start_word, n_words, n_equal``.
 
     The words are counted in the document; the longest passing stretch of a pair is given, the first
     of equals.  Of benchmark places with the same surroundings only the least item is used, so a
-    passage many items share does not multiply.  Items under seven words are too short to be evidence and match
-    nothing; items under ``window`` words must match over their whole length.  Texts that are
+    passage many items share does not multiply.  Items under ``shortest`` words are too short to be evidence and
+    match nothing; items under ``window`` words must match over their whole length.  Texts that are
     NULL or empty, and rows without id, overlap nothing.
     """
     spark = docs.sparkSession
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), utf8().alias("body"))
-    own = items.mapInArrow(_item_seeds(window), "h long, item_id long, i int, same long")
-    own = own.groupBy("h", "same").agg(F.min(F.struct("item_id", "i")).alias("p")).select("h", "p.item_id", "p.i")
+    own = items.mapInArrow(_item_seeds(window, shortest), "h long, item_id long, i int, mask int, same long")
+    own = own.groupBy("h", "same").agg(F.min(F.struct("item_id", "i", "mask")).alias("p")).select("h", "p.*")
     own = stored(own.distinct(), "benchmark-seeds")
+    masks = tuple(sorted(r["mask"] for r in own.select("mask").distinct().collect())) or masks_of(window)
+    own = own.drop("mask")
     field = spark.sparkContext.broadcast(bit_field(own))
 
     body = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("body"))
-    regions = stored(body.mapInArrow(_regions(field, window), _REGION), "benchmark-regions")
+    regions = stored(body.mapInArrow(_regions(field, masks, window), _REGION), "benchmark-regions")
     hits = regions.select("doc_id", "start", F.xxhash64("words").alias("w"), F.explode("hits").alias("x"))
     hits = hits.select("doc_id", "start", "w", "x.h", "x.at").join(own, "h")
     shifts = hits.select("doc_id", "start", "w", "item_id", (F.col("at") - F.col("i")).alias("shift")).distinct()

@@ -87,3 +87,43 @@ def test_awkward(spark, docs, repeated, none, given):
     kept = dc.decontaminate(repeated, items)
     assert kept.columns == repeated.columns and kept.count() == repeated.count() - 1
     assert pairs(none, items) == set() and pairs(docs, items.limit(0)) == set()
+
+
+def test_masks_see_every_short_item():
+    """The substitutions that 80 % of a short item allow leave a place for one of its masks."""
+    for n in range(1, 15):
+        allowed = n - -(-80 * n // 100)
+        for gone in itertools.combinations(range(n), allowed):
+            masks = [dc._ALL[k] for k in dc.masks_of(n)]
+            assert any(all(a + k not in gone for k, c in enumerate(m) if c == "1") for m in masks for a in range(n - len(m) + 1))
+
+
+def test_short_items_with_every_substitution(spark):
+    """Each allowed placing in items of 5 to 14 words, and one substitution too many."""
+    items = [(n, " ".join(words(50 + n, n))) for n in range(1, 15)]
+    docs = []
+    for n, text in items:
+        allowed = n - -(-80 * n // 100)
+        for gone in [*itertools.combinations(range(n), allowed), tuple(range(allowed + 1))]:
+            w = [f"x{i}" if i in gone else v for i, v in enumerate(text.split())]
+            docs.append((len(docs), " ".join(words(500 + len(docs), 20) + w + words(900 + len(docs), 20))))
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute(docs, items)
+    assert pairs(*frames) == want and len(want) > 300
+    every = {(r.doc_id, r.item_id) for r in dc.benchmark_overlaps(*frames, shortest=1).collect()}
+    split = {d: text.split() for d, text in docs}
+    for n, text in items[:6]:
+        b = text.split()
+        found = {d for d, w in split.items() for s in range(len(w) - n + 1) if 100 * sum(x == y for x, y in zip(w[s:], b)) >= 80 * n}
+        assert found and {(d, n) for d in found} == {p for p in every if p[1] == n}
+    assert {p for p in every if p[1] >= 7} == want
+
+
+def test_short_benchmark_beside_tables(spark, given):
+    """Five-word seeds met by common words: only real overlaps are named."""
+    docs = given("documents").where("text is not null").limit(40)
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    items = [(i, " ".join(text.split()[5 : 5 + n])) for i, ((_, text), n) in enumerate(zip(rows, itertools.cycle([7, 8, 9, 10, 11, 12])))]
+    assert pairs(docs.select("doc_id", "text"), spark.createDataFrame(items, "item_id long, text string")) >= {
+        (d, i) for i, (d, text) in enumerate(rows) if len(items[i][1].encode().translate(MARKS).split()) >= 7
+    }
