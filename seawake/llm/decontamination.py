@@ -12,7 +12,8 @@ overlap is missed.  Documents are hashed with the masks that the benchmark's ite
    of words.  What has nothing in common with the benchmark ends here.
 3. The kept hashes are joined with the benchmark's; a match gives a document, an item and a shift.
 4. Each shift is verified on the words around: an overlap counts if ``window`` aligned words (or the whole
-   item, if shorter) agree in at least ``percent`` of their places.
+   item, if shorter) agree in at least ``percent`` of their places.  Places beyond the end of a text count
+   as different, so twelve equal words are enough at a border too.
 """
 
 from __future__ import annotations
@@ -159,9 +160,12 @@ def overlap(doc: np.ndarray, item: np.ndarray, shift: int, window: int, percent:
     """
     lo, hi = max(0, shift), min(len(doc), shift + len(item))
     size = min(window, len(item))
-    if hi - lo < size:
+    if hi <= lo:
         return None
     same = (doc[lo:hi] == item[lo - shift : hi - shift]).astype(np.int64)
+    if hi - lo < size:  # one window holds all, and places that differ
+        equal = int(same.sum())
+        return (lo, hi - lo, equal) if 100 * equal >= percent * size else None
     sums = np.convolve(same, np.ones(size, np.int64), "valid")
     good = np.flatnonzero(100 * sums >= percent * size)
     if not len(good):
@@ -195,7 +199,7 @@ def benchmark_overlaps(
     of equals.  Of benchmark places with the same surroundings only the least item is used, so a
     passage many items share does not multiply.  Items under ``shortest`` words are too short to be evidence and
     match nothing; items under ``window`` words must match over their whole length.  Texts that are
-    NULL or empty, and rows without id, overlap nothing.
+    NULL or empty overlap nothing; rows without id have no name to be given and are left to ``decontaminate``.
     """
     spark = docs.sparkSession
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), utf8().alias("body"))
@@ -222,5 +226,13 @@ def benchmark_overlaps(
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that overlap no benchmark item, with all their columns."""
-    return drop_ids(docs, stored(benchmark_overlaps(docs, benchmark).select("doc_id").distinct(), "benchmark-ids"))
+    """The documents that overlap no benchmark item, with all their columns; rows without id are judged one by one."""
+    kept = drop_ids(docs, stored(benchmark_overlaps(docs, benchmark).select("doc_id").distinct(), "benchmark-ids"))
+    nameless = docs.where("doc_id is null")
+    if nameless.isEmpty():
+        return kept
+    numbered = stored(nameless.withColumn("__row", F.monotonically_increasing_id()), "benchmark-nameless")
+    found = benchmark_overlaps(numbered.select(F.col("__row").alias("doc_id"), "text"), benchmark)
+    found = stored(found.select(F.col("doc_id").alias("__row")).distinct(), "benchmark-rows")
+    rest = numbered.join(found, "__row", "left_anti").select(docs.columns)
+    return kept.where("doc_id is not null").unionByName(rest)

@@ -127,3 +127,35 @@ def test_short_benchmark_beside_tables(spark, given):
     assert pairs(docs.select("doc_id", "text"), spark.createDataFrame(items, "item_id long, text string")) >= {
         (d, i) for i, (d, text) in enumerate(rows) if len(items[i][1].encode().translate(MARKS).split()) >= 7
     }
+
+
+def test_borders(spark):
+    """12 equal words of a window count where the document or the item begins or ends; 11 do not."""
+    item = words(70, 30)
+    other = words(71, 60)
+    docs = {
+        1: item[5:19],  # the whole document
+        2: other[:20] + item[:13],  # ends with the item's first words
+        3: item[-12:] + other[20:40],
+        4: other[:20] + item[:11],
+        5: item[4:11] + ["x"] + item[12:17],  # 12 of 13
+        6: item[4:10] + ["x", "y"] + item[12:17],  # 11 of 13
+        7: other[:9] + item[:12],
+    }
+    short = words(72, 10)
+    docs |= {8: other[:20] + short[:8], 9: short[3:] + other[:20], 10: short[2:]}
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short))], "item_id long, text string")
+    assert pairs(frame, items) == {(1, 1), (2, 1), (3, 1), (5, 1), (7, 1), (8, 2), (10, 2)}
+    got = {r.doc_id: (r.start_word, r.n_words, r.n_equal) for r in dc.benchmark_overlaps(frame, items).collect()}
+    assert got[2] == (20, 13, 13) and got[5] == (0, 13, 12)
+
+
+def test_rows_without_id(spark, none):
+    item = " ".join(words(73, 30))
+    rows = [(None, item, 1), (None, "clean text", 2), (1, item, 3), (2, "clean text", 4), (None, item, 5), (None, None, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = dc.decontaminate(docs, items)
+    assert kept.columns == docs.columns and {r.n for r in kept.collect()} == {2, 4, 6}
+    assert dc.decontaminate(none, items).count() == 0
