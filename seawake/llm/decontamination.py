@@ -191,21 +191,28 @@ def _verify(window: int, percent: int):
 
 
 def benchmark_overlaps(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = PERCENT, shortest: int = SHORTEST
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = WINDOW,
+    percent: int = PERCENT,
+    shortest: int = SHORTEST,
+    every: bool = True,
 ) -> DataFrame:
     """One row per document and benchmark item that overlap: ``doc_id, item_id, start_word, n_words, n_equal``.
 
     The words are counted in the document; the longest passing stretch of a pair is given, the first
-    of equals.  Of benchmark places with the same surroundings only the least item is used, so a
-    passage many items share does not multiply.  Items under ``shortest`` words are too short to be evidence and
+    of equals.  With ``every=False`` only the least item is used of benchmark places with the same
+    surroundings, so a passage many items share does not multiply; the documents named are the same.
+    Items under ``shortest`` words are too short to be evidence and
     match nothing; items under ``window`` words must match over their whole length.  Texts that are
     NULL or empty overlap nothing; rows without id have no name to be given and are left to ``decontaminate``.
     """
     spark = docs.sparkSession
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), utf8().alias("body"))
     own = items.mapInArrow(_item_seeds(window, shortest), "h long, item_id long, i int, mask int, same long")
-    own = own.groupBy("h", "same").agg(F.min(F.struct("item_id", "i", "mask")).alias("p")).select("h", "p.*")
-    own = stored(own.distinct(), "benchmark-seeds")
+    if not every:
+        own = own.groupBy("h", "same").agg(F.min(F.struct("item_id", "i", "mask")).alias("p")).select("h", "p.*")
+    own = stored(own.select("h", "item_id", "i", "mask").distinct(), "benchmark-seeds")
     masks = tuple(sorted(r["mask"] for r in own.select("mask").distinct().collect())) or masks_of(window)
     own = own.drop("mask")
     field = spark.sparkContext.broadcast(bit_field(own))
@@ -227,12 +234,12 @@ def benchmark_overlaps(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that overlap no benchmark item, with all their columns; rows without id are judged one by one."""
-    kept = drop_ids(docs, stored(benchmark_overlaps(docs, benchmark).select("doc_id").distinct(), "benchmark-ids"))
+    kept = drop_ids(docs, stored(benchmark_overlaps(docs, benchmark, every=False).select("doc_id").distinct(), "benchmark-ids"))
     nameless = docs.where("doc_id is null")
     if nameless.isEmpty():
         return kept
     numbered = stored(nameless.withColumn("__row", F.monotonically_increasing_id()), "benchmark-nameless")
-    found = benchmark_overlaps(numbered.select(F.col("__row").alias("doc_id"), "text"), benchmark)
+    found = benchmark_overlaps(numbered.select(F.col("__row").alias("doc_id"), "text"), benchmark, every=False)
     found = stored(found.select(F.col("doc_id").alias("__row")).distinct(), "benchmark-rows")
     rest = numbered.join(found, "__row", "left_anti").select(docs.columns)
     return kept.where("doc_id is not null").unionByName(rest)

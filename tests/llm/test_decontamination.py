@@ -159,3 +159,14 @@ def test_rows_without_id(spark, none):
     kept = dc.decontaminate(docs, items)
     assert kept.columns == docs.columns and {r.n for r in kept.collect()} == {2, 4, 6}
     assert dc.decontaminate(none, items).count() == 0
+
+
+def test_every_item_of_a_shared_passage(spark):
+    shared = words(80, 25)
+    items = [(1, shared), (2, shared), (3, words(81, 40) + shared + words(82, 40)), (4, words(83, 40) + shared + words(84, 40)), (5, words(85, 30))]
+    items = [(i, " ".join(w)) for i, w in items] + [(1, " ".join(words(86, 30)))]
+    docs = [(1, " ".join(words(87, 50) + shared + words(88, 50))), (2, " ".join(words(86, 30))), (3, "clean")]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert pairs(*frames) == brute(docs, items) == {(1, 1), (1, 2), (1, 3), (1, 4), (2, 1)}
+    fewer = {(r.doc_id, r.item_id) for r in dc.benchmark_overlaps(*frames, every=False).collect()}
+    assert fewer < brute(docs, items) and {d for d, _ in fewer} == {1, 2}
