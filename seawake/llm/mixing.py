@@ -1,9 +1,10 @@
 """Mixing sources by temperature, in DataFrame functions only.
 
-The token share of a source is raised to an exponent between 0 (all sources alike) and 1 (as they
-are) and normalised.  The exponent is bisected - a grid of them per round, each judged by one aggregate
-over the table of sources - to the one that meets a target entropy; where that would repeat a source
-more often than allowed, to the least one that does not.
+The token share of a source is raised to an exponent - 0 makes all sources alike, 1 leaves them as they
+are, more sharpens them - and normalised.  The exponent is bisected - a grid of them per round, each judged
+by one aggregate over the table of sources - to the one that meets a target entropy; where that would repeat
+a source more often than allowed, to the nearest one that does not.  Where no exponent meets the target, as
+with sources all alike, the shares stay as they are and a warning says so.
 
 A weight is realised as whole epochs and a part of one.  Documents have a place in a permutation, a
 seeded hash; its leading bits are the block, so blocks come in permuted order and a document's place
@@ -15,6 +16,7 @@ No source has to fit a task, whatever its share.
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -26,6 +28,8 @@ from seawake.plans.joins import sized_broadcast
 
 BLOCK_BITS = 12
 GRID, ROUNDS = 32, 5
+#: exponents above 1 that bracket the one sought, up to about 1600
+SHARPER = [2 ** (i / 3) for i in range(GRID + 1)]
 
 
 @dataclass(frozen=True)
@@ -58,10 +62,10 @@ def _place(seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))), 1)
 
 
-def _judged(sources: DataFrame, lo: float, hi: float) -> list:
-    """For each exponent of the grid: entropy, and the most and least epochs per token of budget."""
-    grid = F.explode(F.array(*[F.lit(lo + (hi - lo) * i / GRID) for i in range(GRID + 1)]))
-    x = sources.select("share", grid.alias("alpha")).withColumn("x", F.pow("share", F.col("alpha")))
+def _judged(sources: DataFrame, top: float, alphas: list[float]) -> list:
+    """For each exponent: entropy, and the most and least epochs per token of budget.  Powers are of shares of ``top``."""
+    grid = F.explode(F.array(*[F.lit(float(a)) for a in alphas]))
+    x = sources.select("share", grid.alias("alpha")).withColumn("x", F.pow(F.col("share") / F.lit(top), F.col("alpha")))
     sums = x.groupBy("alpha").agg(
         F.sum("x").alias("z"),
         F.sum(F.col("x") * F.log("x")).alias("xlx"),
@@ -71,29 +75,48 @@ def _judged(sources: DataFrame, lo: float, hi: float) -> list:
     return sums.orderBy("alpha").collect()
 
 
-def exponent(sources: DataFrame, recipe: Recipe, tokens: int) -> tuple[float, float, float]:
-    """(exponent, sum of the powers, budget) for ``sources (key, tokens, share)`` with ``tokens`` in all."""
-    n = sources.count()
+def _between(lo: float, hi: float) -> list[float]:
+    return [lo + (hi - lo) * i / GRID for i in range(GRID + 1)]
+
+
+def exponent(sources: DataFrame, recipe: Recipe, tokens: int) -> tuple[float, float, float, float]:
+    """(exponent, sum of the powers, budget, greatest share) for ``sources (key, tokens, share)`` with ``tokens`` in all."""
+    n, top, low = sources.agg(F.count("*"), F.max("share"), F.min("share")).first()
 
     def budget(r) -> float:
-        return float(recipe.budget if recipe.budget is not None else tokens * r["z"] / r["least"])
+        if recipe.budget is not None:
+            return float(recipe.budget)
+        return tokens * r["z"] / r["least"] if r["least"] else math.inf
 
-    def epochs(r) -> float:
-        return budget(r) / tokens * r["most"] / r["z"]
+    def even(r) -> bool:
+        return math.log(r["z"]) - r["xlx"] / r["z"] > recipe.entropy * math.log(max(n, 1)) + 1e-12
 
-    def fits(r) -> bool:  # entropy falls and repetition falls as the exponent grows
-        entropy = math.log(r["z"]) - r["xlx"] / r["z"]
-        return entropy <= recipe.entropy * math.log(max(n, 1)) + 1e-12 and epochs(r) <= recipe.repeats + 1e-9
+    def often(r) -> bool:
+        return budget(r) / tokens * r["most"] / r["z"] > recipe.repeats + 1e-9
 
-    lo, hi = 0.0, 1.0
+    # up to 1 entropy and repetition fall as the exponent grows: the least that fits
+    alphas = _between(0.0, 1.0)
     for _ in range(ROUNDS):
-        rows = _judged(sources, lo, hi)
-        first = next((i for i, r in enumerate(rows) if fits(r)), len(rows) - 1)
+        rows = _judged(sources, top, alphas)
+        first = next((i for i, r in enumerate(rows) if not even(r) and not often(r)), len(rows) - 1)
         chosen = rows[first]
         if first == 0:
             break
-        lo, hi = rows[first - 1]["alpha"], chosen["alpha"]
-    return chosen["alpha"], chosen["z"], budget(chosen)
+        alphas = _between(rows[first - 1]["alpha"], chosen["alpha"])
+
+    # beyond 1 entropy falls and repetition grows: the least that meets the target, or the last before one too often
+    if chosen["alpha"] == 1.0 and even(chosen) and not often(chosen):
+        natural, alphas = chosen, SHARPER
+        for _ in range(ROUNDS if low < top else 0):
+            rows = _judged(sources, top, alphas)
+            first = next((i for i, r in enumerate(rows) if not even(r) or often(r)), 0)
+            if first == 0:
+                break
+            chosen = rows[first - 1] if often(rows[first]) else rows[first]
+            alphas = _between(rows[first - 1]["alpha"], rows[first]["alpha"])
+        if chosen is natural:
+            warnings.warn(f"no exponent brings the entropy of {n} sources down to {recipe.entropy}; their shares stay as they are", stacklevel=2)
+    return chosen["alpha"], chosen["z"], budget(chosen), top
 
 
 def plan_mix(docs: DataFrame, recipe: Recipe, tokens: Column) -> DataFrame:
@@ -109,8 +132,8 @@ def plan_mix(docs: DataFrame, recipe: Recipe, tokens: Column) -> DataFrame:
     if not total:
         return sums.select("key", "tokens", F.lit(0.0).alias("weight"), F.lit(1).cast("long").alias("epochs"), F.lit(-1).cast("long").alias("cutoff"))
     sources = stored(sums.withColumn("share", F.col("tokens") / F.lit(float(total))), "mixing-sources")
-    alpha, z, budget = exponent(sources, recipe, total)
-    weighted = sources.withColumn("weight", F.pow("share", F.lit(alpha)) / F.lit(z))
+    alpha, z, budget, top = exponent(sources, recipe, total)
+    weighted = sources.withColumn("weight", F.pow(F.col("share") / F.lit(top), F.lit(alpha)) / F.lit(z))
     rate = F.col("weight") * F.lit(budget) / F.col("tokens")
     goal = weighted.withColumn("epochs", F.floor(rate + 1e-9).cast("long"))
     goal = goal.withColumn("rest", F.greatest(F.col("weight") * F.lit(budget) - F.col("epochs") * F.col("tokens"), F.lit(0.0)))

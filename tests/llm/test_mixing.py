@@ -89,3 +89,33 @@ def test_awkward(docs, repeated, none):
         assert ids(out) == ids(df)
     assert mix(none).count() == 0
     assert mix(docs.where("doc_id in (4, 5, 6)")).count() == 3
+
+
+def even_sources(spark, tokens):
+    rows = [(s, i) for s, n in tokens.items() for i in range(n // 10)]
+    df = spark.createDataFrame([(k, "w " * 10, s) for k, (s, _) in enumerate(rows)], "doc_id long, text string, source string")
+    return df, sum(tokens.values())
+
+
+def test_entropy_target_below_that_of_the_sources(spark):
+    tokens = {"a": 2000, "b": 2100, "c": 2200, "d": 2400}
+    df, total = even_sources(spark, tokens)
+    share = {s: n / total for s, n in tokens.items()}
+    assert entropy(share) > 0.99
+    weight = {r.source: r.weight for r in mixed(df, Recipe(entropy=0.9, repeats=1000, budget=total))}
+    assert sum(weight.values()) == pytest.approx(1) and entropy(weight) == pytest.approx(0.9, abs=1e-4)
+    # one source no more than 1.2 times: the sharpest mix that keeps to it
+    weight = {r.source: r.weight for r in mixed(df, Recipe(entropy=0.9, repeats=1.2, budget=total))}
+    assert max(weight[s] / share[s] for s in tokens) == pytest.approx(1.2, abs=1e-3)
+    # without a budget every document stays
+    assert {r.doc_id for r in mixed(df, Recipe(entropy=0.9, repeats=4.0))} == set(range(total // 10))
+
+
+def test_equal_sources_cannot_be_sharpened(spark):
+    df, total = even_sources(spark, {"a": 500, "b": 500, "c": 500})
+    with pytest.warns(UserWarning, match="no exponent"):
+        rows = mixed(df, Recipe(entropy=0.9, repeats=4.0, budget=total))
+    assert sorted(r.doc_id for r in rows) == list(range(total // 10))
+    df, total = even_sources(spark, {"a": 400, "b": 400, "c": 200})  # the two largest alone have 0.63
+    with pytest.warns(UserWarning, match="no exponent"):
+        assert len(mixed(df, Recipe(entropy=0.5, repeats=4.0, budget=total))) == total // 10
