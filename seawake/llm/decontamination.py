@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seawake.llm.common import slices, stored, utf8
-from seawake.llm.ids import drop_ids
+from seawake.llm.ids import drop_ids, folded_bits
 from seawake.llm.near_duplicates import _mix, hash_words
 
 MASKS = ("1111011", "11001000111", "11010110001")
@@ -105,11 +105,7 @@ def bit_field(item_seeds: DataFrame) -> np.ndarray:
     """The bits of all benchmark seeds, put together by Spark; its size does not depend on theirs."""
     low = (1 << FIELD_BITS) - 1
     at = F.explode(F.array(F.col("h").bitwiseAND(low), F.shiftrightunsigned("h", 32).bitwiseAND(low)))
-    words = item_seeds.select(at.alias("b")).groupBy(F.expr("b div 32").alias("w"))
-    out = np.zeros((1 << FIELD_BITS) // 32, np.uint32)
-    for r in words.agg(F.expr("bit_or(shiftleft(1L, cast(b % 32 as int)))").alias("bits")).collect():
-        out[r["w"]] = r["bits"]
-    return out
+    return folded_bits(item_seeds.select(at.alias("b")), 1 << FIELD_BITS)
 
 
 _REGION = "doc_id long, start int, words binary, hits array<struct<h:long,at:int>>"

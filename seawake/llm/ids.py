@@ -13,18 +13,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ID_BITS = 16_777_213
+#: words of a field that travel to the driver in one row
+ROW_WORDS = 1 << 13
 
 
-def id_bits(ids: DataFrame) -> np.ndarray:
-    """The bits of the ids in the only column of ``ids``, put together by Spark."""
-    at = F.pmod(F.col(ids.columns[0]), F.lit(ID_BITS))
-    words = ids.select(at.alias("i")).groupBy(F.expr("i div 32").alias("w"))
-    out = np.zeros(ID_BITS // 32 + 1, np.uint32)
-    for r in words.agg(F.expr("bit_or(shiftleft(1L, cast(i % 32 as int)))").alias("b")).collect():
-        out[r["w"]] = r["b"]
+def folded_bits(places: DataFrame, bits: int) -> np.ndarray:
+    """The bit field whose set places are in the only column of ``places``.
+
+    Spark folds them into rows of ``ROW_WORDS`` words, so the driver gets few binary rows, as many for any input.
+    """
+    column = F.col(places.columns[0])
+    words = places.select(column.alias("i")).groupBy(F.expr("i div 32").alias("w"))
+    words = words.agg(F.expr("bit_or(shiftleft(1L, cast(i % 32 as int)))").alias("b"))
+
+    def fold(key, table):
+        out = np.zeros(ROW_WORDS, "<u4")
+        out[table.column("w").to_numpy() % ROW_WORDS] = table.column("b").to_numpy()
+        return pa.table({"row": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([out.tobytes()], pa.binary())})
+
+    out = np.zeros(-(-(bits // 32 + 1) // ROW_WORDS) * ROW_WORDS, np.uint32)
+    for r in words.groupBy(F.expr(f"w div {ROW_WORDS}").alias("row")).applyInArrow(fold, "row long, data binary").collect():
+        at = r["row"] * ROW_WORDS
+        out[at : at + ROW_WORDS] = np.frombuffer(r["data"], "<u4")
     return out
 
 
+def id_bits(ids: DataFrame) -> np.ndarray:
+    """The bits of the ids in the only column of ``ids``; NULL counts for none."""
+    column = F.col(ids.columns[0])
+    return folded_bits(ids.where(column.isNotNull()).select(F.pmod(column, F.lit(ID_BITS)).alias("i")), ID_BITS)
+
+
 def has_bit(field: np.ndarray, ids: np.ndarray) -> np.ndarray:
     at = ids % ID_BITS
     return (field[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1

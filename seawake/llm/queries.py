@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from seawake.llm.common import read_table, scratch_folder, utf8
 from seawake.llm.decontamination import benchmark_overlaps
+from seawake.llm.embedding_pairs import embedding_components
 from seawake.llm.licenses import scan_licenses
 from seawake.llm.mixing import Recipe, mix, word_tokens
 from seawake.llm.near_duplicates import jaccard_components
@@ -123,3 +124,29 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents"), length=100)
+
+
+@query
+def op12_embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(read_table(spark, sf_dir, "embeddings"), limit=0.9)
+
+
+ORACLE["op12_embedding_pairs"] = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+), u AS (
+  SELECT vec_id, e FROM v
+  WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), r AS (
+  SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y
+), n AS (
+  SELECT x, count(*) AS n FROM l GROUP BY x
+), c AS (
+  SELECT x, min(y) AS y FROM r GROUP BY x
+)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.y AS component_id, v.vec_id = c.y AS kept
+FROM v JOIN c ON c.x = v.vec_id LEFT JOIN n ON n.x = v.vec_id
+"""
