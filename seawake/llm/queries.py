@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seawake.llm.alignment import alignment_report
 from seawake.llm.common import read_table, scratch_folder, utf8
 from seawake.llm.decontamination import benchmark_overlaps
 from seawake.llm.embedding_pairs import embedding_components
@@ -126,6 +127,12 @@ def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents"), length=100)
 
 
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return alignment_report(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query
 def op12_embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(read_table(spark, sf_dir, "embeddings"), limit=0.9)
