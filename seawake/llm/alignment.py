@@ -29,14 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seawake.llm.common import load_tokenizer, stored, utf8
+from seawake.llm.common import byte_slices, load_tokenizer, stored, utf8
 
 #: bytes of remembered units per Python worker, by an estimate of what each takes
 MEMO_BYTES = 48 << 20
 #: id pairs whose counts are sent to all tasks
 HOT_PAIRS = 1 << 16
-#: texts are handled in slices of about so many bytes, at least one text
-SLICE_BYTES = 1 << 20
 #: an id pair is kept in one number, A's id above this many bits of B's
 ID_BITS = 24
 
@@ -243,8 +241,8 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, keep_groups: bool
     def run(batches):
         al = aligner(path_a, path_b)
         for batch in batches:
-            for part, texts in _by_bytes(batch):
-                arrays = [part.column(0), *_align_slice(al, texts, keep_groups)]
+            for part in byte_slices(batch, 1):
+                arrays = [part.column(0), *_align_slice(al, part.column(1).to_pylist(), keep_groups)]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = _ROW.replace("groups_sha256", "groups") if keep_groups else _ROW
@@ -253,17 +251,6 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, keep_groups: bool
     return body.mapInArrow(run, schema)
 
 
-def _by_bytes(batch: pa.RecordBatch):
-    """Runs of rows of about ``SLICE_BYTES`` and their texts."""
-    body = batch.column(1)
-    sizes = np.diff(np.frombuffer(body.buffers()[1], np.int32)[body.offset : body.offset + len(body) + 1]).astype(np.int64)
-    cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // SLICE_BYTES)) + 1
-    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(body)]):
-        if b > a:
-            part = batch.slice(a, b - a)
-            yield part, part.column(1).to_pylist()
-
-
 def pair_counts(aligned: DataFrame) -> DataFrame:
     """``pair, docs, best``: in how many rows a pair is linked, and whether no pair of its A id is in more."""
     counts = aligned.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("docs"))

@@ -89,3 +89,20 @@ def slices(batch, *names):
     for at in range(0, batch.num_rows, SLICE_DOCS):
         part = batch.slice(at, SLICE_DOCS)
         yield tuple(part.column(part.schema.get_field_index(n)).to_pylist() for n in names)
+
+
+#: bytes of a column that are handed on at once, where texts differ much in length
+SLICE_BYTES = 1 << 20
+
+
+def byte_slices(batch, column: int, size: int | None = None):
+    """Parts of an Arrow batch whose binary ``column`` holds about ``size`` bytes, at least one row each."""
+    import numpy as np
+
+    body = batch.column(column)
+    ends = np.frombuffer(body.buffers()[1], np.int32)[body.offset : body.offset + len(body) + 1].astype(np.int64)
+    starts = ends[:-1] - ends[0] if len(ends) else ends
+    cuts = (np.flatnonzero(np.diff(starts // (size or SLICE_BYTES))) + 1).tolist()
+    for a, b in zip([0, *cuts], [*cuts, len(body)]):
+        if b > a:
+            yield batch.slice(a, b - a)

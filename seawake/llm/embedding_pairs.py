@@ -126,7 +126,7 @@ def _places(turns, width: float, kind: str):
 _INTERVAL = "part int, n int, d int, gids array<long>, reps array<long>, times array<long>, raw binary, lo array<double>, hi array<double>"
 
 
-def _pack(turns, kind: str):
+def _pack(turns, kind: str, most: int):
     """Sorted vectors to intervals: one row each, numbered within the partition."""
     longs, doubles = pa.list_(pa.int64()), pa.list_(pa.float64())
     types = (pa.int32(), pa.int32(), pa.int32(), longs, longs, longs, pa.binary(), doubles, doubles)
@@ -145,7 +145,7 @@ def _pack(turns, kind: str):
         part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if held and (len(held[0][3]) != len(row[3]) or size + len(row[3]) > INTERVAL_BYTES):
+                if held and (len(held[0][3]) != len(row[3]) or size + len(row[3]) > most):
                     yield interval(part, n, held)
                     held, size, n = [], 0, n + 1
                 held.append(row)
@@ -222,7 +222,7 @@ class _Forest:
             self.label = parent[self.label]
 
 
-def join_intervals(x, y, px, py, tx, ty, limit: float, same: bool):
+def join_intervals(x, y, px, py, tx, ty, limit: float, same: bool, least_rows: int = LEAST_ROWS):
     """Numbers of links of the rows of two intervals, and labels of both together.
 
     ``x`` and ``y`` are unit vectors, ``px`` and ``py`` their places in the box directions, ``tx`` and ``ty`` how many
@@ -262,7 +262,7 @@ def join_intervals(x, y, px, py, tx, ty, limit: float, same: bool):
         gap = np.maximum(0, np.maximum(p.min(0) - q.max(0), q.min(0) - p.max(0)))
         if (gap * gap).sum() > wide:
             return
-        if b - a <= LEAST_ROWS and d - c <= LEAST_ROWS:
+        if b - a <= least_rows and d - c <= least_rows:
             return leaf(a, b, c, d)
         m, n = (a + b) // 2, (c + d) // 2
         if same and a == c:
@@ -278,14 +278,14 @@ def join_intervals(x, y, px, py, tx, ty, limit: float, same: bool):
     return nx, ny, forest.label
 
 
-def _compare(turns, kind: str, limit: float):
+def _compare(turns, kind: str, limit: float, least_rows: int):
     def run(table):
         rows = sorted(table.select(["node", "d", "gids", "reps", "times", "raw"]).to_pylist(), key=lambda r: r["node"])
         a, b, same = rows[0], rows[-1], len(rows) == 1
         x, y = (units_of([r["raw"][i : i + len(r["raw"]) // len(r["gids"])] for i in range(0, len(r["raw"]), len(r["raw"]) // len(r["gids"]))], kind) for r in (a, b))
         px, py = (places_of(v, turns.value[a["d"]]) for v in (x, y))
         tx, ty = (np.array(r["times"], np.int64) for r in (a, b))
-        nx, ny, label = join_intervals(x, y, px, py, tx, ty, limit, same)
+        nx, ny, label = join_intervals(x, y, px, py, tx, ty, limit, same, least_rows)
         gids, reps = (np.array(a[c] if same else a[c] + b[c], np.int64) for c in ("gids", "reps"))
         links = nx if same else np.r_[nx, ny]
         keep = links > 0
@@ -337,13 +337,13 @@ def embedding_components(vectors: DataFrame, limit: float = 0.9) -> DataFrame:
     once = stored(once.withColumn("gid", F.monotonically_increasing_id()), "grid-vectors")
     size = once.agg(F.sum(F.octet_length("raw")).alias("n")).first()["n"] or 0
     ordered = once.repartitionByRange(max(1, -(-size // (8 * INTERVAL_BYTES))), "cell", "print").sortWithinPartitions("cell", "print")
-    intervals = stored(ordered.select("gid", "rep", "times", "raw").mapInArrow(_pack(turns, kind), _INTERVAL), "grid-intervals")
+    intervals = stored(ordered.select("gid", "rep", "times", "raw").mapInArrow(_pack(turns, kind, INTERVAL_BYTES), _INTERVAL), "grid-intervals")
     intervals, count = _numbered(intervals)
     pairs = close_intervals(intervals, count, width)
 
     sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("node"))
     full = sides.join(intervals.drop("lo", "hi"), "node")
-    links = full.groupBy("a", "b").applyInArrow(_compare(turns, kind, limit), "gid long, links long, a long, b long")
+    links = full.groupBy("a", "b").applyInArrow(_compare(turns, kind, limit, LEAST_ROWS), "gid long, links long, a long, b long")
     links = stored(links, "grid-links")
 
     several = usable.groupBy("vec_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("vec_id")

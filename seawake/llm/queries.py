@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seawake.llm.alignment import alignment_report
+from seawake.llm.collocations import collocations
 from seawake.llm.common import read_table, scratch_folder, utf8
 from seawake.llm.decontamination import benchmark_overlaps
 from seawake.llm.embedding_pairs import embedding_components
@@ -157,3 +158,43 @@ WITH RECURSIVE v AS (
 SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.y AS component_id, v.vec_id = c.y AS kept
 FROM v JOIN c ON c.x = v.vec_id LEFT JOIN n ON n.x = v.vec_id
 """
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
+
+
+ORACLE["op13_collocations"] = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p
+), s AS (
+  SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k)
+), c AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM s GROUP BY ALL
+), t AS (
+  SELECT lang, sum(f) AS n FROM c WHERE k = 1 GROUP BY lang
+), d AS (
+  SELECT lang, phrase, string_split(phrase, ' ') AS ws, k, f AS a FROM c WHERE k > 1 AND f >= 100
+), inside AS (
+  SELECT DISTINCT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, a
+  FROM (SELECT lang, ws, a, k, m, unnest(range(1, k - m + 2)) AS i FROM d, (SELECT unnest(range(2, 5)) AS m) WHERE m < k)
+), e AS (
+  SELECT d.* FROM d WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = d.lang AND i.phrase = d.phrase AND 100 * i.a >= 100 * d.a)
+), cuts AS (
+  SELECT lang, phrase, a, cut, array_to_string(ws[1:cut], ' ') AS x, array_to_string(ws[cut + 1:], ' ') AS y
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM e)
+), sc AS (
+  SELECT cuts.lang, cuts.phrase, a, cut, l.f AS l, r.f AS r, CAST(n AS BIGINT) AS n,
+    CAST((1000::HUGEINT * a * n::HUGEINT) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM cuts JOIN c l ON l.lang = cuts.lang AND l.phrase = x JOIN c r ON r.lang = cuts.lang AND r.phrase = y JOIN t ON t.lang = cuts.lang
+), b AS (
+  SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM b QUALIFY rank <= 2000
+"""

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+from bisect import bisect_right
 
 import public_tokenizers as P
 import pytest
@@ -52,16 +53,18 @@ def ranges(tokens):
 
 
 def brute(rows, tokens):
-    """The report by comparing the byte range of every token of A with every one of B."""
+    """The report from the tokens that every byte belongs to."""
     docs = []
     for key, text in rows:
         got = tokens(text)
         x, y = (ranges(t) for t in got) if got else ([], [])
-        links = [(i, j) for i, a, b in x for j, c, d in y if a < d and c < b]
+        owner = [[k for k, (_, t) in enumerate(side) for _ in t] for side in got or ((), ())]  # of every byte
+        links = [(x[i][0], y[j][0]) for i, j in sorted(set(zip(*owner)))]
         ends = sorted({b for _, _, b in x} & {d for _, _, d in y})
         starts = [0, *ends[:-1]] if ends else []
-        inside = lambda t, a, b: ",".join(str(i) for i, s, e in t if a < e <= b)
-        groups = ";".join(f"{inside(x, a, b)}|{inside(y, a, b)}" for a, b in zip(starts, ends))
+        tail = [[e for _, _, e in side] for side in (x, y)]
+        inside = lambda s, a, b: ",".join(str(i) for i, _, _ in (x, y)[s][bisect_right(tail[s], a) : bisect_right(tail[s], b)])
+        groups = ";".join(f"{inside(0, a, b)}|{inside(1, a, b)}" for a, b in zip(starts, ends))
         docs.append((key, len(x), len(y), len(ends), links, groups))
     held = collections.Counter(p for d in docs for p in set(d[4]))
     most = collections.Counter()
