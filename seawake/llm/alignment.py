@@ -5,7 +5,7 @@ Tokenizer A is a byte-level BPE file of the ``tokenizers`` library and is given
 ends.
 
 *Galloping intersection.*  The shorter list of ends is walked; each of its ends is searched in the longer one from where
-the last search ended, with steps that double and then halve (``gallop``).  The common ends cut both lists
+the last search ended, with steps that double and then halve (``gallop``; ``gallop_many`` for many lists at once).  The common ends cut both lists
 into groups.  The ranks found on the way say more: the tokens of the longer list from one end's rank to the next one's are
 exactly those that overlap a token of the shorter list (``align``).
 
@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 from seawake.llm.common import byte_slices, load_tokenizer, stored, utf8
 
 #: bytes of remembered units per Python worker, by an estimate of what each takes
-MEMO_BYTES = 48 << 20
+MEMO_BYTES = 64 << 20
+#: lists of more ends are searched by themselves, shorter ones many at a time
+LANE = 256
 #: id pairs whose counts are sent to all tasks
 HOT_PAIRS = 1 << 16
 #: an id pair is kept in one number, A's id above this many bits of B's
@@ -79,6 +81,35 @@ def align(a: list[int], b: list[int]) -> tuple[list[tuple[int, int]], list[tuple
     return groups, overlaps
 
 
+def gallop_many(ends, starts, counts, longer, longer_starts, longer_counts):
+    """``gallop`` for many short lists at once, a lane each: list ``u`` of ``ends`` is searched in list ``u`` of ``longer``.
+
+    Both are given as one array with starts and counts.  Returns places in ``longer`` and whether the end is there.
+    """
+    place, common = np.zeros(len(ends), np.int64), np.zeros(len(ends), bool)
+    at, stop = longer_starts.copy(), longer_starts + longer_counts
+    live, i = np.flatnonzero(counts > 0), 0
+    while len(live):
+        k = starts[live] + i
+        end, low, limit, step = ends[k], at[live], stop[live], np.ones(len(live), np.int64)
+        while True:
+            probe = low + step - 1
+            less = (probe < limit) & (longer[np.minimum(probe, limit - 1)] < end)
+            if not less.any():
+                break
+            low, step = np.where(less, low + step, low), np.where(less, 2 * step, step)
+        high = np.minimum(low + step - 1, limit)
+        while (wide := low < high).any():
+            mid = (low + high) // 2
+            less = longer[np.minimum(mid, limit - 1)] < end
+            low, high = np.where(wide & less, mid + 1, low), np.where(wide & ~less, mid, high)
+        at[live] = place[k] = low
+        common[k] = (low < limit) & (longer[np.minimum(low, limit - 1)] == end)
+        i += 1
+        live = live[counts[live] > i]
+    return place, common
+
+
 def _byte_table(vocab: dict[str, int]) -> list[bytes]:
     """The bytes of each id of a byte-level vocabulary: printable characters are themselves, the others shifted."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -108,16 +139,19 @@ class Aligner:
         self.bytes_b = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
         ]
+        self.length_a, self.length_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
         # a unit may begin where no piece of B reaches across
         self.cuts = not any(re.search(r"[^\s▁][▁ \n]", p) for i, p in enumerate(pieces) if not self.b.is_byte(i))
         self.lead = len(self.b.encode("x"))
+        # how an id is written in the middle of its side of a group, and at its end
+        self.written = [f"{i}{c}" for i in range(len(self.bytes_a)) for c in ",|"]
+        self.written += [f"{i}{c}" for i in range(len(self.bytes_b)) for c in ",;\n"]
         self.reset()
 
     def reset(self) -> None:
         self.place: dict[str, int] = {}
-        self.na, self.nb, self.links = [], [], []
         self.groups: list[str | None] = []
-        self.pairs: list[list[int]] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
         self.size = 0
         self.tables = None
 
@@ -131,55 +165,85 @@ class Aligner:
         return [ids if o else ids[self.lead :] for o, ids in zip(own, got)]
 
     def learn(self, units: list[str]) -> None:
-        for at in range(0, len(units), 10_000):
-            part = units[at : at + 10_000]
-            encoded = [e.ids for e in self.a.encode_batch_fast(part, add_special_tokens=False)]
-            for u, x, y in zip(part, encoded, self.encode_b(part)):
-                self._add(u, x, y)
+        """Encode and align units not seen before; a few long ones at a time, so that little is held."""
+        at = 0
+        while at < len(units):
+            end, size = at, 0
+            while end < len(units) and end - at < 20_000 and (end == at or size + len(units[end]) < 1 << 20):
+                size += len(units[end])
+                end += 1
+            self._learn(units[at:end])
+            at = end
+
+    def _exact(self, units: list[str], ids: list[list[int]], table: list[bytes]) -> np.ndarray:
+        """Which units the bytes of their tokens give back."""
+        if b"".join(map(table.__getitem__, chain.from_iterable(ids))) == "".join(units).encode():
+            return np.ones(len(units), bool)
+        return np.array([b"".join(map(table.__getitem__, x)) == u.encode() for u, x in zip(units, ids)], bool)
+
+    def _learn(self, units: list[str]) -> None:
+        for i, u in enumerate(units, len(self.groups)):
+            self.place[u] = i
+        a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
+        b = self.encode_b(units)
+        exact = self._exact(units, a, self.bytes_a) & self._exact(units, b, self.bytes_b)
+        if not exact.all():
+            a, b = ([x if e else [] for x, e in zip(side, exact.tolist())] for side in (a, b))
+        na, nb = (np.fromiter(map(len, side), np.int64, len(side)) for side in (a, b))
+        a, b = (np.fromiter(chain.from_iterable(side), np.int64) for side in (a, b))
+        ends = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])  # both count the bytes of all units
+        starts = np.cumsum(na) - na, np.cumsum(nb) - nb
+        cut = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        pairs, links = [], np.zeros(len(units), np.int64)
+        for s, ids, other, n, m in ((0, a, b, na, nb), (1, b, a, nb, na)):  # the side that is the shorter one
+            mine = np.flatnonzero((na <= nb) if s == 0 else (nb < na))
+            huge = (n[mine] > LANE) & (n[mine] > 0)
+            place, common = gallop_many(ends[s], starts[s][mine[~huge]], n[mine[~huge]], ends[1 - s], starts[1 - s][mine[~huge]], m[mine[~huge]])
+            for u in mine[huge].tolist():
+                own, far = slice(starts[s][u], starts[s][u] + n[u]), slice(starts[1 - s][u], starts[1 - s][u] + m[u])
+                ranks, both = gallop(ends[s][own].tolist(), ends[1 - s][far].tolist())
+                place[own], common[own] = np.array(ranks) + far.start, both
+            k = np.flatnonzero(np.repeat((na <= nb) if s == 0 else (nb < na), n))
+            cut[s][k] = common[k]
+            cut[1 - s][place[k[common[k]]]] = True
+            # the tokens between the rank of the end before and that of this one lie over this token
+            unit = np.repeat(np.arange(len(units)), n)
+            opens = np.zeros(len(ids), bool)
+            opens[starts[s][n > 0]] = True
+            before = np.r_[0, place[:-1] + common[:-1]] if len(place) else place
+            first = np.where(opens, starts[1 - s][unit], before)[k]
+            many = place[k] - first + 1
+            over = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            own = np.repeat(k, many)
+            pairs.append((unit[own], (ids[own] << ID_BITS) | other[over] if s == 0 else (other[over] << ID_BITS) | ids[own]))
+            links += np.bincount(unit[own], minlength=len(units))
+        unit, flat = (np.concatenate(x) for x in zip(*pairs))
+        flat = flat[np.argsort(unit, kind="stable")]
+        groups = np.bincount(np.repeat(np.arange(len(units)), na), cut[0], minlength=len(units)).astype(np.int64)
+        # tokens in the order they are written: group by group, A's before B's
+        last = np.zeros(len(b), np.int64)
+        last[(starts[1] + nb)[nb > 0] - 1] = 1
+        codes = np.r_[2 * a + cut[0], 2 * len(self.bytes_a) + 3 * b + cut[1] + last]
+        turn = np.r_[2 * (np.cumsum(cut[0]) - cut[0]), 2 * (np.cumsum(cut[1]) - cut[1]) + 1]
+        shown = iter("".join(map(self.written.__getitem__, codes[np.argsort(turn, kind="stable")].tolist())).split("\n"))
+        self.groups += [next(shown) if e else None for e in (exact & (na > 0)).tolist()]
+        self.parts.append((na, nb, links, groups, exact, flat))
+        self.size += 250 * len(units) + 2 * sum(map(len, units)) + 30 * len(a) + 8 * len(flat)
         self.tables = None
 
-    def _add(self, unit: str, x: list[int], y: list[int]) -> None:
-        self.place[unit] = len(self.na)
-        raw = unit.encode()
-        bytes_a, bytes_b = [self.bytes_a[i] for i in x], [self.bytes_b[i] for i in y]
-        if b"".join(bytes_a) != raw or b"".join(bytes_b) != raw:
-            self.na.append(0), self.nb.append(0), self.links.append(0), self.groups.append(None), self.pairs.append([])
-            self.size += 400 + len(unit)
-            return
-        groups, overlaps = align(_ends(bytes_a), _ends(bytes_b))
-        i = j = 0
-        shown = []
-        for p, q in groups:
-            shown.append(",".join(map(str, x[i:p])) + "|" + ",".join(map(str, y[j:q])))
-            i, j = p, q
-        if len(y) < len(x):
-            pairs = [(x[k] << ID_BITS) | y[t] for t, first, last in overlaps for k in range(first, last + 1)]
-        else:
-            pairs = [(x[t] << ID_BITS) | y[k] for t, first, last in overlaps for k in range(first, last + 1)]
-        self.na.append(len(x)), self.nb.append(len(y)), self.links.append(len(pairs))
-        self.groups.append(";".join(shown))
-        self.pairs.append(pairs)
-        self.size += 400 + 2 * len(unit) + 20 * len(pairs) + 48 * len(groups)
-
     def arrays(self):
         """Per unit: tokens of A and B, links, groups, whether exact, start and pairs in one list."""
         if self.tables is None:
-            links = np.array(self.links, np.int64)
-            exact = np.array([g is not None for g in self.groups], bool)
-            groups = np.array([g.count("|") if g else 0 for g in self.groups], np.int64)
-            flat = np.fromiter(chain.from_iterable(self.pairs), np.int64, int(links.sum()))
-            self.tables = (np.array(self.na, np.int64), np.array(self.nb, np.int64), links, groups, exact, np.cumsum(links) - links, flat)
+            if self.parts:
+                self.parts = [tuple(map(np.concatenate, zip(*self.parts)))]
+                na, nb, links, groups, exact, flat = self.parts[0]
+            else:
+                na = nb = links = groups = flat = np.zeros(0, np.int64)
+                exact = np.zeros(0, bool)
+            self.tables = (na, nb, links, groups, exact, np.cumsum(links) - links, flat)
         return self.tables
 
 
-def _ends(parts: list[bytes]) -> list[int]:
-    out, at = [], 0
-    for p in parts:
-        at += len(p)
-        out.append(at)
-    return out
-
-
 _aligners: dict[tuple[str, str], Aligner] = {}
 
 
@@ -213,8 +277,8 @@ def _align_slice(al: Aligner, texts: list[bytes], keep: bool):
         shown.append(whole if keep else hashlib.sha256(whole.encode()).hexdigest() if whole else "")
     # distinct units of each document, then distinct pairs of each document
     good = ~inexact[doc]
-    unit, unit_times = np.unique(doc[good] * len(al.na) + at[good], return_counts=True)
-    doc, at = unit // max(1, len(al.na)), unit % max(1, len(al.na))
+    unit, unit_times = np.unique(doc[good] * len(na) + at[good], return_counts=True)
+    doc, at = unit // max(1, len(na)), unit % max(1, len(na))
     n = links[at]
     take = np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
     pair, pair_times, doc = flat[take], np.repeat(unit_times, n), np.repeat(doc, n)

@@ -137,3 +137,30 @@ def test_gallop_and_align():
         got = {(i, k) for i, first, last in overlaps for k in range(first, last + 1)}
         lo = lambda ends, i: ends[i - 1] if i else 0
         assert got == {(i, k) for i in range(len(short)) for k in range(len(long)) if lo(short, i) < long[k] and lo(long, k) < short[i]}
+
+
+def test_many_lists_at_once():
+    import numpy as np
+
+    r = random.Random(2)
+    pairs = []
+    for _ in range(200):
+        n = r.randint(1, 300)
+        pairs.append([sorted({n, *(r.randint(1, n) for _ in range(r.randint(0, m)))}) for m in (8, 250)])
+    pairs.append([[], [1, 2]])
+    flat = [np.array([x for p in pairs for x in p[s]], np.int64) for s in (0, 1)]
+    counts = [np.array([len(p[s]) for p in pairs], np.int64) for s in (0, 1)]
+    starts = [np.cumsum(c) - c for c in counts]
+    place, common = al.gallop_many(flat[0], starts[0], counts[0], flat[1], starts[1], counts[1])
+    for u, (a, b) in enumerate(pairs):
+        own = slice(starts[0][u], starts[0][u] + len(a))
+        assert ((place[own] - starts[1][u]).tolist(), common[own].tolist()) == al.gallop(a, b)
+
+
+def test_long_units(libraries):
+    """Unbroken texts go the way of single lists; both ways agree with every byte."""
+    r = random.Random(3)
+    texts = ["".join(r.choice("abcdefé日.") for _ in range(n)) for n in (10, 3000, 20_000)]
+    got = al._align_slice(al.Aligner(*PATHS), [t.encode() for t in texts], False)
+    want = sorted(brute(list(enumerate(texts)), libraries))
+    assert [[c[k].as_py() for c in got[:5]] for k in range(3)] == [[*w[1:5], w[7]] for w in want]
