@@ -221,24 +221,65 @@ _ASKED = [(1, 121.5, 30.7, 6), (2, 123.0, 31.4, 9), (3, 100.0, 10.0, 3)]
 _ASKED_SQL = ", ".join(f"({i}, {x!r}::DOUBLE, {y!r}::DOUBLE, {1735689600 + h * 3600})" for i, x, y, h in _ASKED)
 
 
-@check(
-    "knn_query",
-    f"""{with_points(_SUM)}, aq(query_id, x, y, t) AS (VALUES {_ASKED_SQL}), lv(r) AS (SELECT 0.1::DOUBLE * (1 << i) FROM range(11) g(i)),
+def _knn_sql(asked: str) -> str:
+    return f"""{asked}, lv(r) AS (SELECT 0.1::DOUBLE * (1 << i) FROM range(11) g(i)),
     cd AS (SELECT query_id, mmsi, min(greatest(x1 - x, 0, x - x2, y1 - y, y - y2)) AS reach,
       min(sqrt(pow(greatest(x1 - x, 0, x - x2), 2) + pow(greatest(y1 - y, 0, y - y2), 2) + pow(greatest(t1 - t, 0, t - t2) / 3600.0::DOUBLE, 2))) AS d
       FROM aq JOIN sm ON t1 <= t + 3600 AND t2 >= t - 3600 GROUP BY query_id, mmsi),
     hit AS (SELECT query_id, r, count(*) AS n FROM cd JOIN lv ON reach <= r GROUP BY query_id, r),
     stop AS (SELECT query_id, coalesce(min(r) FILTER (n >= 10), max(r)) AS r FROM hit GROUP BY query_id),
     rk AS (SELECT query_id, mmsi, d, row_number() OVER (PARTITION BY query_id ORDER BY d, mmsi) AS k FROM cd JOIN stop USING (query_id) WHERE reach <= r)
-    SELECT {I('query_id')} AS query_id, {I('k')} AS rank, mmsi, {Q('d')} AS distance FROM rk WHERE k <= 10""",
-)
-def _(spark, sf):
-    day = dt.datetime(2025, 1, 1, tzinfo=dt.timezone.utc)
-    asked = [(i, x, y, day + dt.timedelta(hours=h)) for i, x, y, h in _ASKED]
+    SELECT {I('query_id')} AS query_id, {I('k')} AS rank, mmsi, {Q('d')} AS distance FROM rk WHERE k <= 10"""
+
+
+def _nearest(spark, sf, asked):
     k = retrieval.knn_query(_summaries(spark, sf), asked, k=10)
     return k.select(F.col("query_id").cast("long").alias("query_id"), F.col("rank").cast("long").alias("rank"), "mmsi", q("distance").alias("distance"))
 
 
+@check("knn_query", _knn_sql(f"{with_points(_SUM)}, aq(query_id, x, y, t) AS (VALUES {_ASKED_SQL})"))
+def _(spark, sf):
+    day = dt.datetime(2025, 1, 1, tzinfo=dt.timezone.utc)
+    return _nearest(spark, sf, [(i, x, y, day + dt.timedelta(hours=h)) for i, x, y, h in _ASKED])
+
+
+_EVERY_100TH = "src_id % 100 = 0"
+
+
+@check(
+    "knn_join",
+    _knn_sql(f"{with_points(_SUM)}, aq AS (SELECT src_id AS query_id, lon AS x, lat AS y, t FROM op WHERE {_EVERY_100TH})"),
+)
+def _(spark, sf):
+    """The nearest vessels to every report whose number is divisible by 100, among all."""
+    p = trips.ordered_points(points(spark, sf)).where(_EVERY_100TH)
+    asked = p.select(F.col("src_id").alias("query_id"), F.col("longitude").alias("lon"), F.col("latitude").alias("lat"), F.col("base_date_time").alias("ts"))
+    return _nearest(spark, sf, asked)
+
+
+# boxes from a thousandth of a degree and a minute to several degrees and hours, around the same reports
+_MIXED_SQL = f"""qb AS (SELECT src_id AS box_id, t - h AS t1, t + h AS t2, lon - d AS x1, lon + d AS x2, lat - d AS y1, lat + d AS y2
+  FROM (SELECT *, 0.001::DOUBLE * (1 << CAST(src_id // 100 % 12 AS INT)) AS d, 60 * (1 << CAST(src_id // 100 % 9 AS INT)) AS h FROM op WHERE {_EVERY_100TH}))"""
+
+
+@check(
+    "range_join",
+    f"""{with_points(_SUM, _MIXED_SQL)} SELECT {I('box_id')} AS box_id, count(DISTINCT s.mmsi) AS n, {I('sum(DISTINCT s.mmsi)')} AS vessels FROM qb b JOIN sm s
+  ON s.x1 <= b.x2 AND s.x2 >= b.x1 AND s.y1 <= b.y2 AND s.y2 >= b.y1 AND s.t1 <= b.t2 AND s.t2 >= b.t1 GROUP BY box_id""",
+)
+def _(spark, sf):
+    """Boxes of very different sizes around every report whose number is divisible by 100."""
+    p = trips.ordered_points(points(spark, sf)).where(_EVERY_100TH)
+    nth = F.expr("src_id div 100")
+    d = F.lit(0.001) * F.pow(F.lit(2.0), nth % 12)
+    h = F.make_dt_interval(secs=(60 * F.pow(F.lit(2.0), nth % 9)).cast("decimal(18,6)"))
+    sides = [(F.col(c) + s * d).alias(n) for c, s, n in (("longitude", -1, "xmin"), ("longitude", 1, "xmax"), ("latitude", -1, "ymin"), ("latitude", 1, "ymax"))]
+    at = F.col("base_date_time")
+    boxes = p.select(F.col("src_id").alias("box_id"), F.struct(*sides, (at - h).alias("tmin"), (at + h).alias("tmax")).alias("box"))
+    hits = retrieval.range_query(_summaries(spark, sf), boxes)
+    return hits.groupBy("box_id").agg(F.count("*").alias("n"), F.sum("mmsi").alias("vessels"))
+
+
 @check(
     "vessel_details",
     f"""{with_points(_SUM, _QBOX)} SELECT mmsi, nk AS trip_key, {I('t1')} AS t1, {I('t2')} AS t2, x1 AS xmin, x2 AS xmax FROM sm WHERE mmsi IN (

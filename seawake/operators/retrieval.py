@@ -5,12 +5,13 @@ from __future__ import annotations
 import datetime as dt
 import math
 from collections.abc import Sequence
-from itertools import islice
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from seawake.functions.geo import instant, mbb_intersects, seconds
+from seawake.plans.cells import cell_join
 from seawake.plans.checkpoints import reliable_checkpoint
 from seawake.plans.joins import semi_filter, sized_broadcast
 
@@ -24,102 +25,122 @@ def box_column(box: Box) -> Column:
     return F.struct(*xy, instant(box[4]).alias("tmin"), instant(box[5]).alias("tmax"))
 
 
-def _strips(box: Column, deg: float) -> Column:
-    return F.sequence(F.floor(box["xmin"] / deg), F.floor(box["xmax"] / deg))
+#: boxes tested together on a trip where cells are not used
+BLOCK = 1000
 
 
-def range_query(summaries: DataFrame, boxes: DataFrame, pruned: bool = True, strip_deg: float = 1.0) -> DataFrame:
+def range_query(summaries: DataFrame, boxes: DataFrame, pruned: bool = True) -> DataFrame:
     """Vessels with a trip box meeting each closed query box: ``box_id, mmsi``.
 
-    ``boxes`` has ``box_id`` and ``box``.  With ``pruned`` both sides meet on longitude strips,
-    so a trip is compared only with boxes near it.  Without, every box is tested on
-    every trip, one scan per block of 1000 boxes; that form exists to check the first.
+    ``boxes`` has ``box_id`` and ``box``.  With ``pruned`` both sides meet on (longitude, latitude, time) cells whose
+    size follows from both boxes (``plans.cells``), so a trip is compared only with boxes near it in space and time.
+    Without, every box is tested on every trip, ``BLOCK`` boxes of one row at a time; that form
+    exists to check the first, and its plan is the same for any number of boxes.
     """
     if not pruned:
-        listed, found = boxes.select("box_id", "box").toLocalIterator(), None
-        while block := list(islice(listed, 1000)):
-            hits = _scan(summaries, block)
-            found = hits if found is None else found.unionByName(hits)
-        return (_scan(summaries, []) if found is None else found).distinct()
-    s = summaries.select("mmsi", "mbb", F.explode(_strips(F.col("mbb"), strip_deg)).alias("strip"))
-    q = boxes.select("box_id", "box", F.explode(_strips(F.col("box"), strip_deg)).alias("strip"))
-    meet = s.join(sized_broadcast(q), "strip").where(mbb_intersects(F.col("mbb"), F.col("box")))
-    return meet.select("box_id", "mmsi").distinct()
-
-
-def _scan(summaries: DataFrame, block: list) -> DataFrame:
-    """The hits of a block of boxes on every trip."""
-    tests = [
-        F.struct(
-            F.lit(r["box_id"]).alias("box_id"),
-            box_column(
-                (r["box"]["xmin"], r["box"]["xmax"], r["box"]["ymin"], r["box"]["ymax"], r["box"]["tmin"], r["box"]["tmax"])
-            ).alias("box"),
-        )
-        for r in block
+        return _scan(summaries, boxes)
+    # both are read again to find their levels, so what may be costly to make is written once, narrow
+    s, b = (reliable_checkpoint(df) for df in (summaries.select("mmsi", "mbb"), boxes.select("box_id", "box")))
+    meet = cell_join(s, "mbb", b, "box")
+    return meet.where(mbb_intersects(F.col("mbb"), F.col("box"))).select("box_id", "mmsi").distinct()
+
+
+def _scan(summaries: DataFrame, boxes: DataFrame) -> DataFrame:
+    """The hits of every box on every trip, the boxes in blocks."""
+    blocks = max(1, -(-boxes.count() // BLOCK))
+    block = boxes.select(F.pmod(F.xxhash64("box_id"), F.lit(blocks)).alias("block"), F.struct("box_id", "box").alias("q"))
+    lists = block.groupBy("block").agg(F.collect_list("q").alias("tests"))
+    s = summaries.select("mmsi", "mbb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    hits = s.join(lists, "block").select("mmsi", F.explode(F.filter("tests", lambda q: mbb_intersects(F.col("mbb"), q["box"]))).alias("q"))
+    return hits.select("q.box_id", "mmsi").distinct()
+
+
+def _asked(spark: SparkSession, listed: Sequence[tuple]) -> DataFrame:
+    """Query points of a list as a DataFrame."""
+    names = ("query_id", "lon", "lat", "ts")
+    rows = [
+        F.struct(*(c.alias(n) for c, n in zip((F.lit(i), F.lit(float(x)), F.lit(float(y)), instant(t)), names)))
+        for i, x, y, t in listed
     ]
-    if not tests:
-        return summaries.select(F.lit(0).cast("long").alias("box_id"), "mmsi").limit(0)
-    hits = F.filter(F.array(*tests), lambda q: mbb_intersects(F.col("mbb"), q["box"]))
-    return summaries.select("mmsi", F.explode(hits).alias("q")).select("q.box_id", "mmsi")
+    return spark.range(1).select(F.explode(F.array(*rows)).alias("q")).select("q.*")
+
+
+def _ring(asked: DataFrame, reach: float) -> DataFrame:
+    """Query points with the box of their ring: ``reach`` degrees and an hour to each side."""
+    hour = F.expr("interval 1 hour")
+    sides = [(F.col(c) + d * reach).alias(n) for c, d, n in (("lon", -1, "xmin"), ("lon", 1, "xmax"), ("lat", -1, "ymin"), ("lat", 1, "ymax"))]
+    return asked.withColumn("box", F.struct(*sides, (F.col("ts") - hour).alias("tmin"), (F.col("ts") + hour).alias("tmax")))
+
+
+#: doublings of the ring per round
+DOUBLINGS = 3
 
 
 def knn_query(
-    summaries: DataFrame, query_points: Sequence[tuple], k: int = 10, radius: float = 0.1, max_radius: float = 180.0
+    summaries: DataFrame, queries: DataFrame | Sequence[tuple], k: int = 10, radius: float = 0.1, max_radius: float = 180.0
 ) -> DataFrame:
-    """R2: the ``k`` nearest vessels to each ``(query_id, lon, lat, ts)``.
+    """R2: the ``k`` nearest vessels to each query point: ``query_id, rank, mmsi, distance``.
+
+    ``queries`` has ``query_id, lon, lat, ts``, or is a list of such tuples.  Candidates are trips within an hour of
+    the query whose box meets a square around it; the square doubles from ``radius`` until it holds ``k``
+    vessels, and a query that never gets ``k`` keeps those within the largest square.  The distance of a vessel is that of
+    its nearest trip within the hour, to the trip's box, in degrees and hours.
 
-    Candidates are trips within an hour of the query whose box meets a square around it;
-    the square doubles from ``radius`` until it holds ``k`` vessels.  The doubling is a closed
-    formula on the box distance.  Per query only counts per doubling and then the
-    nearest rows are shuffled, never all candidates of a query to one place.
+    Rounds of ``DOUBLINGS`` doublings join the rings of the open queries with the trips on space-time cells; a query whose
+    ring holds ``k`` vessels is answered and leaves.  So a query costs what lies around it, and there are as
+    many rounds as the farthest query needs, four by default.
     """
-    widest = math.floor(math.log2(max_radius / radius))
-    q = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("query_id"),
-                    F.lit(float(x)).alias("x"),
-                    F.lit(float(y)).alias("y"),
-                    instant(t).alias("t"),
-                )
-                for i, x, y, t in query_points
-            ]
-        )
-    ).alias("q")
-    c = summaries.select("mmsi", "mbb", q)
+    spark = summaries.sparkSession
+    asked = queries if isinstance(queries, DataFrame) else _asked(spark, queries)
+    open_queries = asked.select("query_id", "lon", "lat", "ts").where("lon is not null and lat is not null and ts is not null")
+    trips = reliable_checkpoint(summaries.select("mmsi", "mbb").where("mbb is not null"))
+    widest, top, answers = math.floor(math.log2(max_radius / radius)), -1, []
+    while top < widest:
+        top = min(widest, top + DOUBLINGS)
+        near = reliable_checkpoint(_around(trips, open_queries, radius, top))
+        counts = near.groupBy("query_id", "level").agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(W.partitionBy("query_id").orderBy("level"))
+        stop = counts.withColumn("upto", upto).groupBy("query_id")
+        stop = stop.agg(F.min(F.when(F.col("upto") >= k, F.col("level"))).alias("stop"))
+        if top == widest:
+            stop = stop.withColumn("stop", F.coalesce("stop", F.lit(widest)))
+        stop = reliable_checkpoint(stop.where("stop is not null"))
+        answers.append(near.join(sized_broadcast(stop), "query_id").where(F.col("level") <= F.col("stop")))
+        if top < widest:
+            open_queries = reliable_checkpoint(open_queries.join(stop, "query_id", "left_anti"))
+            if open_queries.isEmpty():
+                break
+    found = answers[0]
+    for a in answers[1:]:
+        found = found.unionByName(a)
+    # a vessel's nearest trip in space and time may lie outside the square that another of its trips meets
+    found = found.join(trips, "mmsi").join(sized_broadcast(asked.select("query_id", "lon", "lat", "ts")), "query_id")
+    near_in_time, _, distance = _apart()
+    found = found.where(near_in_time).groupBy("query_id", "mmsi").agg(F.min(distance).alias("distance"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "mmsi"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "mmsi", "distance")
+
+
+def _apart() -> tuple[Column, Column, Column]:
+    """Of a trip's box ``mbb`` and a query point: whether they are within an hour, half the square that reaches the box, distance."""
     b, zero = F.col("mbb"), F.lit(0.0)
-    t, t0, t1 = seconds("q.t"), seconds("mbb.tmin"), seconds("mbb.tmax")
-    dx = F.greatest(b["xmin"] - F.col("q.x"), zero, F.col("q.x") - b["xmax"])
-    dy = F.greatest(b["ymin"] - F.col("q.y"), zero, F.col("q.y") - b["ymax"])
+    t, t0, t1 = seconds("ts"), seconds("mbb.tmin"), seconds("mbb.tmax")
+    dx = F.greatest(b["xmin"] - F.col("lon"), zero, F.col("lon") - b["xmax"])
+    dy = F.greatest(b["ymin"] - F.col("lat"), zero, F.col("lat") - b["ymax"])
     gap = F.greatest(t0 - t, zero, t - t1) / 3600
-    reach = F.greatest(dx, dy)
+    return (t0 <= t + 3600) & (t1 >= t - 3600), F.greatest(dx, dy), F.sqrt(dx * dx + dy * dy + gap * gap)
+
+
+def _around(trips: DataFrame, asked: DataFrame, radius: float, top: int) -> DataFrame:
+    """Per query and vessel in its ring of ``top`` doublings the least doubling that meets it."""
+    near_in_time, reach, _ = _apart()
     # the smallest doubling whose square reaches the box, tested on exact powers of two
     level = F.lit(None).cast("int")
-    for n in range(widest, -1, -1):
+    for n in range(top, -1, -1):
         level = F.when(reach <= radius * 2**n, n).otherwise(level)
-    c = (
-        c.where((t0 <= t + 3600) & (t1 >= t - 3600))
-        .select("q.query_id", "mmsi", level.alias("level"), F.sqrt(dx * dx + dy * dy + gap * gap).alias("distance"))
-        .where(F.col("level").isNotNull())
-        .groupBy("query_id", "mmsi")
-        .agg(F.min("level").alias("level"), F.min("distance").alias("distance"))
-    )
-    from pyspark.sql.window import Window as W
-
-    counts = c.groupBy("query_id", "level").agg(F.count("*").alias("n"))
-    upto = W.partitionBy("query_id").orderBy("level")
-    counts = counts.withColumn("upto", F.sum("n").over(upto))
-    stop = counts.groupBy("query_id").agg(F.min(F.when(F.col("upto") >= k, F.col("level"))).alias("stop"))
-    # one row per query point of the given list
-    near = c.join(F.broadcast(stop), "query_id").where(F.col("stop").isNull() | (F.col("level") <= F.col("stop")))
-    w = W.partitionBy("query_id").orderBy("distance", "mmsi")
-    return (
-        near.withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "mmsi", "distance")
-    )
+    c = cell_join(trips, "mbb", _ring(asked, radius * 2**top), "box").where(near_in_time)
+    c = c.select("query_id", "mmsi", level.alias("level")).where("level is not null")
+    return c.groupBy("query_id", "mmsi").agg(F.min("level").alias("level"))
 
 
 def vessel_details(summaries: DataFrame, ids: DataFrame | Sequence[int]) -> DataFrame:

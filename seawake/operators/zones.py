@@ -14,31 +14,90 @@ from seawake.functions.geo import (
     seconds_between,
 )
 from seawake.operators.trips import build_trips, clip_legs, collect_ordered, legs, lerp, ordered_points
-from seawake.plans.joins import sized_broadcast
+from seawake.plans.cells import cell_join
+from seawake.plans.checkpoints import reliable_checkpoint
+from seawake.plans.joins import salted_join
 from seawake.plans.sliced import chain, time_slice
 from seawake.schema import check_period
 from seawake.sources.zones import ring_box
 
-#: zones and positions meet on strips of one degree of longitude
-STRIP_DEG = 1.0
+#: cells along the longer side of a zone, at least; cells have one of few sizes, ``CELL_STEP`` apart
+CELLS_ACROSS, CELL_STEP, CELL_LEVELS = 8, 4, 9
+#: cell size of level 0, about 100 m
+CELL_DEG = 1 / 1024
+#: cells are widened by this much when an edge is tested against them, far beyond rounding
+MARGIN_DEG = 1e-9
 
 
-def _strip(x: Column) -> Column:
-    return F.floor(x / F.lit(STRIP_DEG))
+def _cell_size(level: Column) -> Column:
+    return F.lit(CELL_DEG) * F.pow(F.lit(float(CELL_STEP)), level)
 
 
-def _zone_strips(zones: DataFrame) -> DataFrame:
-    """Zones once per longitude strip they touch (at most 361 each), broadcast if small."""
-    s = zones.withColumn("_strip", F.explode(F.sequence(_strip(F.col("box.xmin")), _strip(F.col("box.xmax")))))
-    return sized_broadcast(s, weight=F.size("edges"))
+def zone_cells(zones: DataFrame) -> DataFrame:
+    """The cells that cover each zone: ``zone, level, x, y, inner`` for zones numbered by ``zone``.
+
+    The cell size follows from the zone's extent, so a zone has 8 to 32 cells along its longer side.  A cell
+    met by no edge is ``inner`` if its middle is inside, so all of it is, and left out if not; the others are border cells.
+    """
+    box = F.col("box")
+    extent = F.greatest(box["xmax"] - box["xmin"], box["ymax"] - box["ymin"])
+    level = F.lit(0)
+    for n in range(1, CELL_LEVELS):
+        level = F.when(extent >= CELL_DEG * CELL_STEP**n * CELLS_ACROSS, n).otherwise(level)
+    z = zones.select("zone", "edges", "box", level.alias("level")).withColumn("s", _cell_size(F.col("level")))
+    along = lambda c: F.explode(F.sequence(F.floor(box[f"{c}min"] / F.col("s")), F.floor(box[f"{c}max"] / F.col("s"))))
+    z = z.withColumn("x", along("x")).withColumn("y", along("y"))
+    z = z.withColumns({"x0": F.col("x") * F.col("s"), "y0": F.col("y") * F.col("s")})
+    cell = ("zone", "level", "s", "x", "y", "x0", "y0")
+    met = z.select(*cell, F.exists("edges", _edge_meets_cell).alias("met"), "edges")
+    middle = point_in_edges(F.col("x0") + F.col("s") / 2, F.col("y0") + F.col("s") / 2, "edges")
+    found = met.select("zone", "level", "x", "y", (~F.col("met") & middle).alias("inner"), "met")
+    return found.where("inner or met").drop("met")
+
+
+def _edge_meets_cell(e: Column) -> Column:
+    """Whether an edge may touch the closed cell: their boxes overlap and the corners lie on both sides of its line."""
+    x0, y0 = F.col("x0") - MARGIN_DEG, F.col("y0") - MARGIN_DEG
+    x1, y1 = F.col("x0") + F.col("s") + MARGIN_DEG, F.col("y0") + F.col("s") + MARGIN_DEG
+    boxes = (
+        (F.greatest(e["x1"], e["x2"]) >= x0) & (F.least(e["x1"], e["x2"]) <= x1)
+        & (F.greatest(e["y1"], e["y2"]) >= y0) & (F.least(e["y1"], e["y2"]) <= y1)
+    )
+    side = lambda x, y: (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
+    corners = [side(x, y) for x in (x0, x1) for y in (y0, y1)]
+    return boxes & (F.least(*corners) <= 0) & (F.greatest(*corners) >= 0)
+
+
+def _numbered(zones: DataFrame) -> DataFrame:
+    """Zones with a number of their own, written once so that it stays."""
+    return reliable_checkpoint(zones.withColumn("zone", F.monotonically_increasing_id()))
+
+
+def _near_zones(points: DataFrame, numbered: DataFrame, lon: str, lat: str) -> DataFrame:
+    """Every (position, zone) whose cell belongs to the zone's cover, with ``zone`` and ``inner``.
+
+    A position has one cell for each cell size that occurs among the zones.
+    """
+    cells = reliable_checkpoint(zone_cells(numbered))
+    levels = sorted(r["level"] for r in cells.select("level").distinct().collect())
+    sizes = F.array(*[F.lit(n) for n in levels]) if levels else F.array().cast("array<int>")
+    p = points.withColumn("_level", F.explode(sizes))
+    size = _cell_size(F.col("_level"))
+    p = p.withColumns({"_x": F.floor(F.col(lon) / size), "_y": F.floor(F.col(lat) / size)})
+    keys = ["_level", "_x", "_y"]
+    near = cells.select(F.col("level").alias("_level"), F.col("x").alias("_x"), F.col("y").alias("_y"), "zone", "inner")
+    return salted_join(p, near, keys).drop(*keys)
 
 
 def points_in_zones(points: DataFrame, zones: DataFrame, lon: str = "longitude", lat: str = "latitude") -> DataFrame:
-    """Every (position, zone) with the position strictly inside; positions keep their columns."""
-    strips = _zone_strips(zones)
-    p = points.withColumn("_strip", _strip(F.col(lon)))
-    near = p.join(strips, "_strip").drop("_strip")
-    return near.where(point_in_edges(lon, lat, "edges", F.col("box")))
+    """Every (position, zone) with the position strictly inside; positions keep their columns.
+
+    Positions meet zones on cells of two axes.  Only those in a zone's border cells are tested against its ring.
+    """
+    numbered = _numbered(zones)
+    near = _near_zones(points, numbered, lon, lat)
+    full = salted_join(near, numbered, ["zone"], weight=F.size("edges"))
+    return full.where(F.col("inner") | point_in_edges(lon, lat, "edges", F.col("box"))).drop("zone", "inner")
 
 
 def area_detection(points: DataFrame, zones: DataFrame, start, end) -> DataFrame:
@@ -63,20 +122,17 @@ def area_detection(points: DataFrame, zones: DataFrame, start, end) -> DataFrame
     alone = trips.where(in_period("ts", start, end) & (F.col("next").isNull() | (F.col("ts") == instant(end)))).select(
         "mmsi", F.col("lon").alias("x1"), F.col("lat").alias("y1"), F.col("lon").alias("x2"), F.col("lat").alias("y2")
     )
-    pieces = leg.unionByName(alone).withColumn(
-        "_strip",
-        F.explode(F.sequence(_strip(F.least("x1", "x2")), _strip(F.greatest("x1", "x2")))),
-    )
-    box = F.col("box")
-    near = (
-        (F.least("x1", "x2") <= box["xmax"])
-        & (F.greatest("x1", "x2") >= box["xmin"])
-        & (F.least("y1", "y2") <= box["ymax"])
-        & (F.greatest("y1", "y2") >= box["ymin"])
-    )
+    span = F.struct(
+        F.least("x1", "x2").alias("xmin"), F.greatest("x1", "x2").alias("xmax"),
+        F.least("y1", "y2").alias("ymin"), F.greatest("y1", "y2").alias("ymax"),
+    )
+    pieces = reliable_checkpoint(leg.unionByName(alone).withColumn("span", span))
+    numbered = _numbered(zones)
+    near = cell_join(pieces, "span", numbered.select("zone", F.col("box").alias("zone_box")), "zone_box", timed=False)
+    a, b = F.col("span"), F.col("zone_box")
+    near = near.where((a["xmin"] <= b["xmax"]) & (a["xmax"] >= b["xmin"]) & (a["ymin"] <= b["ymax"]) & (a["ymax"] >= b["ymin"]))
     entered = (
-        pieces.join(_zone_strips(zones), "_strip")
-        .where(near)
+        salted_join(near.drop("zone_box", "span"), numbered, ["zone"], weight=F.size("edges"))
         .where(leg_meets_edges("x1", "y1", "x2", "y2", "edges"))
         .select("mmsi", "zone_id", F.col("name").alias("zone_name"))
         .distinct()
