@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seawake.functions.geo import hav_m, in_period, seconds_between
+from seawake.operators.anchored import anchored_stops
 from seawake.operators.trips import ordered_points, segment_points
 from seawake.operators.zones import zone_entries
 from seawake.plans.checkpoints import reliable_checkpoint
@@ -186,51 +187,23 @@ def abnormal_stops(
 
     Only the radius test is sequential, so runs are cut by windows first; runs of
     one report hold no stop and never reach Python.  Runs of more than
-    ``run_rows`` reports never enter a task as a whole: each round finds, by one
-    combining aggregate, the first report outside the radius of the current anchor of
-    every long run, closes that stop and goes on with the rest, until what is left
-    of the run is short.  The result is the same for any ``run_rows``.
+    ``run_rows`` reports never enter a task as a whole: ``anchored.anchored_stops`` finds their stops block by
+    block, in rounds logarithmic in the number of blocks.  The result is the same for any ``run_rows``.
     """
     check_period(start, end)
     keys = ["mmsi", "run"]
     runs = slow_runs(points, speed, start, end)
     n_rows = F.count("*").alias("n")
-    found: list[DataFrame] = []
-    short = runs
     # a vessel with few slow reports has no long run: settle that on a cheap count first
     slow = points.where((F.coalesce("sog", F.lit(0.0)) <= speed) & in_period("base_date_time", start, end))
-    if not slow.groupBy("mmsi").agg(n_rows).where(F.col("n") > run_rows).isEmpty():
-        runs = reliable_checkpoint(runs)
+    some_long = not slow.groupBy("mmsi").agg(n_rows).where(F.col("n") > run_rows).isEmpty()
+    short = runs = reliable_checkpoint(runs) if some_long else runs
+    if some_long:
         long_runs = sized_broadcast(runs.groupBy(*keys).agg(n_rows).where(F.col("n") > run_rows).select(*keys))
-        open_runs = reliable_checkpoint(runs.join(long_runs, keys, "left_semi"))
         short = runs.join(long_runs, keys, "left_anti")
-        rests: list[DataFrame] = []
-        while not open_runs.isEmpty():
-            anchor = open_runs.groupBy(*keys).agg(F.min(F.struct("ts", "lon", "lat")).alias("a"))
-            d = open_runs.join(sized_broadcast(anchor), keys)
-            beyond = hav_m("a.lon", "a.lat", "lon", "lat") > radius_m
-            cut = d.groupBy(*keys).agg(F.min(F.when(beyond, F.col("ts"))).alias("cut"))
-            d = open_runs.join(sized_broadcast(cut), keys)
-            done = d.where(F.col("cut").isNull() | (F.col("ts") < F.col("cut")))
-            closed = done.groupBy(*keys).agg(
-                F.min("ts").alias("start_time"),
-                F.max("ts").alias("end_time"),
-                F.avg("lon").alias("lon"),
-                F.avg("lat").alias("lat"),
-                F.count("*").alias("n_points"),
-            )
-            found.append(reliable_checkpoint(closed.where("n_points > 1").drop("run")))
-            rest = d.where(F.col("ts") >= F.col("cut")).drop("cut")
-            big = rest.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > run_rows).select(*keys)
-            rest = reliable_checkpoint(rest)
-            big = sized_broadcast(reliable_checkpoint(big))
-            rests.append(rest.join(big, keys, "left_anti"))
-            open_runs = rest.join(big, keys, "left_semi")
-        for r in rests:
-            short = short.unionByName(r)
     stops = spread(short, keys).groupBy(*keys).applyInArrow(_greedy_stops(radius_m), _STOP_SCHEMA)
-    for f in found:
-        stops = stops.unionByName(f)
+    if some_long:
+        stops = stops.unionByName(anchored_stops(runs.join(long_runs, keys, "left_semi"), radius_m, run_rows))
     return (
         stops.withColumn("duration_min", seconds_between("start_time", "end_time") / 60)
         .where(F.col("duration_min") >= min_minutes)
