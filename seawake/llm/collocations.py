@@ -139,7 +139,7 @@ class PhraseTrie:
         return out
 
     def spill(self, words: list[bytes], all_of_it: bool):
-        """Sorted runs of (phrase, n), a subtree each: all, or the largest until half of what is held has left."""
+        """Sorted runs (phrases and their counts), a subtree each: all, or the largest until half of what is held has left."""
         keep = 0 if all_of_it else self.held // 2
         for word, size in self.sizes.most_common():
             if self.held <= keep:
@@ -149,13 +149,37 @@ class PhraseTrie:
             self.held -= size
             if not isinstance(node, Counter):
                 node = {second + rest: n for second, child in node.items() for rest, n in child.items()}
-            run: list[tuple[bytes, int]] = []
-            for length in {len(key) for key in node}:
+            found: dict[bytes, int] = {}
+            for length in set(map(len, node)):
                 keys = [k for k in node if len(k) == length]
                 ids = np.frombuffer(b"".join(keys), ">u4").reshape(len(keys), -1).T.tolist()
-                columns = [[words[i] for i in c] for c in ids]
-                run += zip(map(b" ".join, zip([words[word]] * len(keys), *columns)), map(node.__getitem__, keys))
-            yield sorted(run)
+                columns = [map(words.__getitem__, c) for c in ids]
+                found.update(zip(map(b" ".join, zip([words[word]] * len(keys), *columns)), map(node.__getitem__, keys)))
+            run = sorted(found)
+            yield run, list(map(found.__getitem__, run))
+
+
+class _Ids(dict):
+    """Ids of words in the order they are met; -1 for those the field does not name."""
+
+    def __init__(self, lang: str, field: np.ndarray | None, bits: int):
+        super().__init__({_END: -1})
+        self.lang, self.field, self.shift = lang, field, 64 - bits
+        self.words: list[bytes] = []
+        self.hashes: list[int] = []
+
+    def __missing__(self, word: bytes) -> int:
+        i = len(self.words)
+        if self.field is not None:
+            h = word_hash(self.lang, word)
+            at = h >> self.shift
+            if not int(self.field[at >> 5]) >> (at & 31) & 1:
+                self[word] = -1
+                return -1
+            self.hashes.append(h)
+        self.words.append(word)
+        self[word] = i
+        return i
 
 
 class _Counts:
@@ -166,29 +190,17 @@ class _Counts:
         self.reset()
 
     def reset(self) -> None:
-        self.ids: dict[bytes, int] = {_END: -1}
-        self.words: list[bytes] = []
+        self.ids = _Ids(self.lang, self.fields[0], self.limits.bits)
         self.hashes = np.zeros(0, np.uint64)
         self.counts = np.zeros(0, np.int64)
         self.trie = PhraseTrie(self.limits.burst)
 
-    def _learn(self, fresh: list[bytes]) -> None:
-        h = np.array([word_hash(self.lang, w) for w in fresh], np.uint64)
-        good = np.ones(len(fresh), bool) if self.fields[0] is None else _on(self.fields[0], h, self.limits.bits)
-        for w, g in zip(fresh, good.tolist()):
-            self.ids[w] = len(self.words) if g else -1
-            if g:
-                self.words.append(w)
-        self.hashes = np.r_[self.hashes, h[good]]
-
     def add(self, text: bytes) -> None:
         """Count a text; with neither field its words, with one the pairs, with both the longer phrases."""
         words = words_of(text)
-        if fresh := list(set(words).difference(self.ids)):
-            self._learn(fresh)
         at = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
         if self.fields[0] is None:
-            n = np.bincount(at[at >= 0], minlength=len(self.words))
+            n = np.bincount(at[at >= 0], minlength=len(self.ids.words))
             n[: len(self.counts)] += self.counts
             self.counts = n
             return
@@ -198,6 +210,7 @@ class _Counts:
             if len(i):
                 self.trie.add(np.c_[at[i], at[i + 1]])
             return
+        self.hashes = np.r_[self.hashes, np.array(self.ids.hashes[len(self.hashes) :], np.uint64)]
         i = np.flatnonzero(good)
         good[i] = _on(self.fields[1], pair_hashes(self.hashes[at[i]], self.hashes[at[i + 1]]), self.limits.bits)
         run = good  # run[i]: all pairs of the words from i on are frequent
@@ -214,9 +227,11 @@ class _Counts:
     def runs(self, all_of_it: bool):
         if self.fields[0] is None:
             if all_of_it:
-                yield sorted((w, n) for w, n in zip(self.words, self.counts.tolist()) if n)
+                found = dict(zip(self.ids.words, self.counts.tolist()))
+                run = sorted(found)
+                yield run, list(map(found.__getitem__, run))
         else:
-            yield from self.trie.spill(self.words, all_of_it)
+            yield from self.trie.spill(self.ids.words, all_of_it)
 
 
 _RUN = "lang string, phrase string, n long"
@@ -229,19 +244,23 @@ def _runs(docs: DataFrame, longest: int, limits: Limits, words: np.ndarray | Non
 
     def run(batches):
         tries: dict[str, _Counts] = {}
-        rows: list[tuple[str, bytes, int]] = []
-
-        def batch_of(part):
-            langs, phrases, n = zip(*part)
-            arrays = [pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())]
+        langs: list[str] = []
+        phrases: list[bytes] = []
+        counts: list[int] = []
+
+        def batch_of(n):
+            arrays = [pa.array(langs[:n], pa.string()), pa.array(phrases[:n], pa.binary()).cast(pa.string()), pa.array(counts[:n], pa.int64())]
+            for column in (langs, phrases, counts):
+                del column[:n]
             return pa.RecordBatch.from_arrays(arrays, names=["lang", "phrase", "n"])
 
-        def spilled(counts: _Counts, all_of_it: bool):
-            for found in counts.runs(all_of_it):
-                rows.extend((counts.lang, p, n) for p, n in found)
-                while len(rows) >= limits.rows:
-                    yield batch_of(rows[:limits.rows])
-                    del rows[:limits.rows]
+        def spilled(own: _Counts, all_of_it: bool):
+            for run, n in own.runs(all_of_it):
+                langs.extend([own.lang] * len(run))
+                phrases.extend(run)
+                counts.extend(n)
+                while len(phrases) >= limits.rows:
+                    yield batch_of(limits.rows)
 
         for batch in batches:
             for part in byte_slices(batch, 1, limits.text):
@@ -263,8 +282,8 @@ def _runs(docs: DataFrame, longest: int, limits: Limits, words: np.ndarray | Non
                     tries.clear()
         for t in tries.values():
             yield from spilled(t, True)
-        if rows:
-            yield batch_of(rows)
+        if phrases:
+            yield batch_of(len(phrases))
 
     return stored(docs.mapInArrow(run, _RUN), "phrase-runs")
 

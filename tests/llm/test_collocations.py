@@ -95,12 +95,12 @@ def test_trie_spills_sorted_subtrees():
         assert trie.held == sum(trie.sizes.values())
         if trie.held > 100:
             before = trie.held
-            for run in trie.spill(words, False):
-                assert run == sorted(run) and len({p.split()[0] for p, _ in run}) == 1
-                got.update(dict(run))
+            for run, n in trie.spill(words, False):
+                assert run == sorted(run) and len({p.split()[0] for p in run}) == 1
+                got.update(dict(zip(run, n)))
             assert trie.held <= before // 2
-    for run in trie.spill(words, True):
-        got.update(dict(run))
+    for run, n in trie.spill(words, True):
+        got.update(dict(zip(run, n)))
     assert got == want and trie.held == 0
 
 
