@@ -13,6 +13,8 @@ SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 #: documents are handed to numpy and the tokenizers in slices of this many, so memory stays small
 SLICE_DOCS = 256
+#: and of some so many bytes, one document at least
+SLICE_TEXT = 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,10 +87,15 @@ def load_tokenizer(path: str):
 
 
 def slices(batch, *names):
-    """Python lists of the named columns of an Arrow batch, ``SLICE_DOCS`` rows at a time."""
+    """Python lists of the named columns of an Arrow batch, ``SLICE_DOCS`` rows or some ``SLICE_TEXT`` bytes at a time."""
+    import pyarrow as pa
+
+    places = [batch.schema.get_field_index(n) for n in names]
+    text = next((i for i in places if pa.types.is_binary(batch.schema.field(i).type)), None)
     for at in range(0, batch.num_rows, SLICE_DOCS):
-        part = batch.slice(at, SLICE_DOCS)
-        yield tuple(part.column(part.schema.get_field_index(n)).to_pylist() for n in names)
+        rows = batch.slice(at, SLICE_DOCS)
+        for part in [rows] if text is None else byte_slices(rows, text, SLICE_TEXT):
+            yield tuple(part.column(i).to_pylist() for i in places)
 
 
 #: bytes of a column that are handed on at once, where texts differ much in length

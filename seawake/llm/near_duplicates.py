@@ -41,7 +41,7 @@ from seawake.llm.ids import drop_ids, has_bit, id_bits, with_bit
 
 _lower = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: words a Python worker remembers the hash of before it starts afresh
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 250_000
 _memo: dict[bytes, int] = {}
 
 #: counters of the frequency sketch (2 ** SKETCH_BITS) and how many travel in one row
@@ -125,7 +125,7 @@ def _describe(width: int):
                 sets = [shingle_set(t, width) for t in texts]
                 held += sets
                 n += sum(map(len, sets))
-                if n > 2_000_000:
+                if n > 500_000:
                     count()
                     n = 0
                 prints = [_fingerprint(s) for s in sets]
@@ -133,6 +133,7 @@ def _describe(width: int):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
         if held:
             count()
+        _memo.clear()  # the worker lives on, and the sketch is packed next
         packer = zstandard.ZstdCompressor(level=1)
         rows = [
             (i, packer.compress(sketch[at : at + SKETCH_ROW].tobytes()))
