@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seawake.operators.hulls import LEAF_ROWS, cuts_and_pieces, distances, every_report, hull_corners, rows_of_pieces
 from seawake.operators.trips import ordered_points
 from seawake.plans.checkpoints import reliable_checkpoint
 from seawake.plans.joins import sized_broadcast, spread
@@ -22,6 +23,8 @@ from seawake.schema import M_PER_DEGREE
 
 #: stretches up to this many reports go to one Arrow task
 STRETCH_ROWS = 100_000
+#: reports, or corners of leaves, of one stretch that one task descends through (some 60 bytes each)
+MAX_CORNERS = 4_000_000
 
 _SCHEMA = "mmsi long, ts timestamp, lon double, lat double, level double"
 
@@ -38,12 +41,7 @@ def _levels(floor_deg: float):
             a, b, cap = todo.pop()
             if b - a < 2:
                 continue
-            px, py = x[a + 1 : b], y[a + 1 : b]
-            dx, dy = x[b] - x[a], y[b] - y[a]
-            if dx == 0 and dy == 0:
-                d = np.hypot(px - x[a], py - y[a])
-            else:
-                d = np.abs(dy * px - dx * py + x[b] * y[a] - y[b] * x[a]) / np.hypot(dx, dy)
+            d = distances(x[a + 1 : b], y[a + 1 : b], x[a], y[a], x[b], y[b])
             k = int(np.argmax(d))
             if d[k] > floor_deg:
                 m = a + 1 + k
@@ -63,14 +61,39 @@ def _chord_distance(a: Column, b: Column, x: Column, y: Column) -> Column:
     return F.when(length == 0, F.sqrt(ex * ex + ey * ey)).otherwise(off / F.nullif(length, F.lit(0.0)))
 
 
+def _split_once(rows: DataFrame, keys: list[str], floor_deg: float) -> DataFrame:
+    """The first cut of each stretch and its two halves, as ``cuts_and_pieces`` gives them, by combining aggregates."""
+    at = F.struct("ts", "lon", "lat")
+    chord = rows.groupBy(*keys).agg(F.min(at).alias("a"), F.max(at).alias("b"))
+    d = rows.join(sized_broadcast(chord), keys)
+    inner = (F.col("ts") > F.col("a.ts")) & (F.col("ts") < F.col("b.ts"))
+    dist = _chord_distance(F.col("a"), F.col("b"), F.col("lon"), F.col("lat"))
+    far = d.where(inner).groupBy(*keys).agg(
+        F.min(F.struct((-dist).alias("neg"), "ts", "lon", "lat", "cap")).alias("m"),
+        F.first("a.ts").alias("t0"),
+        F.first("b.ts").alias("t1"),
+    )
+    far = far.where(-F.col("m.neg") > floor_deg)
+
+    def piece(kind: str, a: str, b: str) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b"))
+
+    pieces = F.array(piece("cut", "m.ts", "m.ts"), piece("open", "t0", "m.ts"), piece("open", "m.ts", "t1"))
+    level = F.least(F.col("m.cap"), -F.col("m.neg")).alias("level")
+    return far.select(*keys, level, F.col("m.lon").alias("lon"), F.col("m.lat").alias("lat"), F.explode(pieces).alias("p")).select(
+        *keys, "p.kind", "level", "p.a", "p.b", "lon", "lat"
+    )
+
+
 def split_levels(
-    points: DataFrame, floor_m: float, start=None, end=None, mmsi: int | None = None, stretch_rows: int = STRETCH_ROWS
-) -> DataFrame:
+    points: DataFrame, floor_m: float, start=None, end=None, mmsi: int | None = None, stretch_rows: int = STRETCH_ROWS,
+    max_corners: int = MAX_CORNERS,
+) -> DataFrame:
     """``mmsi, ts, lon, lat, level`` of every report kept at ``floor_m``; end points have no bound.
 
-    A track longer than ``stretch_rows`` is first split by combining aggregates, one round
-    per depth, until every open stretch fits one task.  The result does not depend on
-    ``stretch_rows``.
+    A track longer than ``stretch_rows`` is first split on hulls (``operators/hulls.py``) into pieces of that size: in one round
+    up to ``max_corners`` reports, however deep the splits, and in some more beyond.  Neither ``stretch_rows`` nor
+    ``max_corners`` changes the result, but for distances that differ by rounding only.
     """
     floor_deg = floor_m / M_PER_DEGREE
     pts = ordered_points(points, start, end, mmsi=mmsi).select(
@@ -91,42 +114,29 @@ def split_levels(
     # no vessel with that many reports, no long track: settle that on a cheap count first
     n_rows = F.count("*").alias("n")
     if not points.groupBy("mmsi").agg(n_rows).where(F.col("n") > stretch_rows).isEmpty():
-        todo = reliable_checkpoint(todo)
-        big = sized_broadcast(todo.groupBy(*keys).agg(n_rows).where(F.col("n") > stretch_rows).select(*keys))
-        small_parts = [todo.join(big, keys, "left_anti")]
-        open_part = todo.join(big, keys, "left_semi")
-        while not open_part.isEmpty():
-            at = F.struct("ts", "lon", "lat")
-            chord = open_part.groupBy(*keys).agg(F.min(at).alias("a"), F.max(at).alias("b"))
-            d = open_part.join(sized_broadcast(chord), keys)
-            inner = (F.col("ts") > F.col("a.ts")) & (F.col("ts") < F.col("b.ts"))
-            dist = _chord_distance(F.col("a"), F.col("b"), F.col("lon"), F.col("lat"))
-            far = d.where(inner).groupBy(*keys).agg(
-                F.min(F.struct((-dist).alias("neg"), "ts", "lon", "lat", "cap")).alias("m")
-            )
-            split = reliable_checkpoint(
-                far.where(-F.col("m.neg") > floor_deg).select(
-                    *keys,
-                    F.col("m.ts").alias("cut"),
-                    F.col("m.lon").alias("cut_lon"),
-                    F.col("m.lat").alias("cut_lat"),
-                    F.least(F.col("m.cap"), -F.col("m.neg")).alias("level"),
-                )
-            )
-            found.append(
-                split.select("mmsi", F.col("cut").alias("ts"), F.col("cut_lon").alias("lon"), F.col("cut_lat").alias("lat"), "level")
-            )
-            halves = open_part.join(sized_broadcast(split), keys)
-            left = halves.where(F.col("ts") <= F.col("cut")).select("mmsi", "ts", "lon", "lat", "stretch", F.col("level").alias("cap"))
-            right = halves.where(F.col("ts") >= F.col("cut")).select("mmsi", "ts", "lon", "lat", F.unix_micros("cut").alias("stretch"), F.col("level").alias("cap"))
-            todo = reliable_checkpoint(left.unionByName(right))
-            big = todo.groupBy(*keys).agg(n_rows).where(F.col("n") > stretch_rows).select(*keys)
-            big = sized_broadcast(reliable_checkpoint(big))
-            small_parts.append(todo.join(big, keys, "left_anti"))
-            open_part = todo.join(big, keys, "left_semi")
-        small = small_parts[0]
-        for part in small_parts[1:]:
-            small = small.unionByName(part)
+        rows = reliable_checkpoint(todo)
+        big = sized_broadcast(rows.groupBy(*keys).agg(n_rows).where(F.col("n") > stretch_rows).select(*keys))
+        small = rows.join(big, keys, "left_anti")
+        rows = rows.join(big, keys, "left_semi")
+        while not rows.isEmpty():
+            sizes = rows.groupBy(*keys).agg(n_rows)
+            large = sized_broadcast(reliable_checkpoint(sizes.where(F.col("n") > max_corners).select(*keys)))
+            corners = every_report(rows.join(large, keys, "left_anti"))
+            many = large
+            if not large.isEmpty():
+                hulls = reliable_checkpoint(hull_corners(rows.join(large, keys, "left_semi"), LEAF_ROWS))
+                # still too many: such a stretch is split once by an aggregate
+                many = hulls.groupBy(*keys).agg(n_rows).where(F.col("n") > max_corners).select(*keys)
+                many = sized_broadcast(reliable_checkpoint(many))
+                corners = corners.unionByName(hulls.join(many, keys, "left_anti"))
+            pieces = cuts_and_pieces(spread(corners, keys), floor_deg, stretch_rows)
+            if not many.isEmpty():
+                pieces = pieces.unionByName(_split_once(rows.join(many, keys, "left_semi"), keys, floor_deg))
+            pieces = reliable_checkpoint(pieces)
+            found.append(pieces.where("kind = 'cut'").select("mmsi", F.col("a").alias("ts"), "lon", "lat", "level"))
+            rows = reliable_checkpoint(rows_of_pieces(rows, pieces.where("kind <> 'cut'")))
+            small = small.unionByName(rows.where("kind = 'small'").drop("kind"))
+            rows = rows.where("kind = 'open'").drop("kind")
     inner = spread(small, keys).groupBy(*keys).applyInArrow(_levels(floor_deg), _SCHEMA)
     for f in found:
         inner = inner.unionByName(f)
