@@ -8,8 +8,9 @@ container, a hash table of the ids that follow.  A container with more than ``Li
 container per second word.  When a task holds ``Limits.held`` phrases it spills: whole subtrees, largest first, leave
 as sorted runs of ``(lang, phrase, n)``.  Word ids are the task's own; runs hold the words.
 
-*Merge.*  The runs of all tasks are written, dealt by ranges of ``(lang, phrase)``, so that a partition is a range of
-prefixes and a frequent prefix is cut deeper, and summed.  Only phrases with ``least`` occurrences go on.
+*Merge.*  The runs of all tasks are dealt by prefix, the first ``PREFIX`` words, so that a partition holds whole subtrees,
+and summed there.  No sample of the runs is needed for that, so they are shuffled as they leave the tries, written
+nowhere else.  Only phrases with ``least`` occurrences go on.
 
 *Levels.*  A phrase is no more frequent than its parts.  So words are counted first, then pairs of frequent words,
 then longer phrases all of whose pairs are frequent.  Tasks know the frequent words and pairs from two
@@ -51,6 +52,8 @@ LIMITS = Limits()
 _fold = bytes(
     c + 32 if 65 <= c <= 90 else 32 if c == 9 else 10 if c in b".,;:!?\x0a\x0b\x0c\x0d" else c for c in range(256)
 )
+#: words of the prefix that phrases are dealt by; below one lie two levels of the trie at most
+PREFIX = 3
 #: stands between pieces; no UTF-8 text holds this byte
 _END = b"\xff"
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -238,7 +241,7 @@ _RUN = "lang string, phrase string, n long"
 
 
 def _runs(docs: DataFrame, longest: int, limits: Limits, words: np.ndarray | None = None, pairs: np.ndarray | None = None) -> DataFrame:
-    """Sorted runs of what every task counted."""
+    """Sorted runs of what every task counted, not yet merged."""
     sc = docs.sparkSession.sparkContext
     fields = [None if f is None else sc.broadcast(f) for f in (words, pairs)]
 
@@ -285,13 +288,15 @@ def _runs(docs: DataFrame, longest: int, limits: Limits, words: np.ndarray | Non
         if phrases:
             yield batch_of(len(phrases))
 
-    return stored(docs.mapInArrow(run, _RUN), "phrase-runs")
+    return docs.mapInArrow(run, _RUN)
 
 
 def _merged(runs: DataFrame, least: int) -> DataFrame:
-    """Phrases with ``least`` occurrences in all runs; a partition is a range of prefixes."""
-    ranges = runs.repartitionByRange(shuffle_width(runs.sparkSession), "lang", "phrase")
-    sums = ranges.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    """Phrases with ``least`` occurrences in all runs, summed in partitions of whole prefixes."""
+    prefix = F.substring_index("phrase", " ", PREFIX)
+    dealt = runs.repartition(shuffle_width(runs.sparkSession), "lang", prefix)
+    # the prefix is a key too, so the sums need no second shuffle
+    sums = dealt.groupBy("lang", prefix.alias("__prefix"), "phrase").agg(F.sum("n").alias("n")).drop("__prefix")
     return stored(sums.where(F.col("n") >= least), "phrase-counts")
 
 
@@ -300,7 +305,7 @@ def phrase_counts(
 ) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, n`` of all phrases of up to ``longest`` words that occur ``least`` times, and ``lang, total`` words."""
     body = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), utf8().alias("body"))
-    runs = _runs(body, longest, limits)
+    runs = stored(_runs(body, longest, limits), "word-runs")  # read twice, and small
     totals = stored(runs.groupBy("lang").agg(F.sum("n").alias("total")), "phrase-totals")
     counts = words = _merged(runs, least)
     field = frequent_field(words, limits.bits)
