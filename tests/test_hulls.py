@@ -112,3 +112,10 @@ def test_corners_hold_the_farthest_point_of_every_line():
     assert hulls.hull_places(flat, flat).tolist() == [0, 1, 2, 3, 4]
     assert hulls.hull_places(np.zeros(5), np.zeros(5)).tolist() == [0]
     assert pa.array(hulls.hull_places(flat, -flat)).type == pa.int64()
+
+
+def test_a_noisy_stretch_too_long_for_a_task_goes_by_leaves(spark):
+    swing = lambda s: F.round((F.xxhash64("id", F.lit(s)) % 1000) / 1e6, 4)
+    p = track(spark, 3000, 120 + F.col("id") / 3000 + swing(1), 30 + swing(2))
+    want = levels(simplify.split_levels(p, 20))
+    same(levels(simplify.split_levels(p, 20, stretch_rows=800, max_corners=2900)), want)
