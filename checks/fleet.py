@@ -20,7 +20,12 @@ from seawake.sources import zones as zone_source
 def scratch(spark: SparkSession) -> str:
     """A new folder under the shared folder of the cluster, or a local one where none is named."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="seawake-")
+    if shared:
+        return f"{shared}/{uuid.uuid4().hex}"
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="seawake-")
 
 
 # --- SRC ------------------------------------------------------------------------
@@ -71,6 +76,31 @@ def _(spark, sf):
     return _typed(positions.read_positions_csv(spark, folder, glob="*.csv"))
 
 
+@check(
+    "read_positions_encodings",
+    f"""{with_points()} SELECT mmsi, {I('t')} AS t, lon AS longitude, CASE WHEN src_id % 1000 <> 7 THEN lat END AS latitude,
+    CASE WHEN vessel_name IS NOT NULL AND (mmsi % 2 = 0 OR t >= {T1}) THEN '长江 ' || vessel_name ELSE vessel_name END AS vessel_name FROM p""",
+)
+def _(spark, sf):
+    """GBK files whose names leave ASCII only in their last rows, beside UTF-8 files that do so from the start."""
+    folder, p = scratch(spark) + "/csv", _as_text(points(spark, sf))
+    even = F.col("MMSI").cast("long") % 2 == 0
+    late = F.to_timestamp(F.trim("BaseDateTime")) >= F.lit(END)
+    name = F.col("`Vessel Name`")
+    p = p.withColumn("Vessel Name", F.when(even | late, F.concat(F.lit("长江 "), F.trim(name))).otherwise(name))
+    p.where(even).write.option("header", True).csv(folder)
+    legacy = spark.conf.get("spark.sql.legacy.javaCharsets", "false")
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # Spark writes its standard charsets only unless told otherwise
+    try:
+        # by time, so that all but the last file of the range have ASCII names throughout
+        odd = p.where(~even).repartitionByRange(4, "BaseDateTime").sortWithinPartitions("BaseDateTime")
+        odd.write.mode("append").option("header", True).option("encoding", "GBK").csv(folder)
+    finally:
+        spark.conf.set("spark.sql.legacy.javaCharsets", legacy)
+    got = positions.read_positions_csv(spark, folder, glob="*.csv")
+    return got.select("mmsi", sec("base_date_time").alias("t"), "longitude", "latitude", "vessel_name")
+
+
 @check("type_positions", f"{with_points()} {_TEXT_SQL}")
 def _(spark, sf):
     return _typed(positions.type_positions(_as_text(points(spark, sf))))

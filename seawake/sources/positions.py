@@ -103,43 +103,33 @@ def read_text_columns(
     return reader.csv(paths if isinstance(paths, str) else list(paths))
 
 
-#: bytes at the start of a file that tell its header and its encoding
-SAMPLE_BYTES = 1 << 20
-
-
-def _start(spark: SparkSession, path: str) -> bytes:
-    """The first bytes of a file, cut behind the last line break if the file goes on."""
-    sc = spark.sparkContext
-    at = sc._jvm.org.apache.hadoop.fs.Path(path)
-    stream = at.getFileSystem(sc._jsc.hadoopConfiguration()).open(at)
-    try:
-        data = bytes(stream.readNBytes(SAMPLE_BYTES))
-    finally:
-        stream.close()
-    return data[: data.rfind(b"\n") + 1] if len(data) == SAMPLE_BYTES else data
-
-
 def header_groups(
     spark: SparkSession, paths: str | Sequence[str], encoding: str | None = None, glob: str | None = None
 ) -> dict[tuple[str, str], list[str]]:
-    """Files by (encoding, header line).  Without ``encoding`` a file that is not UTF-8 is taken for GBK.
+    """Files by (encoding, header line).  Without ``encoding`` a file with any line that is not UTF-8 is taken for GBK.
 
-    Only the first ``SAMPLE_BYTES`` of every file are read.  Empty files are left out.
+    One streamed pass over the whole files, by the executors: the text source hands on the bytes of
+    each line as they are (no byte of a GBK character is a line end), and one row per
+    file comes back.  The header is the first line that is not blank; files without one are left out.
     """
-    reader = spark.read.format("binaryFile")
+    reader = spark.read
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(paths if isinstance(paths, str) else list(paths)).select("path").orderBy("path").collect()
+    lines = reader.text(paths if isinstance(paths, str) else list(paths)).select(
+        F.col("_metadata.file_path").alias("path"),
+        "value",
+        # rows of one split are read in order, so the least number of the first split is the first line's
+        F.when((F.col("_metadata.file_block_start") == 0) & (F.trim("value") != ""), F.monotonically_increasing_id()).alias("row"),
+    )
+    # the set of two values at most makes this a hash aggregate, text buffers notwithstanding
+    files = lines.groupBy("path").agg(
+        F.collect_set(F.is_valid_utf8("value")).alias("valid"),
+        F.min_by(F.col("value").cast("binary"), "row").alias("header"),
+    )
     groups: dict[tuple[str, str], list[str]] = {}
-    for r in files:
-        data, found = _start(spark, r["path"]), encoding
-        if found is None:
-            try:
-                data.decode("utf-8")
-                found = "UTF-8"
-            except UnicodeDecodeError:
-                found = "GBK"
-        header = data.decode(found, "replace").lstrip("\ufeff").split("\n", 1)[0].rstrip("\r")
+    for r in files.orderBy("path").collect():
+        found = encoding or ("GBK" if False in r["valid"] else "UTF-8")
+        header = bytes(r["header"] or b"").decode(found, "replace").lstrip("\ufeff")
         if header.strip():
             groups.setdefault((found, header), []).append(r["path"])
     return groups

@@ -101,3 +101,23 @@ def test_headers_and_encodings_file_by_file(spark, tmp_path):
     assert {(r.longitude, r.latitude) for r in rows.values()} == {(121.5, 30.5)}
     assert rows[200000004].vessel_name == "长江"
     assert positions.read_positions_csv(spark, str(tmp_path / "c.csv")).count() == 0
+
+
+def test_whole_files_tell_their_encoding(spark, tmp_path):
+    """More than a MiB of ASCII before the first GBK name, CR line ends, blank lines before the header."""
+    head, line = "mmsi,timestamp,lat,lon,name", "200000001,2025-01-01 00:00:00,1,2,X"
+    rows = "\n".join([line] * 40_000)
+    assert len(rows) > 1 << 20
+    write(tmp_path / "late.csv", f"{head}\n{rows}\n200000002,2025-01-01 00:00:00,1,2,长江\n", "gbk")
+    with open(tmp_path / "cr.csv", "wb") as f:
+        f.write("\r".join([head, *["200000003,2025-01-01 00:00:00,1,2,黄河"] * 30_000, ""]).encode())
+    write(tmp_path / "blank.csv", f"\n  \n{head}\n200000004,2025-01-01 00:00:00,1,2,Y\n")
+    groups = positions.header_groups(spark, str(tmp_path), glob="*.csv")
+    assert {(e, h, tuple(sorted(os.path.basename(p) for p in files))) for (e, h), files in groups.items()} == {
+        ("GBK", head, ("late.csv",)),
+        ("UTF-8", head, ("blank.csv", "cr.csv")),
+    }
+    got = positions.read_positions_csv(spark, str(tmp_path), glob="*.csv").groupBy("mmsi", "vessel_name").count().collect()
+    assert sorted(map(tuple, got)) == [
+        (200000001, "X", 40_000), (200000002, "长江", 1), (200000003, "黄河", 30_000), (200000004, "Y", 1),
+    ]
