@@ -152,54 +152,61 @@ def similar_tracks(
     """M8: per query the ``k`` samples with the smallest ``code XOR query code``, ties by id.
 
     ``samples`` has the id and ``code``; ``queries`` has ``query_id``, ``code`` and, to leave a track
-    out of its own answer, ids from the same space.  Smaller XOR means a longer common
-    prefix.  Counting codes per prefix gives for each query the longest prefix shared by
-    enough samples; only those samples are joined.  Of one code at most k + 1 samples,
-    those with the smallest ids, can be in any answer, so repeated codes are cut to
-    that first, before any join.
+    out of its own answer, ids from the same space.  Codes form a trie of one byte per level, whose
+    nodes hold the number of samples below each child.  Among the children of a node those with
+    the smaller ``byte XOR query byte`` hold the smaller distances, so a query takes children in that
+    order until one holds more samples than are still wanted, and goes down into that one only: four look-ups,
+    after which at most k + 1 codes are left, which are joined on equality.  Of one code at most k + 1
+    samples, those with the smallest ids, can be in any answer, so repeated codes are cut to that first.
     """
     need = k + 1 if exclude_self else k
-    w = W.partitionBy("code").orderBy(id_col)
-    s = (
-        samples.select(F.col(id_col).alias("id"), "code")
-        .withColumnRenamed("id", id_col)
-        .withColumn("_rn", F.row_number().over(w))
-        .where(F.col("_rn") <= need)
-        .drop("_rn")
-    )
-    prefixes = F.transform(
-        F.sequence(F.lit(0), F.lit(CODE_BITS)),
-        lambda n: F.struct(n.alias("bits"), _prefix(F.col("code"), n).alias("prefix")),
-    )
-    counts = (
-        s.groupBy("code").agg(F.count("*").alias("n"))
-        .select("n", F.explode(prefixes).alias("p"))
-        .groupBy("p.bits", "p.prefix").agg(F.sum("n").alias("n"))
-        .where((F.col("n") >= need) | (F.col("bits") == 0))
-    )
-    codes = queries.select("code").distinct().select(F.col("code").alias("q"), "code")
-    deepest = (
-        codes.select("q", F.explode(prefixes).alias("p"))
-        .select("q", "p.*")
-        .join(counts.select("bits", "prefix"), ["bits", "prefix"])
-        .groupBy("q")
-        .agg(F.max("bits").alias("bits"))
-        .withColumn("prefix", _prefix(F.col("q"), F.col("bits")))
-    )
-    used = deepest.select("bits").distinct()
-    keyed = s.select(id_col, "code", F.explode(prefixes).alias("p")).select(id_col, "code", "p.*").join(
-        F.broadcast(used), "bits", "left_semi"
-    )  # at most 33 lengths
-    cand = queries.select("query_id", F.col("code").alias("q")).join(deepest, "q").join(keyed, ["bits", "prefix"])
+    asked = queries.select("query_id", F.col("code").alias("q"))
+    s = samples.select(F.col(id_col).alias("_id"), F.col("code").alias("_code"))
+    s = s.withColumn("_rn", F.row_number().over(W.partitionBy("_code").orderBy("_id"))).where(F.col("_rn") <= need).drop("_rn")
+    found = _nearest_codes(s.groupBy("_code").agg(F.count("*").alias("n")), asked.select("q").distinct(), need)
+    cand = asked.join(found, "q").join(s, "_code")
     if exclude_self:
-        cand = cand.where(F.col("query_id") != F.col(id_col))
-    cand = cand.withColumn("xor", F.col("q").bitwiseXOR(F.col("code")))
-    r = W.partitionBy("query_id").orderBy("xor", id_col)
+        cand = cand.where(F.col("query_id") != F.col("_id"))
+    cand = cand.withColumn("xor", F.col("q").bitwiseXOR(F.col("_code")))
+    r = W.partitionBy("query_id").orderBy("xor", "_id")
     return cand.withColumn("rank", F.row_number().over(r)).where(F.col("rank") <= k).select(
-        "query_id", "rank", id_col, "xor"
+        "query_id", "rank", F.col("_id").alias(id_col), "xor"
+    )
+
+
+#: a child that is taken whole wants more samples than there can be
+_ALL = 1 << 62
+
+
+def _nearest_codes(codes: DataFrame, asked: DataFrame, need: int) -> DataFrame:
+    """``q, _code``: the codes nearest to each ``q`` that hold ``need`` samples together (``codes``: ``_code, n``)."""
+    level, nodes = codes.select(F.col("_code").alias("key"), "n"), []
+    for _ in range(CODE_BITS // BITS):
+        child = F.struct(F.col("key").bitwiseAND((1 << BITS) - 1).alias("b"), "n")
+        level = level.groupBy(F.shiftright("key", BITS).alias("key")).agg(F.sum("n").alias("n"), F.collect_list(child).alias("kids"))
+        nodes.append(level.select("key", "kids"))
+        level = level.select("key", "n")
+    at = asked.select("q", F.lit(0).cast("long").alias("key"), F.lit(need).cast("long").alias("want"))
+    for depth, node in enumerate(reversed(nodes)):
+        if depth < 2:  # one node, then at most 256
+            node = F.broadcast(node)
+        byte = F.shiftright("q", CODE_BITS - BITS * (depth + 1)).bitwiseAND((1 << BITS) - 1)
+        kids = F.array_sort(F.transform("kids", lambda c: F.struct(c["b"].bitwiseXOR(F.col("byte")).alias("x"), c["b"].alias("b"), c["n"].alias("n"))))
+        at = at.join(node, "key").withColumn("byte", byte)
+        at = at.select("q", "key", F.explode(_taken(kids, F.col("want"))).alias("t"))
+        at = at.select("q", F.shiftleft("key", BITS).bitwiseOR(F.col("t.b")).alias("key"), F.col("t.want").alias("want"))
+    return at.select("q", F.col("key").alias("_code"))
+
+
+def _taken(kids: Column, want: Column) -> Column:
+    """The children to go into, in order, until ``want`` samples are found, and what is wanted of each."""
+    start = F.struct(
+        want.cast("long").alias("left"), F.array().cast("array<struct<b:bigint,want:bigint>>").alias("out")
     )
 
+    def step(a: Column, c: Column) -> Column:
+        whole = F.when(c["n"] <= a["left"], F.lit(_ALL)).otherwise(a["left"])
+        grown = F.concat(a["out"], F.array(F.struct(c["b"].cast("long").alias("b"), whole.alias("want"))))
+        return F.when(a["left"] > 0, F.struct((a["left"] - c["n"]).alias("left"), grown.alias("out"))).otherwise(a)
 
-def _prefix(code: Column, bits: Column) -> Column:
-    """The first ``bits`` bits of a code."""
-    return F.call_function("shiftright", code, (F.lit(CODE_BITS) - bits).cast("int"))
+    return F.aggregate(kids, start, step, lambda a: a["out"])
