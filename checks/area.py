@@ -305,7 +305,28 @@ def _(spark, sf):
     )
 
 
-@check("st_partition")
+def _split_sql(n: int) -> str:
+    """Round ``n`` of the parts: every part is cut at the median of its widest axis, the fullest is numbered first."""
+    stats = ", ".join(f"min({a}) AS {a}0, quantile_disc({a}, 0.5) AS {a}m, max({a}) AS {a}1" for a in "xyt")
+    widest = "CASE WHEN x1 - x0 >= y1 - y0 AND x1 - x0 >= t1 - t0 THEN 'x' WHEN y1 - y0 >= t1 - t0 THEN 'y' ELSE 't' END"
+    pick = lambda end: f"CASE axis WHEN 'x' THEN x{end} WHEN 'y' THEN y{end} ELSE t{end} END"
+    return f"""
+    s{n} AS (SELECT part, count(*) AS n, {stats} FROM r{n - 1} GROUP BY part),
+    w{n} AS (SELECT *, {pick('0')} AS lo, {pick('m')} AS mid, {pick('1')} AS hi FROM (SELECT *, {widest} AS axis FROM s{n})),
+    c{n} AS (SELECT *, (SELECT max(part) FROM s{n}) + row_number() OVER (ORDER BY n DESC, part) AS made FROM w{n} WHERE lo < hi),
+    r{n} AS (SELECT mmsi, nk, tmin, x, y, t, CASE WHEN v > mid OR (mid = hi AND v = hi) THEN made ELSE p0 END AS part
+      FROM (SELECT r.mmsi, r.nk, r.tmin, r.x, r.y, r.t, r.part AS p0, c.mid, c.hi, c.made, CASE c.axis WHEN 'x' THEN r.x WHEN 'y' THEN r.y ELSE r.t END AS v
+        FROM r{n - 1} r LEFT JOIN c{n} c USING (part)))"""
+
+
+_PARTS = """r0 AS (SELECT mmsi, nk, t1 AS tmin, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y, (t1 + t2) / 7200 AS t, 0 AS part FROM sm)"""
+
+
+@check(
+    "st_partition",
+    f"""{with_points(_SUM, _PARTS, _split_sql(1), _split_sql(2), _split_sql(3))}
+    SELECT mmsi, nk AS trip_key, {I('tmin')} AS t1, {I('part')} AS part FROM r3""",
+)
 def _(spark, sf):
     s = retrieval.st_partition(_summaries(spark, sf), 8)
-    return s.groupBy("part").agg(F.count("*").alias("n"))
+    return s.select("mmsi", "trip_key", sec("start_time").alias("t1"), F.col("part").cast("long").alias("part"))

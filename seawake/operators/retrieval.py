@@ -6,6 +6,8 @@ import datetime as dt
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -154,44 +156,73 @@ def st_partition(summaries: DataFrame, n_parts: int = 16) -> DataFrame:
     """``n_parts`` balanced space-time parts: adds ``part``, splitting cells at the median of their widest axis.
 
     Axes are box centres in degrees and hours.  Each round splits all parts, or the fullest ones if fewer are
-    missing, and is one aggregate; what returns to the driver is one row per part.  There are fewer
-    parts only where no part can be split any more.  Write the result with ``partitionBy('part')`` so
-    that range queries skip files.
+    missing, and is one aggregate; what returns to the driver is one row per part.  The parts so far are a tree of
+    cuts that rows are sent down by arrays, so neither the plan nor what is stored grows with ``n_parts``.
+    There are fewer parts only where no part can be split any more.  Write the result with
+    ``partitionBy('part')`` so that range queries skip files.
     """
+    if n_parts < 2:
+        return summaries.withColumn("part", F.lit(0))
     b = F.col("mbb")
-    d = summaries.select(
-        "*",
-        ((b["xmin"] + b["xmax"]) / 2).alias("_x"),
-        ((b["ymin"] + b["ymax"]) / 2).alias("_y"),
-        ((seconds("mbb.tmin") + seconds("mbb.tmax")) / 7200).alias("_t"),
+    centre = F.struct(
+        ((b["xmin"] + b["xmax"]) / 2).alias("x"),
+        ((b["ymin"] + b["ymax"]) / 2).alias("y"),
+        ((seconds("mbb.tmin") + seconds("mbb.tmax")) / 7200).alias("t"),
     )
-    if n_parts < 2:
-        return d.drop("_x", "_y", "_t").withColumn("part", F.lit(0))
-    d = reliable_checkpoint(d)
-    axes, part, n, solid = ("_x", "_y", "_t"), F.lit(0), 1, set()
+    axes, tree, n, solid = ("x", "y", "t"), CutTree(), 1, set()
+    # a round reads three numbers a row, and they must not change between rounds
+    centres = reliable_checkpoint(summaries.select(centre.alias("c")).select("c.*"))
     while n < n_parts:
-        stats = d.withColumn("part", part).groupBy("part").agg(
+        stats = centres.withColumn("part", tree.part(*axes)).groupBy("part").agg(
             F.count(F.lit(1)).alias("n"),
-            *[F.percentile_approx(a, 0.5, 10_000).alias(f"mid{a}") for a in axes],
-            *[F.min(a).alias(f"min{a}") for a in axes],
-            *[F.max(a).alias(f"max{a}") for a in axes],
+            *[F.percentile_approx(a, 0.5, 10_000).alias(f"mid_{a}") for a in axes],
+            *[F.min(a).alias(f"min_{a}") for a in axes],
+            *[F.max(a).alias(f"max_{a}") for a in axes],
         )
         rows = [r for r in stats.collect() if r["part"] not in solid]
-        cuts = []
+        before = n
         for r in sorted(rows, key=lambda r: (-r["n"], r["part"]))[: n_parts - n]:
-            axis = max(axes, key=lambda a: r[f"max{a}"] - r[f"min{a}"])
-            low, mid, high = (float(r[f"{k}{axis}"]) for k in ("min", "mid", "max"))
+            axis = max(axes, key=lambda a: r[f"max_{a}"] - r[f"min_{a}"])
+            low, mid, high = (float(r[f"{k}_{axis}"]) for k in ("min", "mid", "max"))
             if low == high:
                 solid.add(r["part"])
             else:  # a median at the top would leave nothing above it
-                cuts.append((r["part"], axis, mid if mid < high else math.nextafter(high, low), n + len(cuts)))
-        if not cuts:
+                tree.split(r["part"], axes.index(axis), mid if mid < high else math.nextafter(high, low), n)
+                n += 1
+        if n == before:
             break
-        n += len(cuts)
-        # the part so far as an expression: a chain of at most n_parts comparisons
-        moved = part
-        for old, axis, mid, new in cuts:
-            moved = F.when((part == old) & (F.col(axis) > mid), F.lit(new)).otherwise(moved)
-        d = reliable_checkpoint(d.withColumn("_p", moved))
-        part = F.col("_p")
-    return d.withColumn("part", part).drop(*axes, "_p")
+    return summaries.withColumn("part", tree.part(centre["x"], centre["y"], centre["t"]))
+
+
+class CutTree:
+    """A binary tree of cuts as arrays; leaves are parts, numbered in the order they were made."""
+
+    def __init__(self):
+        self.axis, self.cut, self.low, self.high = [-1], [0.0], [0], [0]  # a leaf has axis -1 and its part in ``low``
+        self.leaf = {0: 0}
+
+    def split(self, part: int, axis: int, cut: float, new: int) -> None:
+        """Rows of ``part`` above ``cut`` become the part ``new``."""
+        at, kids = self.leaf[part], (len(self.axis), len(self.axis) + 1)
+        self.axis[at], self.cut[at], self.low[at], self.high[at] = axis, cut, *kids
+        for number, kid in zip((part, new), kids):
+            self.axis.append(-1)
+            self.cut.append(0.0)
+            self.low.append(number)
+            self.high.append(number)
+            self.leaf[number] = kid
+
+    def part(self, x: Column | str, y: Column | str, t: Column | str) -> Column:
+        axis, cut = np.array(self.axis), np.array(self.cut)
+        low, high = np.array(self.low), np.array(self.high)
+
+        @F.pandas_udf("int")
+        def of(x: pd.Series, y: pd.Series, t: pd.Series) -> pd.Series:
+            v = np.column_stack([x, y, t]).astype(float)
+            at, rows = np.zeros(len(v), np.int64), np.arange(len(v))
+            while len(rows := rows[axis[at[rows]] >= 0]):
+                here = at[rows]
+                at[rows] = np.where(v[rows, axis[here]] > cut[here], high[here], low[here])
+            return pd.Series(low[at].astype(np.int32))
+
+        return of(x, y, t)
