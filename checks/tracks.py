@@ -525,7 +525,7 @@ def _(spark, sf):
     FROM cp WHERE 200000003 IN (mmsi_a, mmsi_b)""",
 )
 def _(spark, sf):
-    pairs_ = proximity.companion_pairs(points(spark, sf), START, END)
+    pairs_ = proximity.companion_pairs(points(spark, sf), START, END, mmsi=200000003)
     return _pair_columns(proximity.companions_of(pairs_, 200000003), "companion")
 
 
