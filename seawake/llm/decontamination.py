@@ -19,6 +19,7 @@ overlap is missed.  Documents are hashed with the masks that the benchmark's ite
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -42,7 +43,7 @@ SHORT = (
 WINDOW, PERCENT = 15, 80
 #: an item of fewer words is no evidence
 SHORTEST = 7
-#: words of a region at most; a longer one is cut, with WINDOW words of overlap
+#: words of a region at most; the parts of a longer one overlap and are put together again after the comparison
 REGION = 512
 #: the bit field holds 2 ** FIELD_BITS bits, two for each seed
 FIELD_BITS = 24
@@ -108,12 +109,12 @@ def bit_field(item_seeds: DataFrame) -> np.ndarray:
     return folded_bits(item_seeds.select(at.alias("b")), 1 << FIELD_BITS)
 
 
-_REGION = "doc_id long, start int, words binary, hits array<struct<h:long,at:int>>"
+_REGION = "doc_id long, text long, start int, cut boolean, words binary, hits array<struct<h:long,at:int>>"
 
 
 def _regions(field, masks: tuple[int, ...], window: int):
     hit_type = pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32())]))
-    types = (pa.int64(), pa.int32(), pa.binary(), hit_type)
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), hit_type)
 
     def on(h):
         a, b = _bits(h)
@@ -128,14 +129,16 @@ def _regions(field, masks: tuple[int, ...], window: int):
             return
         order = np.argsort(at, kind="stable")
         h, at = h[order].view(np.int64), at[order]
-        first = 0
+        text = xxhash.xxh3_64_intdigest(w.tobytes()) >> 1  # tells apart texts of one id
+        first, goes_on = 0, False
         while first < len(at):
             last = first
             while last + 1 < len(at) and at[last + 1] - at[last] <= window and at[last + 1] - at[first] < REGION:
                 last += 1
+            before, goes_on = goes_on, bool(last + 1 < len(at) and at[last + 1] - at[last] <= window)
             start, end = max(0, at[first] - window), at[last] + 2 * window
             hits = [{"h": x, "at": i} for x, i in zip(h[first : last + 1].tolist(), at[first : last + 1].tolist())]
-            yield doc, int(start), w[start:end].astype("<u8").tobytes(), hits
+            yield doc, text, int(start), before or goes_on, w[start:end].astype("<u8").tobytes(), hits
             first = last + 1
 
     def run(batches):
@@ -144,7 +147,7 @@ def _regions(field, masks: tuple[int, ...], window: int):
                 rows = [r for doc, text in zip(ids, texts) for r in of(doc, words_of(text))]
                 if rows:
                     arrays = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "words", "hits"])
+                    yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text", "start", "cut", "words", "hits"])
 
     return run
 
@@ -154,38 +157,80 @@ def overlap(doc: np.ndarray, item: np.ndarray, shift: int, window: int, percent:
 
     ``shift`` is where word 0 of the item would lie in ``doc``.
     """
+    lo, same = aligned(doc, item, shift)
+    got = passing(same, min(window, len(item)), percent)
+    return got and (lo + got[0], *got[1:])
+
+
+def aligned(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, np.ndarray]:
+    """The first word of ``doc`` that lies beside one of ``item``, and from there which words are equal."""
     lo, hi = max(0, shift), min(len(doc), shift + len(item))
-    size = min(window, len(item))
-    if hi <= lo:
+    return lo, doc[lo:hi] == item[lo - shift : max(lo, hi) - shift]
+
+
+def passing(same: np.ndarray, size: int, percent: int) -> tuple[int, int, int] | None:
+    """(first, words, equal words) of the passing stretches of aligned words, or None; ``size`` words are judged at once."""
+    if not len(same):
         return None
-    same = (doc[lo:hi] == item[lo - shift : hi - shift]).astype(np.int64)
-    if hi - lo < size:  # one window holds all, and places that differ
+    same = same.astype(np.int64)
+    if len(same) < size:  # one window holds all, and places that differ
         equal = int(same.sum())
-        return (lo, hi - lo, equal) if 100 * equal >= percent * size else None
+        return (0, len(same), equal) if 100 * equal >= percent * size else None
     sums = np.convolve(same, np.ones(size, np.int64), "valid")
     good = np.flatnonzero(100 * sums >= percent * size)
     if not len(good):
         return None
     first, last = int(good[0]), int(good[-1]) + size
-    return lo + first, last - first, int(same[first:last].sum())
+    return first, last - first, int(same[first:last].sum())
+
+
+_FOUND = "doc_id long, item_id long, start_word int, n_words int, n_equal int"
+_PART = "text long, shift int, size int, at int, same binary"
 
 
 def _verify(window: int, percent: int):
+    """Judges whole regions; of parts of a cut one it gives on which words are equal, a byte for each."""
+    names = [f.split()[0] for f in f"{_FOUND}, {_PART}".split(", ")]
+    types = (pa.int64(), pa.int64(), *[pa.int32()] * 3, pa.int64(), *[pa.int32()] * 3, pa.binary())
+
     def run(batches):
         for batch in batches:
             rows = []
-            for doc, start, words, item, text, shift in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                got = overlap(np.frombuffer(words, "<u8"), words_of(text), shift - start, window, percent)
-                if got:
-                    rows.append((doc, item, start + got[0], got[1], got[2]))
-            columns = list(zip(*rows)) or [[]] * 5
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-            names = ["doc_id", "item_id", "start_word", "n_words", "n_equal"]
+            for doc, text, start, cut, words, item, body, shift in zip(*(batch.column(i).to_pylist() for i in range(8))):
+                beside = words_of(body)
+                size = min(window, len(beside))
+                lo, same = aligned(np.frombuffer(words, "<u8"), beside, shift - start)
+                if cut:
+                    if same.any():
+                        rows.append((doc, item, None, None, None, text, shift, size, start + lo, same.tobytes()))
+                elif got := passing(same, size, percent):
+                    rows.append((doc, item, start + lo + got[0], got[1], got[2], None, None, None, None, None))
+            columns = list(zip(*rows)) or [[]] * 10
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     return run
 
 
+def _joined(percent: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The parts of one text, item and shift, put together where they touch; at most the item's words in all."""
+        pdf = pdf.sort_values("at", kind="stable")
+        size, rows, runs = int(pdf["size"].iloc[0]), [], []
+        for at, part in zip(pdf["at"], pdf["same"]):
+            part = np.frombuffer(part, np.bool_)
+            if runs and at <= runs[-1][0] + len(runs[-1][1]):
+                begin, have = runs[-1]
+                runs[-1] = (begin, np.concatenate([have, part[max(0, begin + len(have) - at) :]]))
+            else:
+                runs.append((at, part))
+        for at, same in runs:
+            if got := passing(same, size, percent):
+                rows.append((pdf["doc_id"].iloc[0], pdf["item_id"].iloc[0], at + got[0], got[1], got[2]))
+        return pd.DataFrame(rows, columns=[f.split()[0] for f in _FOUND.split(", ")])
+
+    return run
+
+
 def benchmark_overlaps(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -218,11 +263,15 @@ def benchmark_overlaps(
     hits = regions.select("doc_id", "start", F.xxhash64("words").alias("w"), F.explode("hits").alias("x"))
     hits = hits.select("doc_id", "start", "w", "x.h", "x.at").join(own, "h")
     shifts = hits.select("doc_id", "start", "w", "item_id", (F.col("at") - F.col("i")).alias("shift")).distinct()
-    around = regions.select("doc_id", "start", F.xxhash64("words").alias("w"), "words").distinct()
+    around = regions.select("doc_id", "text", "start", F.xxhash64("words").alias("w"), "cut", "words").distinct()
     full = shifts.join(around, ["doc_id", "start", "w"]).join(items, "item_id")
-    checked = full.select("doc_id", "start", "words", "item_id", "body", "shift").mapInArrow(
-        _verify(window, percent), "doc_id long, item_id long, start_word int, n_words int, n_equal int"
+    checked = full.select("doc_id", "text", "start", "cut", "words", "item_id", "body", "shift").mapInArrow(
+        _verify(window, percent), f"{_FOUND}, {_PART}"
     )
+    checked = stored(checked, "benchmark-overlaps")
+    parts = checked.where("same is not null").select("doc_id", "item_id", "text", "shift", "size", "at", "same")
+    parts = parts.groupBy("doc_id", "item_id", "text", "shift").applyInPandas(_joined(percent), _FOUND)
+    checked = checked.where("same is null").select("doc_id", "item_id", "start_word", "n_words", "n_equal").unionByName(parts)
     best = F.max(F.struct("n_equal", "n_words", (-F.col("start_word")).alias("s"))).alias("b")
     found = checked.groupBy("doc_id", "item_id").agg(best)
     return found.select("doc_id", "item_id", (-F.col("b.s")).alias("start_word"), "b.n_words", "b.n_equal")

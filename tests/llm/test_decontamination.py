@@ -170,3 +170,18 @@ def test_every_item_of_a_shared_passage(spark):
     assert pairs(*frames) == brute(docs, items) == {(1, 1), (1, 2), (1, 3), (1, 4), (2, 1)}
     fewer = {(r.doc_id, r.item_id) for r in dc.benchmark_overlaps(*frames, every=False).collect()}
     assert fewer < brute(docs, items) and {d for d, _ in fewer} == {1, 2}
+
+
+def test_long_items_are_given_whole(spark):
+    """A document equal to an item of 2000 words, one that holds 1200 of them, one id with another text beside it."""
+    r = random.Random(8)
+    words = [f"w{r.randrange(10**9)}" for _ in range(2000)]
+    other = [f"v{i}" for i in range(700)]
+    changed = [w if i % 40 else "changed" for i, w in enumerate(words[300:1500])]
+    texts = [(1, " ".join(words)), (2, " ".join(other[:50] + changed + other[50:90])), (3, " ".join(other)), (1, " ".join(words[:600] + other))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = dc.benchmark_overlaps(docs, spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")).collect()
+    want = {1: (0, 2000, 2000)}
+    longest = dc.overlap(*(dc.words_of(t.encode()) for t in (texts[1][1], " ".join(words))), -250, dc.WINDOW, dc.PERCENT)
+    want[2] = longest
+    assert longest[1] >= 1199 and {x.doc_id: (x.start_word, x.n_words, x.n_equal) for x in got} == want
