@@ -137,8 +137,7 @@ def _encode_chunks(path: str, overlap: int):
             return None
         inside = (starts >= first) & (ends <= last)
         body = np.column_stack([ids[inside], starts[inside], ends[inside]]).astype("<i8").tobytes()
-        digest = hashlib.blake2b(body + border.to_bytes(8, "little"), digest_size=8).digest()
-        return int.from_bytes(digest, "little", signed=True)
+        return int.from_bytes(hashlib.blake2b(body + border.to_bytes(8, "little"), digest_size=7).digest(), "little")
 
     def one(tk, chunk, last, start, lo, hi, piece):
         e = tk.encode(piece, add_special_tokens=False)
@@ -153,7 +152,7 @@ def _encode_chunks(path: str, overlap: int):
             part = spots and seal(ids, starts, ends, spots, border)
             if part is None:
                 return 0, 0, True
-            total ^= part
+            total += part if is_left else -part  # the neighbour's has the other sign
             left, right = (spots[1], right) if is_left else (left, spots[1])
         return int(((starts >= left) & (starts < right)).sum()), total, False
 
@@ -200,12 +199,13 @@ def count_tokens(
             _encode_chunks(tokenizer, width),
             "doc_id long, h long, n_bytes long, first long, n_tokens long, seal long, failed boolean",
         )
-        # repeated rows meet in one group: the copies are counted and the sum shared out
+        # repeated rows meet in one group: the copies are counted and the sum shared out; seals that
+        # differ add up to their difference times the copies, so no number of copies hides it
         tried = stored(
             encoded.groupBy(*key).agg(
                 F.sum("first").alias("copies"),
                 F.sum("n_tokens").alias("n_tokens"),
-                F.bit_xor("seal").alias("seal"),
+                F.sum(F.col("seal").cast("decimal(20,0)")).alias("seal"),
                 F.max("failed").alias("failed"),
             ),
             "token-counts",

@@ -114,3 +114,17 @@ def test_files_of_repeated_rows_and_none(spark, repeated, none):
     assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
     folder, manifest = written(spark, none)
     assert token_files.read_token_files(manifest, folder).count() == 0
+
+
+@pytest.mark.parametrize("copies", [1, 2, 4])
+def test_failed_borders_of_copies_are_seen(spark, tmp_path, copies):
+    """A vocabulary that never falls into step: its tokens pair words from the start of what is encoded."""
+    import json
+
+    model = {"type": "BPE", "vocab": {"a": 0, " ": 1, "a ": 2, "a a ": 3}, "merges": [["a", " "], ["a ", "a "]]}
+    path = tmp_path / "pairs.json"
+    path.write_text(json.dumps({"version": "1.0", "added_tokens": [], "model": model}))
+    text = "a " * 5001
+    docs = spark.createDataFrame([(5, text)] * copies, "doc_id long, text string")
+    got = token_counts.count_tokens(docs, str(path), huge_chars=1500, chunk_chars=1002, overlap=64).collect()
+    assert [r.n_tokens for r in got] == [len(library(str(path), text))] * copies == [2501] * copies
