@@ -165,7 +165,8 @@ def mix(docs: DataFrame, recipe: Recipe = Recipe(), tokens: Column | None = None
     names = [c for c in docs.columns if c not in ("epoch", "block", "place", "weight")]
     plan = plan_mix(docs, recipe, word_tokens() if tokens is None else tokens)
     side = sized_broadcast(plan.select("key", "weight", "epochs", "cutoff"))
-    placed = docs.select(*names, source_key().alias("_key"), _place(recipe.seed).alias("_place"))
+    # the given columns travel in one, so that none can clash with those of the plan
+    placed = docs.select(F.struct(*names).alias("row"), source_key().alias("_key"), _place(recipe.seed).alias("_place"))
     joined = placed.join(side, placed["_key"] == side["key"], "left")
     extra = F.when(F.col("_place") <= F.col("cutoff"), 1).otherwise(0)
     copies = F.coalesce((F.col("epochs") + extra).cast("int"), F.lit(1))
@@ -174,7 +175,7 @@ def mix(docs: DataFrame, recipe: Recipe = Recipe(), tokens: Column | None = None
     own = F.shiftrightunsigned(F.xxhash64("epoch", "_place"), 1)
     place = F.when(F.col("epoch") == F.col("epochs"), F.col("_place")).otherwise(own)
     return dealt.withColumn("place", place).select(
-        *names,
+        "row.*",
         "epoch",
         F.shiftrightunsigned("place", 63 - BLOCK_BITS).cast("int").alias("block"),
         "place",

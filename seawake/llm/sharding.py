@@ -133,8 +133,9 @@ def shard_by_bytes(
     """
     spark = docs.sparkSession
     names = [c for c in docs.columns if c not in ("size", "shard", "slot")]
+    # the given columns travel in one, so that none can clash with those added here
     keyed = docs.select(
-        *names,
+        F.struct(*names).alias("row"),
         size.cast("long").alias("_size"),
         F.xxhash64(group).alias("_h"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_d"),
@@ -143,7 +144,7 @@ def shard_by_bytes(
     table = stored(keyed, "sharding")
     total = table.agg(F.sum("_size").alias("s")).first()["s"]
     if not total:
-        return table.select(*names, F.col("_size").alias("size"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+        return table.select("row.*", F.col("_size").alias("size"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     fine = max(1, -(-(parts or shuffle_width(spark)) // shards))
     cuts = shards * fine
     each = total / shards
@@ -169,7 +170,7 @@ def shard_by_bytes(
     rank = F.row_number().over(W.partitionBy("_part").orderBy(*KEY)) - 1
     starts = F.array(*[F.lit(o).cast("long") for o in offset])
     return placed.select(
-        *names,
+        "row.*",
         F.col("_size").alias("size"),
         F.floor(F.col("_part") / fine).cast("int").alias("shard"),
         (rank + F.element_at(starts, F.col("_part") + 1)).cast("long").alias("slot"),

@@ -207,12 +207,11 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordi
     return model
 
 
-def _score(model: Model, keep: list[str]):
+def _score(model: Model):
     def run(batches):
         for batch in batches:
-            scores = [model.score(t) for (texts,) in slices(batch, "_body") for t in texts]
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=[*keep, "score"])
+            scores = [model.score(t) for (texts,) in slices(batch, "body") for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["row", "score"])
 
     return run
 
@@ -224,8 +223,10 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     the share of toxic labels (0 without any).
     """
     keep = [c for c in docs.columns if c != "score"]
-    schema = docs.select(*keep).schema.add("score", "double")
-    return docs.select(*keep, utf8().alias("_body")).mapInArrow(_score(model, keep), schema)
+    # the given columns travel in one, so that none can clash with the text beside them
+    packed = docs.select(F.struct(*keep).alias("row"), utf8().alias("body"))
+    schema = packed.select("row").schema.add("score", "double")
+    return packed.mapInArrow(_score(model), schema).select("row.*", "score")
 
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
