@@ -117,14 +117,20 @@ def test_files_of_repeated_rows_and_none(spark, repeated, none):
 
 
 @pytest.mark.parametrize("copies", [1, 2, 4])
-def test_failed_borders_of_copies_are_seen(spark, tmp_path, copies):
-    """A vocabulary that never falls into step: its tokens pair words from the start of what is encoded."""
+def test_failed_borders_of_copies_are_seen(spark, tmp_path, monkeypatch, copies):
+    """Words are paired from the start of a run, so a chunk that begins inside one pairs them otherwise: encoded again."""
     import json
 
-    model = {"type": "BPE", "vocab": {"a": 0, " ": 1, "a ": 2, "a a ": 3}, "merges": [["a", " "], ["a ", "a "]]}
+    vocab, merges = {" ": 0, "a": 1, "b": 2}, []
+    for pair in (" ", "a"), (" ", "b"), (" a", " a"), (" b", " b"):
+        vocab["".join(pair)] = len(vocab)
+        merges.append(list(pair))
     path = tmp_path / "pairs.json"
-    path.write_text(json.dumps({"version": "1.0", "added_tokens": [], "model": model}))
-    text = "a " * 5001
+    path.write_text(json.dumps({"version": "1.0", "added_tokens": [], "model": {"type": "BPE", "vocab": vocab, "merges": merges}}))
+    rounds, stored = [], token_counts.stored
+    monkeypatch.setattr(token_counts, "stored", lambda *a: (rounds.append(1), stored(*a))[1])
+    text = (" a" * 500 + " b" * 500) * 3
     docs = spark.createDataFrame([(5, text)] * copies, "doc_id long, text string")
-    got = token_counts.count_tokens(docs, str(path), huge_chars=1500, chunk_chars=1002, overlap=64).collect()
-    assert [r.n_tokens for r in got] == [len(library(str(path), text))] * copies == [2501] * copies
+    got = token_counts.count_tokens(docs, str(path), huge_chars=1500, chunk_chars=1000, overlap=66).collect()
+    assert [r.n_tokens for r in got] == [len(library(str(path), text))] * copies == [1500] * copies
+    assert len(rounds) == 2
