@@ -2,6 +2,7 @@
 
 import collections
 import itertools
+import random
 import re
 import zlib
 
@@ -126,3 +127,21 @@ def test_quality_awkward(spark, docs, repeated, none):
         assert all(r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) for r in got)
         assert not any(r.kept and r.base_failed for r in got)
     assert ql.line_quality(none, blank).count() == 0
+
+
+def test_a_wide_toxic_vocabulary_is_kept():
+    """600 marked words, each in ten toxic texts: all of them come into the dictionary, in as many bytes as are given."""
+    r = random.Random(4)
+    syllables = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+    word = lambda n, end="": "".join(r.choice(syllables) for _ in range(n)) + end
+    plain, marked = [word(r.randint(1, 3)) for _ in range(3000)], [word(3, "xq") for _ in range(600)]
+    text = lambda extra: " ".join(r.sample([*extra, *(r.choice(plain) for _ in range(80))], 80 + len(extra))).encode()
+    dealt = marked * 10
+    r.shuffle(dealt)
+    toxic = [text(dealt[i : i + 6]) for i in range(0, len(dealt), 6)]
+    ordinary = [text(()) for _ in range(2000)]
+    whole = tx.toxic_dictionary(toxic, ordinary)
+    found = {w.decode() for w in whole.split()}
+    assert len(set(marked) & found) > 0.95 * len(set(marked))
+    assert len(found - set(marked)) < 0.05 * len(found)
+    assert tx.toxic_dictionary(toxic, ordinary, size=1000) == whole[-1000:]
