@@ -48,9 +48,9 @@ def _(spark, sf):
 
 
 # the steps after the spline run on regular frames, which SQL can state on its own
-def _grid(spark, sf, step):
-    f = trips.resample_frames(points(spark, sf), START, END, step)
-    return f.select("mmsi", F.lit(1).cast("long").alias("segment_id"), F.col("frame").cast("long").alias("k"), "ts", "lon", "lat")
+def _grid(spark, sf, step, k="frame"):
+    f = trips.resample_frames(points(spark, sf), START, END, step, nth=k == "nth")
+    return f.select("mmsi", F.lit(1).cast("long").alias("segment_id"), F.col(k).cast("long").alias("k"), "ts", "lon", "lat")
 
 
 @check(
@@ -77,9 +77,7 @@ def _windows_sql(step: int) -> str:
 
 
 def _windows(spark, sf, step):
-    g = _grid(spark, sf, step)
-    first = g.groupBy("mmsi").agg(F.min("k").alias("k0"))
-    return samples.sliding_samples(g.join(first, "mmsi").withColumn("k", F.col("k") - F.col("k0")))
+    return samples.sliding_samples(_grid(spark, sf, step, "nth"))
 
 
 @check(

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from seawake.functions.geo import hav_m, seconds, seconds_between
 from seawake.operators.trips import segment_points
 from seawake.plans.checkpoints import reliable_checkpoint
-from seawake.plans.joins import spread
+from seawake.plans.groups import whole_groups
+from seawake.plans.joins import fits_broadcast, spread
 from seawake.plans.sliced import link_within, running_sum, time_slice
 from seawake.sources.sinks import write_samples
 
@@ -171,11 +172,54 @@ def spline_resample(segments: DataFrame, step_s: int = STEP_S, block_knots: int
 
 
 def filter_resampled(resampled: DataFrame, max_kmh: float = MAX_SPEED_KMH, step_s: int = STEP_S) -> DataFrame:
-    """M3: drop segments with any grid step faster than ``max_kmh``; ``step_s`` is the step of the grid."""
+    """M3: drop segments with any grid step faster than ``max_kmh``; ``step_s`` is the step of the grid.
+
+    The fast segments are found first and written; the grid itself is then neither ordered nor, where they are few,
+    shuffled.
+    """
     # all steps have one length: a neighbour is never farther than the longest of them
     linked = link_within(resampled.select(*SEGMENT, "ts", "lon", "lat"), SEGMENT, "ts", ["ts", "lon", "lat"], step_s, slices=480)
-    bad = _kmh(linked).where(F.col("kmh") > max_kmh).select(*SEGMENT).distinct()
-    return resampled.join(bad, SEGMENT, "left_anti")
+    bad = reliable_checkpoint(_kmh(linked).where(F.col("kmh") > max_kmh).select(*SEGMENT).distinct())
+    few = fits_broadcast(bad)
+    return resampled.join(bad.hint("broadcast" if few else "shuffle_hash"), SEGMENT, "left_anti")
+
+
+#: windows of a segment that are cut in one group
+CHUNK_WINDOWS = 64
+
+
+def _cut_windows(size: int, obs_len: int, stride: int):
+    """Windows of grid points ordered by segment, chunk and ``k``, group by group."""
+
+    def cut(t: pa.Table, borders: np.ndarray) -> pa.RecordBatch:
+        k, chunk, ts = (t[c].to_numpy() for c in ("k", "chunk", "us"))
+        end = np.repeat(borders[1:], np.diff(borders))  # end of each row's group
+        own = (k % stride == 0) & (k // (stride * CHUNK_WINDOWS) == chunk)
+        i = np.flatnonzero(own & (np.arange(len(k)) + size <= end))
+        i = i[k[i + size - 1] == k[i] + size - 1]
+        at = i[:, None] + np.arange(size)
+        us = ts[at]
+
+        def lists(values: pa.Array, n: int) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(i) + 1, dtype="int32") * n), values)
+
+        def track(part: np.ndarray) -> pa.Array:
+            sides = [pa.array(t[c].to_numpy()[part].ravel()) for c in ("lat", "lon")]
+            return lists(pa.StructArray.from_arrays(sides, ["lat", "lon"]), part.shape[1])
+
+        sec = pa.array((us[:, :obs_len] // 1_000_000).ravel())
+        start = pa.array(us.min(axis=1)).cast(pa.timestamp("us", "UTC"))
+        keys = [t[c].combine_chunks().take(pa.array(i)) for c in SEGMENT]
+        columns = [*keys, start, track(at[:, :obs_len]), track(at[:, obs_len:]), lists(sec, obs_len)]
+        return pa.RecordBatch.from_arrays(columns, [*SEGMENT, "start_time", "obs", "pred", "obs_time"])
+
+    def run(batches):
+        for t, borders in whole_groups(batches, [*SEGMENT, "chunk"]):
+            out = cut(t, borders)
+            if out.num_rows:
+                yield out
+
+    return run
 
 
 def sliding_samples(
@@ -183,47 +227,48 @@ def sliding_samples(
 ) -> DataFrame:
     """M4: windows of ``obs_len + pred_len`` grid points, one every ``stride``.
 
-    Expects ``mmsi, segment_id, k, ts, lon, lat`` with ``k`` = 0, 1, 2, … per segment.  Each point
-    is copied to the few windows that cover it; a group is one window, so its size is fixed.
+    Expects ``mmsi, segment_id, k, ts, lon, lat`` with ``k`` = 0, 1, 2, … per segment.  A segment is cut into
+    chunks of ``CHUNK_WINDOWS`` windows; the points its last windows share with the next chunk are copied, all
+    others are shuffled once.  Windows are then cut from points in order, so a task holds one chunk at a time.
     """
     size = obs_len + pred_len
-    lo = F.greatest(F.floor((F.col("k") - size) / stride) + 1, F.lit(0))
-    w = resampled.withColumn("w", F.explode(F.sequence(lo, F.floor(F.col("k") / stride))))
-    pos = F.struct(F.col("lat").cast("float").alias("lat"), F.col("lon").cast("float").alias("lon"))
-    item = F.struct("k", F.floor(seconds("ts")).alias("sec"), pos.alias("p"))
-    g = w.groupBy(*SEGMENT, "w").agg(F.array_sort(F.collect_list(item)).alias("items"), F.min("ts").alias("start_time"))
-    items = F.col("items")
-    return g.where(F.size("items") == size).select(
-        *SEGMENT,
-        "start_time",
-        F.transform(F.slice(items, 1, obs_len), lambda i: i["p"]).alias("obs"),
-        F.transform(F.slice(items, obs_len + 1, pred_len), lambda i: i["p"]).alias("pred"),
-        F.transform(F.slice(items, 1, obs_len), lambda i: i["sec"]).alias("obs_time"),
+    width = stride * CHUNK_WINDOWS
+    own = F.floor(F.col("k") / width)
+    lowest = F.greatest(F.least(F.floor((F.col("k") + (stride - size)) / width), own), F.lit(0))
+    p = resampled.where("k >= 0").select(
+        *SEGMENT, F.explode(F.sequence(lowest, own)).alias("chunk"), F.col("k").cast("long").alias("k"), F.unix_micros("ts").alias("us"),
+        F.col("lat").cast("float").alias("lat"), F.col("lon").cast("float").alias("lon"),
+    )
+    keys = [*SEGMENT, "chunk"]
+    kinds = ", ".join(f"{c} {p.schema[c].dataType.simpleString()}" for c in SEGMENT)
+    track = "array<struct<lat: float, lon: float>>"
+    return spread(p, keys).sortWithinPartitions(*keys, "k").mapInArrow(
+        _cut_windows(size, obs_len, stride), f"{kinds}, start_time timestamp, obs {track}, pred {track}, obs_time array<long>"
     )
 
 
 def with_global_id(samples: DataFrame, block: int = 100_000) -> DataFrame:
     """M5: ``global_traj_id`` 0, 1, 2, … in (mmsi, segment, start) order.
 
-    Offsets are added up over three levels (MMSI blocks, vessels, samples of a vessel by
-    day), so nothing larger than a block of counts is ordered in one place.
+    Offsets are added up over three levels (MMSI blocks, vessels, samples of a vessel by segment and
+    day), so nothing larger than a block of counts is ordered in one place.  All come from one table of counts
+    that is written; the samples are read once more, to be ranked inside a segment's day.
     """
     from pyspark.sql.window import Window as W
 
-    before = lambda *part: W.partitionBy(*part).rowsBetween(W.unboundedPreceding, -1)
-    per_vessel = samples.groupBy("mmsi").agg(F.count("*").alias("n")).withColumn("blk", F.floor(F.col("mmsi") / block))
+    before = lambda c, *part: F.coalesce(F.sum("n").over(W.partitionBy(*part).orderBy(c).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    day = [*SEGMENT, "_day"]
+    dated = samples.withColumn("_day", time_slice("start_time", 86_400))
+    days = reliable_checkpoint(dated.groupBy(*day).agg(F.count("*").alias("n")))
+    per_vessel = days.groupBy("mmsi").agg(F.sum("n").alias("n")).withColumn("blk", F.floor(F.col("mmsi") / block))
     # at most 9000 blocks of nine-digit numbers
-    blocks = per_vessel.groupBy("blk").agg(F.sum("n").alias("n"))
-    blocks = blocks.select("blk", F.coalesce(F.sum("n").over(before(F.lit(0)).orderBy("blk")), F.lit(0)).alias("b0"))
-    vessels = per_vessel.withColumn(
-        "v0", F.coalesce(F.sum("n").over(before("blk").orderBy("mmsi")), F.lit(0))
-    ).join(blocks, "blk").select("mmsi", (F.col("b0") + F.col("v0")).alias("_base"))
-    ranked = running_sum(
-        samples, ["mmsi"], ["segment_id", "start_time"], {"_rank": F.lit(1)}, time_slice("start_time", 86_400)
-    )
-    return ranked.join(vessels, "mmsi").withColumn("global_traj_id", F.col("_base") + F.col("_rank") - 1).drop(
-        "_base", "_rank"
-    )
+    blocks = per_vessel.groupBy("blk").agg(F.sum("n").alias("n")).select("blk", before("blk", F.lit(0)).alias("b0"))
+    vessels = per_vessel.withColumn("v0", before("mmsi", "blk")).join(blocks, "blk").select("mmsi", (F.col("b0") + F.col("v0")).alias("_base"))
+    order = F.struct("segment_id", "_day")
+    offsets = days.withColumn("d0", before(order, "mmsi")).join(vessels, "mmsi").select(*day, (F.col("_base") + F.col("d0")).alias("_base"))
+    rank = F.row_number().over(W.partitionBy(*day).orderBy("start_time"))
+    ranked = dated.withColumn("_rank", rank).join(offsets, day)
+    return ranked.withColumn("global_traj_id", F.col("_base") + F.col("_rank") - 1).drop("_day", "_base", "_rank")
 
 
 def samples_from_points(points: DataFrame) -> DataFrame:
