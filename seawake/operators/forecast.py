@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -11,7 +13,8 @@ from pyspark.sql.window import Window as W
 from seawake.functions.geo import add_seconds, hav_m, seconds_between
 from seawake.operators.samples import OBS_LEN
 from seawake.operators.trips import ordered_points
-from seawake.plans.sliced import running_sum
+from seawake.plans.groups import whole_groups
+from seawake.plans.joins import spread
 
 
 def forecast_linear(
@@ -49,6 +52,32 @@ def forecast_linear(
     )
 
 
+def _follow(batches):
+    """Tracks from the weighted mean movement of each query's references; rows ordered by query."""
+    for t, borders in whole_groups(batches, ["query_id"]):
+        w, x0, y0, conf = (t[c].to_numpy() for c in ("w", "x0", "y0", "confidence"))
+        ids, steps, lons, lats = [], [], [], []
+        ends = t["lons"].chunk(0).offsets.to_numpy()
+        x, y = (t[c].chunk(0).values.to_numpy(zero_copy_only=False).astype("float64") for c in ("lons", "lats"))
+        for lo, hi in zip(borders[:-1], borders[1:]):
+            long = max(int((ends[lo + 1 : hi + 1] - ends[lo:hi]).max()) - 1, 0)
+            dx, dy, total = np.zeros(long), np.zeros(long), np.zeros(long)
+            for r in range(lo, hi):
+                part, n = slice(ends[r], ends[r + 1]), max(ends[r + 1] - ends[r] - 1, 0)
+                dx[:n] += np.diff(x[part]) * w[r]
+                dy[:n] += np.diff(y[part]) * w[r]
+                total[:n] += w[r]
+            ids.append(np.full(long, lo))
+            steps.append(np.arange(1, long + 1, dtype="int32"))
+            lons.append(x0[lo] + np.cumsum(dx / total))
+            lats.append(y0[lo] + np.cumsum(dy / total))
+        at = np.concatenate(ids)
+        yield pa.RecordBatch.from_arrays(
+            [t["query_id"].chunk(0).take(pa.array(at)), *[pa.array(np.concatenate(c)) for c in (steps, lons, lats)], pa.array(conf[at])],
+            ["query_id", "step", "lon", "lat", "confidence"],
+        )
+
+
 def forecast_retrieval(
     samples: DataFrame, queries: DataFrame, neighbours: DataFrame, k: int = 5, id_col: str = "global_traj_id"
 ) -> DataFrame:
@@ -57,48 +86,29 @@ def forecast_retrieval(
     ``samples`` are stored samples (``build_samples``).  ``neighbours`` is the answer of ``similar_tracks`` for ``queries`` (``query_id``, ``obs``).  Each
     reference adds the steps of its ``pred`` part; fewer than ``k`` are filled up with the last
     one, none with the query's own movement.  ``confidence`` is found / k within [0.1, 1].
+
+    A reference travels as one row of two lists of floats; its steps are added up in the task that has all
+    references of the query, so single steps are neither shuffled nor ordered.
     """
-    def steps(seq: Column, before: Column) -> Column:
-        """Numbered movements along ``seq``, the first one from ``before``."""
-        n = F.size(seq)
-        came = F.concat(F.array(before), F.slice(seq, 1, n - 1))
-        move = lambda axis: F.zip_with(
-            seq, came, lambda p, c: p[axis].cast("double") - c[axis].cast("double")
-        )
-        return F.arrays_zip(
-            F.sequence(F.lit(1), n).alias("step"), move("lon").alias("d_lon"), move("lat").alias("d_lat")
-        )
+    def path(before: Column, seq: Column) -> list[Column]:
+        axis = lambda a: F.concat(F.array(before[a]), F.transform(seq, lambda p: p[a]))
+        return [axis("lon").alias("lons"), axis("lat").alias("lats")]
 
     found = neighbours.groupBy("query_id").agg(F.count("*").alias("n_refs"), F.max("rank").alias("last_rank"))
-    q = queries.select("query_id", "obs").join(found, "query_id", "left").withColumn(
-        "n_refs", F.coalesce("n_refs", F.lit(0))
-    )
+    start = F.element_at("obs", -1)
+    confidence = F.greatest(F.lit(0.1), F.least(F.lit(1.0), F.coalesce("n_refs", F.lit(0)) / k))
+    ends = [start["lon"].cast("double").alias("x0"), start["lat"].cast("double").alias("y0"), confidence.alias("confidence")]
+    q = queries.select("query_id", "obs").join(found, "query_id", "left")
+    base = q.where("n_refs > 0").select("query_id", "n_refs", "last_rank", *ends)
     # each reference counts once, the last one also for every missing place
-    refs = neighbours.join(samples.select(id_col, F.element_at("obs", -1).alias("o"), "pred"), id_col)
-    refs = refs.withColumn("s", F.explode(steps(F.col("pred"), F.col("o")))).select("query_id", "rank", "s.*")
     weight = F.when(F.col("rank") == F.col("last_rank"), k - F.col("n_refs") + 1).otherwise(1)
-    mean = (
-        refs.join(found, "query_id")
-        .withColumn("w", weight)
-        .groupBy("query_id", "step")
-        .agg(
-            (F.sum(F.col("d_lon") * F.col("w")) / F.sum("w")).alias("d_lon"),
-            (F.sum(F.col("d_lat") * F.col("w")) / F.sum("w")).alias("d_lat"),
-        )
-    )
-    alone = q.where("n_refs = 0").withColumn("s", F.explode(steps(F.col("obs"), F.col("obs")[0])))
-    moves = mean.unionByName(alone.select("query_id", "s.step", "s.d_lon", "s.d_lat"))
-    cum = running_sum(moves, ["query_id"], ["step"], {"_x": F.col("d_lon"), "_y": F.col("d_lat")}, F.floor(F.col("step") / 4096))
-    start = F.element_at("obs", -1)
-    confidence = F.greatest(F.lit(0.1), F.least(F.lit(1.0), F.col("n_refs") / k))
-    base = q.select("query_id", start["lon"].cast("double").alias("x0"), start["lat"].cast("double").alias("y0"), confidence.alias("confidence"))
-    return cum.join(base, "query_id").select(
-        "query_id",
-        "step",
-        (F.col("x0") + F.col("_x")).alias("lon"),
-        (F.col("y0") + F.col("_y")).alias("lat"),
-        "confidence",
-    )
+    row = ["query_id", "rank", "w", "x0", "y0", "confidence", "lons", "lats"]
+    asked = neighbours.select("query_id", "rank", id_col).join(base, "query_id").withColumn("w", weight.cast("double"))
+    refs = asked.join(samples.select(id_col, *path(start, F.col("pred"))), id_col).select(row)
+    alone = q.where("n_refs is null").select("query_id", F.lit(1).cast(asked.schema["rank"].dataType).alias("rank"), F.lit(1.0).alias("w"), *ends, *path(F.col("obs")[0], F.col("obs")))
+    tracks = spread(refs.unionByName(alone.select(row)), ["query_id"]).sortWithinPartitions("query_id", "rank").drop("rank")
+    kind = queries.schema["query_id"].dataType.simpleString()
+    return tracks.mapInArrow(_follow, f"query_id {kind}, step int, lon double, lat double, confidence double")
 
 
 def align_reference(obs: DataFrame, length: int = OBS_LEN) -> DataFrame:
@@ -111,28 +121,32 @@ def align_reference(obs: DataFrame, length: int = OBS_LEN) -> DataFrame:
 def forecast_errors(pred: DataFrame, truth: DataFrame, horizons: Sequence[int] = (120, 240, 360)) -> DataFrame:
     """M11 per track: mean and final error in degrees and km, mean over horizons, true displacement.
 
-    Both frames have ``query_id, step, lon, lat`` with steps from 1.
+    Both frames have ``query_id, step, lon, lat`` with steps from 1, one row per track and step.
     """
-    t = truth.select("query_id", "step", F.col("lon").alias("t_lon"), F.col("lat").alias("t_lat"))
-    m = pred.join(t, ["query_id", "step"])
+    # both sides meet in one shuffle by track, which then serves the sums over its steps as well
+    given = lambda df, side: df.select("query_id", F.col("step").cast("int").alias("step"), F.lit(side).alias("side"), F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"))
+    both = spread(given(pred, 0).unionByName(given(truth, 1)), ["query_id"])
+    of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    m = both.groupBy("query_id", "step").agg(
+        of(0, "lon").alias("lon"), of(0, "lat").alias("lat"), of(1, "lon").alias("t_lon"), of(1, "lat").alias("t_lat"),
+        F.min("side").alias("_s0"), F.max("side").alias("_s1"),
+    ).where("_s0 < _s1")
     dx, dy = F.col("lon") - F.col("t_lon"), F.col("lat") - F.col("t_lat")
     m = m.withColumn("deg", F.sqrt(dx * dx + dy * dy)).withColumn("km", hav_m("lon", "lat", "t_lon", "t_lat") / 1000)
-    ends = F.struct("step", "t_lon", "t_lat")
     g = m.groupBy("query_id").agg(
         F.avg("deg").alias("ade_deg"),
         F.avg("km").alias("ade_km"),
-        F.max(F.struct("step", "deg")).alias("_last"),
+        F.max_by("deg", "step").alias("fde_deg"),
         *[F.avg(F.when(F.col("step") <= h, F.col("km"))).alias(f"ade_km_{h}") for h in horizons],
-        F.min(ends).alias("_a"),
-        F.max(ends).alias("_b"),
+        *[end(c, "step").alias(f"{n}_{c}") for end, n in ((F.min_by, "_a"), (F.max_by, "_b")) for c in ("t_lon", "t_lat")],
     )
     return g.select(
         "query_id",
         "ade_deg",
         "ade_km",
-        F.col("_last.deg").alias("fde_deg"),
+        "fde_deg",
         *[f"ade_km_{h}" for h in horizons],
-        (hav_m("_a.t_lon", "_a.t_lat", "_b.t_lon", "_b.t_lat") / 1000).alias("true_displacement_km"),
+        (hav_m("_a_t_lon", "_a_t_lat", "_b_t_lon", "_b_t_lat") / 1000).alias("true_displacement_km"),
     )
 
 

@@ -5,8 +5,9 @@ import datetime as dt
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from seawake.operators import samples, trips
+from seawake.operators import forecast, samples, trips
 from seawake.plans.groups import whole_groups
 from tests.conftest import at
 
@@ -71,3 +72,25 @@ def test_groups_of_a_stream():
             found += [t["n"].to_pylist()[lo:hi] for lo, hi in zip(borders[:-1], borders[1:])]
         assert found == [np.flatnonzero(keys == k).tolist() for k in (1, 2, 3, 5, 6)]
     assert not list(whole_groups([], ["a"]))
+
+
+def test_forecast_moves_tracks(spark):
+    track = "array<struct<lat: float, lon: float>>"
+    line = lambda x, dx, n: [(0.0, float(x + dx * i)) for i in range(n)]
+    s = spark.createDataFrame(
+        [(1, line(0, 1, 3), line(3, 1, 4)), (2, line(5, 3, 3), line(14, 3, 2)), (3, line(0, 0.5, 3), [])],
+        f"global_traj_id long, obs {track}, pred {track}",
+    )
+    asked = s.select(F.col("global_traj_id").alias("query_id"), "obs")
+    near = spark.createDataFrame([(3, 1, 1), (3, 2, 2)], "query_id long, rank int, global_traj_id long")
+    f = forecast.forecast_retrieval(s, asked, near, k=3)
+    text = plan(f)
+    assert "Window" not in text and "Generate" not in text
+    got = {q: [(r.step, round(r.lon, 5)) for r in sorted(f.where(F.col("query_id") == q).collect())] for q in (1, 2, 3)}
+    # steps of 1 (once) and 3 (twice) from 1.0, then of 1 alone
+    assert got[3] == [(1, round(1 + 7 / 3, 5)), (2, round(1 + 14 / 3, 5)), (3, round(2 + 14 / 3, 5)), (4, round(3 + 14 / 3, 5))]
+    assert got[1] == [(1, 2.0), (2, 3.0), (3, 4.0)]  # its own movement: none, then 1 and 1
+    steps = spark.createDataFrame([(q, n, x, 0.0) for q in got for n, x in got[q]], "query_id long, step int, lon double, lat double")
+    errors = forecast.forecast_errors(steps, steps.withColumn("lon", F.col("lon") + F.col("step")))
+    assert plan(errors).count("Exchange") == 1 and "SortAggregate" not in plan(errors)
+    assert {r.query_id: (r.ade_deg, r.fde_deg) for r in errors.collect()} == {1: (2.0, 3.0), 2: (2.0, 3.0), 3: (2.5, 4.0)}
