@@ -51,7 +51,7 @@ def _hull(points: np.ndarray) -> np.ndarray:
     if len(p) < 3:
         return p
 
-    def half(seq: np.ndarray) -> list:
+    def half(seq: list) -> list:
         out: list = []
         for q in seq:
             while len(out) >= 2:
@@ -62,7 +62,8 @@ def _hull(points: np.ndarray) -> np.ndarray:
             out.append(q)
         return out
 
-    return np.array(half(p)[:-1] + half(p[::-1])[:-1])
+    seq = p.tolist()  # plain floats: numpy's single numbers are several times slower here
+    return np.array(half(seq)[:-1] + half(seq[::-1])[:-1])
 
 
 def shape_features(x: np.ndarray, y: np.ndarray, r: float = BUFFER) -> dict[str, float]:
