@@ -68,6 +68,16 @@ def test_nearest_of_runs(monkeypatch, run, vessels):
         assert set(got.get(i, [])) == want and len(got.get(i, [])) == len(want) < 2 * k
 
 
+def test_hits_are_not_shuffled(spark):
+    """300 boxes that all meet 200 vessels: no shuffle takes the 60 000 hits."""
+    s = frame(spark, [(m, (0.0, 1.0, 0.0, 1.0, 0.0, 60.0)) for m in range(200)], "mmsi").withColumnRenamed("b", "mbb")
+    b = frame(spark, [(i, (0.5, 1.5, 0.5, 1.5, 30.0, 90.0)) for i in range(300)], "box_id").withColumnRenamed("b", "box")
+    hits = retrieval.range_query(s, b)
+    assert hits.count() == 60_000
+    exchanges = [x for x in hits._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x]
+    assert exchanges and all("box_id" not in x.split("[plan_id")[0] for x in exchanges)
+
+
 def test_no_candidates_are_written(spark, monkeypatch):
     """Of 300 vessels around 20 queries, a block gives less than twice ``k`` to a query and nothing else is kept."""
     s = frame(spark, [(m, (0.0, 1.0 + m / 1e4, 0.0, 1.0, 0.0, 60.0)) for m in range(300)], "mmsi").withColumnRenamed("b", "mbb")
