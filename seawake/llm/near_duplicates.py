@@ -21,6 +21,11 @@ the keys of one leader form a group: a pair that shares a key is in a group toge
 group is compared whole, by the products of its shingle-by-document matrix, in one task or, if larger than
 ``BLOCK``, in blocks; what comes out is a forest of links.  Large groups are first checked against their
 leader alone, and documents that are in one component after that are not compared again.
+
+*Sifting.*  Most documents that share a key by chance are not similar, and with the corpus there are more of
+them.  So groups are first compared by signatures: a set's is the parity of its shingles in about as many bits
+as it has shingles, and two signatures never differ in more bits than their sets differ in shingles.  Sets are
+made, and travel, only for documents some signature of their group is near enough to.
 """
 
 from __future__ import annotations
@@ -55,6 +60,8 @@ TIERS = ((0, 40, 1), (28, 1_000, 4), (700, 16_000, 64), (11_000, 1 << 40, 1024))
 BLOCK = 256
 #: columns of the incidence matrix multiplied at once
 COLUMNS = 8_192
+#: bits of the shortest signature
+LEAST_BITS = 256
 
 _M1, _M2, _M3 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -98,14 +105,43 @@ def _fingerprint(shingles: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def signature(shingles: np.ndarray) -> bytes:
+    """The parity of the shingles that fall on each bit; a power of two of bits, as many as shingles at least."""
+    bits = max(LEAST_BITS, 1 << (len(shingles) - 1).bit_length())
+    at = (shingles & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def may_be_similar(sizes: np.ndarray, signatures: list[bytes], percent: int) -> np.ndarray:
+    """For all pairs of sets whether their signatures leave it open that they are similar.
+
+    Sets are similar if the shingles in one of them alone are at most (100 - percent) / (100 + percent) of their sizes'
+    sum.  A longer signature is folded to half its length; if it is longer still, the sizes are too far apart.
+    """
+    lengths = np.array(list(map(len, signatures)))
+    out = np.zeros((len(sizes), len(sizes)), bool)
+    for length in np.unique(lengths):
+        at = np.flatnonzero((lengths == length) | (lengths == 2 * length))
+        words = np.zeros((len(at), length // 8), np.uint64)
+        for k, i in enumerate(at):
+            w = np.frombuffer(signatures[i], np.uint64)
+            words[k] = w if lengths[i] == length else w[: length // 8] ^ w[length // 8 :]
+        for k, i in enumerate(at):
+            if lengths[i] == length:
+                apart = np.bitwise_count(words ^ words[k]).sum(1, dtype=np.int64)
+                out[i, at] |= apart * (100 + percent) <= (sizes[i] + sizes[at]) * (100 - percent)
+    return out | out.T
+
+
 def _describe(width: int):
-    """Per document its set's size and fingerprint; at the end of the task its share of the sketch."""
+    """Per document its set's size, fingerprint and signature; at the end of the task its share of the sketch."""
     schema = pa.schema(
         [
             ("doc_id", pa.int64()),
             ("n", pa.int64()),
             ("f1", pa.int64()),
             ("f2", pa.int64()),
+            ("signature", pa.binary()),
             ("row", pa.int32()),
             ("counts", pa.binary()),
         ]
@@ -129,7 +165,8 @@ def _describe(width: int):
                     count()
                     n = 0
                 prints = [_fingerprint(s) for s in sets]
-                columns = [ids, list(map(len, sets)), *zip(*prints), [None] * len(ids), [None] * len(ids)]
+                marks = [signature(s) if len(s) > 1 else None for s in sets]
+                columns = [ids, list(map(len, sets)), *zip(*prints), marks, [None] * len(ids), [None] * len(ids)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
         if held:
             count()
@@ -141,7 +178,7 @@ def _describe(width: int):
             if sketch[at : at + SKETCH_ROW].any()
         ]
         if rows:
-            columns = [[None] * len(rows)] * 4 + [list(c) for c in zip(*rows)]
+            columns = [[None] * len(rows)] * 5 + [list(c) for c in zip(*rows)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return run
@@ -209,7 +246,7 @@ def index_keys(shingles: np.ndarray, freq: Frequencies, percent: int) -> np.ndar
 
 
 def _index(width: int, percent: int, freq, skip=None):
-    """Keys of each document; those whose bit is set in ``skip`` are left out."""
+    """Keys of each document and its set's size; documents whose bit is set in ``skip`` are left out."""
 
     def run(batches):
         for batch in batches:
@@ -221,9 +258,10 @@ def _index(width: int, percent: int, freq, skip=None):
                 sizes = list(map(len, keys))
                 flat = np.concatenate(keys).view(np.int64)
                 docs = np.repeat(np.array(ids, np.int64), sizes)
+                n = np.repeat(np.array(list(map(len, sets)), np.int64), sizes)
                 for at in range(0, len(flat), 100_000):
                     cut = slice(at, at + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(flat[cut]), pa.array(docs[cut])], names=["key", "doc"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[cut]) for c in (flat, docs, n)], names=["key", "doc", "n"])
 
     return run
 
@@ -256,6 +294,19 @@ def _verify(percent: int):
     return run
 
 
+def _near(percent: int):
+    """The pairs whose signatures leave it open that they are similar."""
+
+    def run(batches):
+        for batch in batches:
+            m, n = (batch.column(i).to_numpy() for i in (2, 3))
+            x, y = (batch.column(i).to_pylist() for i in (4, 5))
+            keep = [may_be_similar(np.array(z[:2]), list(z[2:]), percent)[0, 1] for z in zip(m, n, x, y)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` that are similar; only the second set of a pair travels with it."""
     right = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("sb"))
@@ -264,6 +315,13 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.mapInArrow(_verify(percent), "a long, b long")
 
 
+def _near_pairs(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    right = marks.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"))
+    left = marks.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa"))
+    full = pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "sa", "sb")
+    return full.mapInArrow(_near(percent), "a long, b long").distinct()
+
+
 def similar_forest(docs, comps, blocks, sets, percent: int) -> list[tuple[int, int]]:
     """Links that join the components of these documents as far as similar pairs do.
 
@@ -305,18 +363,41 @@ def similar_forest(docs, comps, blocks, sets, percent: int) -> list[tuple[int, i
     return out
 
 
+def _comparisons(table):
+    """The rows of each comparison ``lead, i, j`` of a part that has two at least."""
+    lead, i, j, docs = (table.column(n).to_numpy() for n in ("lead", "i", "j", "doc"))
+    order = np.lexsort((docs, j, i, lead))
+    cut = np.flatnonzero((np.diff(lead[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)) + 1
+    return [at for at in np.split(order, cut) if len(at) > 1]
+
+
+def _sift(percent: int):
+    """The rows of a part that some other row of their comparison may be similar to."""
+
+    def run(table):
+        docs, comps, own, n = (table.column(c).to_numpy() for c in ("doc", "comp", "own", "n"))
+        marks = table.column("signature").to_pylist()
+        keep = []
+        for at in _comparisons(table):
+            near = may_be_similar(n[at], [marks[k] for k in at], percent) & (comps[at][:, None] != comps[at][None, :])
+            if own[at].min() != own[at].max():
+                near &= own[at][:, None] != own[at][None, :]
+            at = at[near.any(1)]  # in the order of the documents, of which each stays once
+            keep += at[np.r_[True, np.diff(docs[at]) != 0]].tolist() if len(at) else []
+        return table.select(["lead", "i", "j", "doc", "comp", "own"]).take(pa.array(keep, pa.int64()))
+
+    return run
+
+
 def _compare(percent: int):
     """All groups of a part: rows of one ``lead, i, j`` are compared with each other."""
 
     def run(table):
-        lead, i, j, docs, comps, own = (table.column(n).to_numpy() for n in ("lead", "i", "j", "doc", "comp", "own"))
+        docs, comps, own = (table.column(n).to_numpy() for n in ("doc", "comp", "own"))
         sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
-        order = np.lexsort((docs, j, i, lead))
-        cut = np.flatnonzero((np.diff(lead[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)) + 1
         links = []
-        for at in np.split(order, cut):
-            if len(at) > 1:
-                links += similar_forest(docs[at], comps[at], own[at], [sets[k] for k in at], percent)
+        for at in _comparisons(table):
+            links += similar_forest(docs[at], comps[at], own[at], [sets[k] for k in at], percent)
         a, b = zip(*links) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -328,8 +409,14 @@ def _with_comp(df: DataFrame, labels: DataFrame, column: str, name: str) -> Data
     return df.join(side, column, "left").withColumn(name, F.coalesce("_c", column)).drop("_c")
 
 
-def _group_links(groups: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Links between different components of each group ``lead, doc``.
+def _dealt(rows: DataFrame, side: DataFrame, parts: int):
+    """The rows with what ``side`` has of their documents, the comparisons dealt to parts."""
+    return rows.join(side, "doc").withColumn("part", F.pmod(F.xxhash64("lead", "i", "j"), F.lit(parts))).groupBy("part")
+
+
+def _near_groups(groups: DataFrame, labels: DataFrame, marks: DataFrame, percent: int, parts: int) -> DataFrame:
+    """What is to be compared, ``lead, i, j, doc, comp, own``, of the groups ``lead, doc``: rows of different
+    components that signatures do not tell apart.
 
     A small group is one comparison.  In a large one the documents of the leader's component and the others
     form blocks; a block of others meets every block, two of the leader's component never meet.
@@ -347,8 +434,7 @@ def _group_links(groups: DataFrame, labels: DataFrame, sets: DataFrame, percent:
     ).otherwise(F.sequence(F.lit(0).cast("long"), (first + rest - 1).cast("long")))
     g = g.withColumn("k", F.explode(meets)).withColumn("k", F.col("k").cast("int"))
     g = g.select("lead", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "doc", "comp", "own")
-    full = g.join(sets, "doc").withColumn("part", F.pmod(F.xxhash64("lead", "i", "j"), F.lit(parts)))
-    return full.groupBy("part").applyInArrow(_compare(percent), "a long, b long")
+    return _dealt(g, marks, parts).applyInArrow(_sift(percent), g.schema)
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
@@ -365,7 +451,8 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     spark = docs.sparkSession
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("body"))
     seen = stored(
-        body.mapInArrow(_describe(width), "doc_id long, n long, f1 long, f2 long, row int, counts binary"), "jaccard-docs"
+        body.mapInArrow(_describe(width), "doc_id long, n long, f1 long, f2 long, signature binary, row int, counts binary"),
+        "jaccard-docs",
     )
     about = seen.where("row is null").select("doc_id", "n", "f1", "f2")
     parts = seen.where("row is not null").select("row", "counts")
@@ -383,32 +470,42 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     named = body.where("doc_id is not null")
     copies = solid.select("doc_id").distinct().join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti")
     skip = spark.sparkContext.broadcast(id_bits(copies))
-    alike = with_bit(named, "doc_id", skip.value).join(copies, "doc_id", "left_anti")
-    columns = "key long, doc long"
+    columns = "key long, doc long, n long"
     keys = named.mapInArrow(_index(width, percent, freq, skip), columns)
-    keys = stored(keys.unionByName(alike.mapInArrow(_index(width, percent, freq), columns)), "jaccard-keys")
+    alike = stored(with_bit(reps.select(F.col("rep").alias("doc_id")), "doc_id", skip.value), "jaccard-alike")
+    if not alike.isEmpty():
+        rest = with_bit(named, "doc_id", id_bits(alike)).join(alike, "doc_id", "left_semi")
+        keys = keys.unionByName(rest.mapInArrow(_index(width, percent, freq), columns))
 
     # documents that share a key with another one of a size that allows a link: sizes that do lie in
-    # one class or in neighbouring ones, so each document is put under its class and the next
-    shared = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "jaccard-shared")
-    found = with_bit(keys, "key", id_bits(shared)).join(shared, "key")
-    found = found.join(reps.select(F.col("rep").alias("doc"), "n"), "doc")
+    # one class or in neighbouring ones, so each document is put under its class and the next.  All of it
+    # happens where the one shuffle puts a key
+    ends = lambda w: {"d0": F.min("doc").over(w), "d1": F.max("doc").over(w)}
     step = math.log(100 / percent) * 1.0001
     size = F.floor(F.log("n") / step)
-    found = found.withColumn("key", F.explode(F.array(F.xxhash64("key", size), F.xxhash64("key", size + 1)))).distinct()
-    several = found.groupBy("key").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1")).where("d0 <> d1")
-    members = stored(found.join(several.select("key"), "key"), "jaccard-members")
-    bits = spark.sparkContext.broadcast(id_bits(members.select("doc")))
-    sets = stored(named.mapInArrow(_sets(width, bits), "doc long, shingles binary"), "jaccard-shingles")
-
-    heads = members.groupBy("key").agg(F.min("doc").alias("lead"))
-    groups = stored(members.join(heads, "key").select("lead", "doc").distinct(), "jaccard-groups")
+    found = keys.repartition(shuffle_width(spark), "key").withColumns(ends(W.partitionBy("key"))).where("d0 <> d1")
+    found = found.select("key", F.explode(F.array(size, size + 1)).alias("size"), "doc")
+    found = found.withColumns(ends(W.partitionBy("key", "size"))).where("d0 <> d1")
+    groups = stored(found.select(F.col("d0").alias("lead"), "doc").distinct(), "jaccard-groups")
+    bits = id_bits(groups.select("doc"))
+    marks = seen.where("row is null and doc_id is not null and n > 1").select(F.col("doc_id").alias("doc"), "n", "signature")
+    marks = stored(with_bit(marks, "doc", bits), "jaccard-signatures")
+
+    def sets_of(rows: DataFrame) -> DataFrame:
+        bits = spark.sparkContext.broadcast(id_bits(rows))
+        return stored(named.mapInArrow(_sets(width, bits), "doc long, shingles binary"), "jaccard-shingles")
+
     large = groups.groupBy("lead").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK).select("lead")
     star = groups.join(large, "lead").where("doc <> lead").select(F.col("lead").alias("a"), F.col("doc").alias("b"))
-    links = links.unionByName(stored(_links(star, sets, percent), "jaccard-links"))
+    star = stored(_near_pairs(star, marks, percent), "jaccard-star")
+    if not star.isEmpty():
+        sets = sets_of(star.select(F.explode(F.array("a", "b")).alias("doc")))
+        links = links.unionByName(stored(_links(star, sets, percent), "jaccard-links"))
     labels = stored(connected(links), "jaccard-labels")
     parts = 4 * shuffle_width(spark)
-    links = links.unionByName(stored(_group_links(groups, labels, sets, percent, parts), "jaccard-links"))
+    near = stored(_near_groups(groups, labels, marks, percent, parts), "jaccard-near")
+    alike = _dealt(near, sets_of(near.select("doc")), parts).applyInArrow(_compare(percent), "a long, b long")
+    links = links.unionByName(stored(alike, "jaccard-links"))
     labels = stored(connected(links), "jaccard-labels")
 
     tops = reps.join(labels, reps.rep == labels.node, "left").select("f1", "f2", F.coalesce("comp", "rep").alias("top"))

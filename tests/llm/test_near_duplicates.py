@@ -143,3 +143,41 @@ def test_components_of_paths_and_stars(spark):
     got = {r.node: r.comp for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, **{i: 100 for i in range(101, 120)}, 201: 200}
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("percent", [70, 80, 90])
+def test_signatures_never_part_similar_sets(percent):
+    """They differ in no more bits than the sets in shingles, also where the longer one is folded."""
+    r = np.random.default_rng(percent)
+    for n in [2, 3, 10, 200, 255, 256, 257, 300, 511, 513, 1020, 1030, 3000]:
+        x = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) + r.integers(0, 2, n).astype(np.uint64))
+        sets = [x, np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))]
+        for gone, more in ((0, n // 3), (n // 20, n // 20), (n // 8, n // 50), (n // 4, 0)):
+            sets.append(np.unique(np.r_[r.permutation(x)[gone:], r.integers(0, 1 << 63, more).astype(np.uint64)]))
+        near = nd.may_be_similar(np.array(list(map(len, sets))), [nd.signature(s) for s in sets], percent)
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                both = len(np.intersect1d(a, b))
+                assert near[i, j] or 100 * both < percent * (len(a) + len(b) - both)
+        assert n < 200 or not near[0, 1]  # and do part unrelated ones
+
+
+def test_sets_are_made_for_near_documents_only(spark, monkeypatch):
+    """Documents that share one rare phrase and nothing else: no set of theirs is written."""
+    r = random.Random(9)
+    text = lambda n: [f"w{r.random()}" for _ in range(n)]
+    rows = [(i, " ".join(text(150) + ["one", "shared", "phrase"] + text(150))) for i in range(40)]
+    near = text(300)
+    rows += [(100, " ".join(near)), (101, " ".join([*near[:299], "other"]))]
+    made = {}
+
+    def watched(df, name, plain=nd.stored):
+        out = plain(df, name)
+        made.setdefault(name, []).extend(r.doc for r in out.select("doc").collect()) if "doc" in df.columns else None
+        return out
+
+    monkeypatch.setattr(nd, "stored", watched)
+    monkeypatch.setattr(nd, "index_keys", lambda shingles, freq, percent: shingles)  # every shared shingle is a key
+    got = components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert set(made["jaccard-groups"]) == {i for i, _ in rows} and set(made["jaccard-shingles"]) == {100, 101}
+    assert {d for d, c in got.items() if c != d} == {101}
