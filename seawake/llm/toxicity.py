@@ -40,6 +40,7 @@ THRESHOLDS = (1, 2, 3, 4, 5, 6, 8)
 
 _letters = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 _word = re.compile(rb"[^\x00-\x60\x7b-\x7f]+")
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def windows(text: bytes) -> list[bytes]:
@@ -69,21 +70,36 @@ def windows(text: bytes) -> list[bytes]:
 
 
 def _beginnings(word: bytes) -> list[bytes]:
-    return [word[:n] if n < len(word) else word + b" " for n in {min(len(word), k) for k in (5, 6, 7, 8, 10)}]
+    return [word[:n] if n < len(word) else word + b" " for n in sorted({min(len(word), k) for k in (5, 6, 7, 8, 10)})]
 
 
 def _surroundings(texts: list[bytes], only: dict | None = None) -> dict[bytes, int]:
-    """For each beginning of a word (in ``only``) the number of different neighbour pairs it was seen between."""
-    seen = collections.defaultdict(set)
-    for text in texts:
-        words = [b"", *_word.findall(text), b""]
-        for before, word, after in zip(words, words[1:], words[2:]):
-            if len(word) >= 4:
-                pair = hash((before, after))
-                for b in _beginnings(word):
-                    if only is None or b in only:
-                        seen[b].add(pair)
-    return {b: len(pairs) for b, pairs in seen.items()}
+    """For each beginning of a word (in ``only``) the number of different neighbour pairs it was seen between.
+
+    Words are numbered and pairs hashed, so what the driver holds are a few arrays as long as the texts have words.
+    """
+    ids: dict[bytes, int] = {b"": 0}  # the empty word lies between texts
+    rows = [np.array([ids.setdefault(w, len(ids)) for w in (*_word.findall(t), b"")], np.int32) for t in texts]
+    flat = np.concatenate([np.zeros(1, np.int32), *rows])
+    del rows
+    place: dict[bytes, int] = {} if only is None else {b: i for i, b in enumerate(only)}
+    begin = np.full((len(ids), 5), -1, np.int32)
+    for word, i in ids.items():
+        if len(word) >= 4:
+            found = [place.setdefault(b, len(place)) if only is None else place.get(b, -1) for b in _beginnings(word)]
+            begin[i, : len(found)] = found
+    del ids
+    word = flat[1:-1]
+    pair = flat[:-2].astype(np.uint64) * _M1 + flat[2:].astype(np.uint64) * _M2
+    pair = (pair ^ (pair >> np.uint64(32))) * _M1
+    bits = np.uint64(max(1, len(place).bit_length()))
+    counts = np.zeros(len(place), np.int64)
+    for c in range(5):  # a beginning of so many letters is always in the same column
+        own = begin[word, c]
+        at = np.flatnonzero(own >= 0)
+        seen = np.unique((own[at].astype(np.uint64) << (np.uint64(64) - bits)) | (pair[at] >> bits))
+        counts += np.bincount((seen >> (np.uint64(64) - bits)).astype(np.int64), minlength=len(place))
+    return {b: n for b, n in zip(place, counts.tolist()) if n}
 
 
 def toxic_dictionary(toxic: list[bytes], ordinary: list[bytes], odds: float = 6, least: int = 6, size: int = TOXIC_DICT) -> bytes:

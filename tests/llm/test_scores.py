@@ -145,3 +145,28 @@ def test_a_wide_toxic_vocabulary_is_kept():
     assert len(set(marked) & found) > 0.95 * len(set(marked))
     assert len(found - set(marked)) < 0.05 * len(found)
     assert tx.toxic_dictionary(toxic, ordinary, size=1000) == whole[-1000:]
+
+
+def test_surroundings_are_counted_in_little_memory():
+    """What the driver holds grows with the words by few bytes, not by an entry of a set for each beginning."""
+    import tracemalloc
+
+    r = random.Random(3)
+    vocabulary = [bytes(r.choices(range(97, 123), k=r.randint(3, 12))) for _ in range(3000)]
+    texts = [b" ".join(r.choices(vocabulary, k=1000)) for _ in range(150)]
+    tracemalloc.start()
+    got = tx._surroundings(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 * 150_000
+    want = collections.defaultdict(set)
+    for text in texts[:20]:
+        words = [b"", *text.split(), b""]
+        for before, word, after in zip(words, words[1:], words[2:]):
+            for b in tx._beginnings(word) if len(word) >= 4 else ():
+                want[b].add((before, after))
+    some = tx._surroundings(texts[:20])
+    assert some == {b: len(pairs) for b, pairs in want.items()}
+    only = dict.fromkeys(list(some)[::3])
+    assert tx._surroundings(texts[:20], only) == {b: some[b] for b in only}
+    assert set(some) <= set(got) and tx._surroundings([]) == {}
