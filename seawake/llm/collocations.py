@@ -12,9 +12,11 @@ as sorted runs of ``(lang, phrase, n)``.  Word ids are the task's own; runs hold
 and summed there.  No sample of the runs is needed for that, so they are shuffled as they leave the tries, written
 nowhere else.  Only phrases with ``least`` occurrences go on.
 
-*Levels.*  A phrase is no more frequent than its parts.  So words are counted first, then pairs of frequent words,
-then longer phrases all of whose pairs are frequent.  Tasks know the frequent words and pairs from two
-bit fields of fixed size; where those err by a shared bit, a phrase more is counted, and the merge drops it.
+*Levels.*  A phrase is no more frequent than its parts.  So words are counted first, then which pairs of frequent words
+are frequent, then phrases all of whose pairs are.  Most pairs are rare, so they are not counted in the tries: tasks
+sort hashes of pairs, and what is shuffled and summed are their upper ``KEY`` bits, some bytes each.  Tasks know the frequent
+words and pairs from two bit fields of fixed size; where those err by a shared bit, or two pairs share a hash, a phrase
+more is counted, and the merge drops it.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -43,6 +46,7 @@ class Limits:
     rows: int = 50_000  # rows of a run that leave a task at once
     text: int = 1 << 20  # bytes of text counted at once
     bits: int = 25  # of the fields of frequent words and pairs, as a power of two
+    hashes: int = 4_000_000  # pairs a task holds before their hashes leave it
 
 
 LIMITS = Limits()
@@ -54,6 +58,8 @@ _fold = bytes(
 )
 #: words of the prefix that phrases are dealt by; below one lie two levels of the trie at most
 PREFIX = 3
+#: bits of a pair's hash that are summed, and how many of them, the first, tell the range it is summed in
+KEY, RANGE = 42, 10
 #: stands between pieces; no UTF-8 text holds this byte
 _END = b"\xff"
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -83,19 +89,93 @@ def _on(field: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
     return (field[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
 
 
-def frequent_field(phrases: DataFrame, bits: int) -> np.ndarray:
-    """The bits of words or pairs ``lang, phrase``, put together by Spark."""
+def frequent_field(words: DataFrame, bits: int) -> np.ndarray:
+    """The bits of words ``lang, phrase``, put together by Spark."""
 
     def run(batches):
         for batch in batches:
             langs, texts = (batch.column(i).to_pylist() for i in range(2))
-            split = [p.encode().split(b" ") for p in texts]
-            hashes = [np.array([word_hash(g, s[i]) for g, s in zip(langs, split)], np.uint64) for i in (0, -1)]
-            single = np.array([len(s) == 1 for s in split], bool)
-            h = np.where(single, hashes[0], pair_hashes(*hashes))
+            h = np.array([word_hash(g, w.encode()) for g, w in zip(langs, texts)], np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(_places(h, bits))], names=["i"])
 
-    return folded_bits(phrases.select("lang", "phrase").mapInArrow(run, "i long"), 1 << bits)
+    return folded_bits(words.select("lang", "phrase").mapInArrow(run, "i long"), 1 << bits)
+
+
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """Columns of 32 bits, the bytes of one significance together."""
+    planes = [np.ascontiguousarray(c.astype("<u4").view(np.uint8).reshape(-1, 4).T) for c in columns]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in planes))
+
+
+def _unpacked(data: bytes, columns: int) -> list[np.ndarray]:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(columns, 4, -1)
+    return [np.ascontiguousarray(c.T).view("<u4").ravel() for c in flat]
+
+
+def pair_sums(hashes: np.ndarray, most: int):
+    """``(range, data)`` of the pairs hashed: the rest of each key, in order, as differences, and its times, ``most`` at most."""
+    keys, times = np.unique(hashes >> np.uint64(64 - KEY), return_counts=True)
+    where = (keys >> np.uint64(KEY - RANGE)).astype(np.int64)
+    rest = (keys & np.uint64((1 << (KEY - RANGE)) - 1)).astype(np.uint32)
+    for at in np.split(np.arange(len(keys)), np.flatnonzero(np.diff(where)) + 1) if len(keys) else ():
+        yield int(where[at[0]]), _packed([np.diff(rest[at], prepend=np.uint32(0)), np.minimum(times[at], most)])
+
+
+def _frequent_keys(least: int, bits: int):
+    """The places in a field of ``bits`` of the keys of a range that occur ``least`` times in all."""
+
+    def run(key, table):
+        parts = [_unpacked(d, 2) for d in table.column("data").to_pylist()]
+        rest = np.concatenate([np.cumsum(r, dtype=np.uint32) for r, _ in parts])
+        times = np.concatenate([t for _, t in parts]).astype(np.int64)
+        order = np.argsort(rest, kind="stable")
+        rest = rest[order]
+        starts = np.flatnonzero(np.r_[True, np.diff(rest) != 0])
+        found = rest[starts[np.add.reduceat(times[order], starts) >= least]].astype(np.int64)
+        places = (found + (key[0].as_py() << (KEY - RANGE))) >> (KEY - bits)
+        return pa.table({"i": pa.array(np.unique(places))})
+
+    return run
+
+
+def frequent_pairs(docs: DataFrame, least: int, limits: Limits, words: np.ndarray) -> np.ndarray:
+    """The bits of the pairs of frequent words that occur ``least`` times."""
+    field = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches):
+        ids: dict[str, _Ids] = {}
+        known: dict[str, np.ndarray] = {}
+        held, n = [], 0
+
+        def batch_of():
+            rows = list(pair_sums(np.concatenate(held), least))
+            arrays = [pa.array([r for r, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())]
+            return pa.RecordBatch.from_arrays(arrays, names=["range", "data"])
+
+        for batch in batches:
+            for part in byte_slices(batch, 1, limits.text):
+                by: dict[str, list[bytes]] = {}
+                for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    by.setdefault(lang, []).append(text)
+                for lang, texts in by.items():
+                    if sum(map(len, ids.values())) > limits.words:
+                        ids.clear()
+                    if lang not in ids:
+                        ids[lang], known[lang] = _Ids(lang, field.value, limits.bits), np.zeros(0, np.uint64)
+                    own, split = ids[lang], words_of(b"\n".join(texts))
+                    at = np.fromiter(map(own.__getitem__, split), np.int64, len(split))
+                    known[lang] = np.r_[known[lang], np.array(own.hashes[len(known[lang]) :], np.uint64)]
+                    i = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0))
+                    held.append(pair_hashes(known[lang][at[i]], known[lang][at[i + 1]]))
+                    n += len(i)
+                if n > limits.hashes:
+                    yield batch_of()
+                    held, n = [], 0
+        if n:
+            yield batch_of()
+
+    sums = docs.mapInArrow(run, "range int, data binary")
+    return folded_bits(sums.groupBy("range").applyInArrow(_frequent_keys(least, limits.bits), "i long"), 1 << limits.bits)
 
 
 class PhraseTrie:
@@ -199,7 +279,7 @@ class _Counts:
         self.trie = PhraseTrie(self.limits.burst)
 
     def add(self, text: bytes) -> None:
-        """Count a text; with neither field its words, with one the pairs, with both the longer phrases."""
+        """Count a text; without the fields its words, with them its phrases of two words and more."""
         words = words_of(text)
         at = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
         if self.fields[0] is None:
@@ -208,17 +288,12 @@ class _Counts:
             self.counts = n
             return
         good = (at[:-1] >= 0) & (at[1:] >= 0)
-        if self.fields[1] is None:
-            i = np.flatnonzero(good)
-            if len(i):
-                self.trie.add(np.c_[at[i], at[i + 1]])
-            return
         self.hashes = np.r_[self.hashes, np.array(self.ids.hashes[len(self.hashes) :], np.uint64)]
         i = np.flatnonzero(good)
         good[i] = _on(self.fields[1], pair_hashes(self.hashes[at[i]], self.hashes[at[i + 1]]), self.limits.bits)
         run = good  # run[i]: all pairs of the words from i on are frequent
-        for k in range(3, self.longest + 1):
-            run = run[:-1] & good[k - 2 :]
+        for k in range(2, self.longest + 1):
+            run = run[: len(at) - k + 1] & good[k - 2 :]
             i = np.flatnonzero(run)
             if not len(i):
                 break
@@ -310,10 +385,7 @@ def phrase_counts(
     counts = words = _merged(runs, least)
     field = frequent_field(words, limits.bits)
     if longest > 1:
-        pairs = _merged(_runs(body, longest, limits, field), least)
-        counts = counts.unionByName(pairs)
-    if longest > 2:
-        counts = counts.unionByName(_merged(_runs(body, longest, limits, field, frequent_field(pairs, limits.bits)), least))
+        counts = counts.unionByName(_merged(_runs(body, longest, limits, field, frequent_pairs(body, least, limits, field)), least))
     return counts, totals
 
 

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from decimal import Decimal
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -108,3 +109,30 @@ def test_query(spark):
     sf = SF.replace("sf0.001", "sf0.01")
     got = QUERIES["op13_collocations"](spark, sf).toPandas()
     assert len(got) > 50 and compare(got, connect(sf).execute(ORACLE["op13_collocations"]).df()) == "ok"
+
+
+def test_sums_of_pairs_find_the_frequent_ones():
+    """Summed over tasks, by range; every pair that is frequent in all of them together is found."""
+    r = np.random.default_rng(4)
+    pairs = r.integers(0, 1 << 63, 3000).astype(np.uint64) * np.uint64(2)
+    parts = [r.choice(pairs, 4000, p=np.arange(1, 3001) / np.arange(1, 3001).sum()) for _ in range(3)]
+    rows = [row for part in parts for row in co.pair_sums(part, 5)]
+    got = set()
+    for key in {k for k, _ in rows}:
+        table = pa.table({"data": pa.array([d for k, d in rows if k == key], pa.binary())})
+        got |= set(co._frequent_keys(5, 40)([pa.scalar(key)], table).column("i").to_pylist())
+    times = Counter(np.concatenate(parts).tolist())
+    assert got == {h >> 24 for h, n in times.items() if n >= 5} and list(co.pair_sums(parts[0][:0], 5)) == []
+
+
+def test_rare_pairs_leave_no_task(spark, monkeypatch):
+    """Frequent words whose pairs are rare: the tries are given the frequent pairs alone."""
+    r = random.Random(2)
+    text = " ".join(r.choices([f"w{i}" for i in range(40)], k=2000)) + " left right" * 60
+    df = spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string")
+    made, runs = [], co._runs
+    monkeypatch.setattr(co, "_runs", lambda *a, **k: made.append(runs(*a, **k)) or made[-1])
+    counts = co.phrase_counts(df, least=30)[0].collect()
+    held = {x.phrase for out in made for x in out.collect() if " " in x.phrase}
+    assert {"left right", "right left", "left right left right left"} <= {x.phrase for x in counts}
+    assert not any("w" in p for p in held)
