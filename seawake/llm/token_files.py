@@ -32,8 +32,10 @@ from pyspark.sql.window import Window as W
 
 from seawake.llm.common import load_tokenizer, shuffle_width, slices, stored, utf8
 
-#: distinct pieces a Python worker remembers before it starts afresh; bounds its memory
+#: distinct pieces a Python worker remembers before it forgets those it met once; bounds its memory
 MEMO_PIECES = 500_000
+#: new pieces that are encoded in one text
+JOINED = 64
 
 # A text with any of these is encoded whole: white space next to white space, at the ends or outside
 # ASCII, the separator byte used below, and anything that looks like a special token.
@@ -63,59 +65,109 @@ def pieces_of(text: bytes) -> list[bytes]:
     return marked.replace(b".\0", b"\0.\0").replace(b",\0", b"\0,\0").split(b"\0")
 
 
+class _Index(dict):
+    """Numbers of pieces in the order they are met; those not yet encoded are in ``fresh``."""
+
+    def __init__(self, pieces=()):
+        super().__init__(zip(pieces, range(len(pieces))))
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, piece: bytes) -> int:
+        self.fresh.append(piece)
+        i = self[piece] = len(self)
+        return i
+
+
 class PieceIds:
     """Ids of pieces a byte-level BPE tokenizer encodes independently, remembered per worker.
 
     Its pre-tokenizer cuts before a single space that has no white space beside it (the space
     opens the next piece) and on both sides of a single line break, and merges never cross a
     cut.  It also cuts between a letter and the full stop or comma that ends a piece.  So each
-    distinct piece is encoded once and a text is put together from its pieces.
+    distinct piece is encoded once and a text is put together from its pieces.  New pieces are encoded
+    many at a time, with line breaks between, whose id occurs in no piece.
     """
 
     def __init__(self, path: str):
         self.tk = load_tokenizer(path)
+        self.line = np.array(self.tk.encode("\n", add_special_tokens=False).ids, np.uint32)
         self._reset()
 
     def _reset(self):
-        self.index: dict[bytes, int] = {}
+        self.index = _Index([b"\n"])
         self.starts = np.zeros(1 << 16, np.int64)
         self.lengths = np.zeros(1 << 16, np.int64)
+        self.uses = np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.uint32)
         self.used = 0
+        self._put(0, np.array([len(self.line)]), self.line)
 
-    def _learn(self, pieces: list[bytes]) -> None:
+    def _forget(self) -> None:
+        """Keep the pieces met more than once since the last time, if they are half of what may be held at most."""
+        known, keep = list(self.index), np.flatnonzero(self.uses[1 : len(self.index)] > 1) + 1
+        starts, lengths, flat = self.starts, self.lengths, self.flat
+        self._reset()
+        if len(keep) <= MEMO_PIECES // 2:
+            self.index = _Index([known[0], *(known[k] for k in keep)])
+            self._put(1, lengths[keep], _gathered(flat, starts[keep], lengths[keep]))
+
+    def _put(self, n: int, lengths: np.ndarray, ids: np.ndarray) -> None:
+        """The ids of the pieces from number ``n`` on."""
+        end = n + len(lengths)
+        self.starts, self.lengths, self.uses = (_grown(a, end) for a in (self.starts, self.lengths, self.uses))
+        self.flat = _grown(self.flat, self.used + len(ids))
+        self.starts[n:end] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[n:end] = lengths
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def _learn(self) -> None:
+        pieces, self.index.fresh = self.index.fresh, []
+        n = len(self.index) - len(pieces)
         for at in range(0, len(pieces), 20_000):
             part = pieces[at : at + 20_000]
-            got = [e.ids for e in self.tk.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)]
-            lengths = np.fromiter(map(len, got), np.int64, len(got))
-            new = np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum()))
-            n = len(self.index)
-            self.starts = _grown(self.starts, n + len(part))
-            self.lengths = _grown(self.lengths, n + len(part))
-            self.flat = _grown(self.flat, self.used + len(new))
-            self.starts[n : n + len(part)] = self.used + np.cumsum(lengths) - lengths
-            self.lengths[n : n + len(part)] = lengths
-            self.flat[self.used : self.used + len(new)] = new
-            self.used += len(new)
-            self.index.update(zip(part, range(n, n + len(part))))
+            self._put(n + at, *(self._together(part) or self._apart(part)))
+
+    def _encoded(self, texts: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tk.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def _apart(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        got = self._encoded(pieces)
+        lengths = np.fromiter(map(len, got), np.int64, len(got))
+        return lengths, np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum()))
+
+    def _together(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Lengths and ids, or None if line breaks do not part the pieces."""
+        got = self._encoded([b"\n".join(pieces[i : i + JOINED]) for i in range(0, len(pieces), JOINED)])
+        flat = np.concatenate([x for ids in got for x in (np.array(ids, np.uint32), self.line)])
+        ends = np.flatnonzero(flat == self.line[0])
+        if len(self.line) != 1 or len(ends) != len(pieces):
+            return None
+        return np.diff(ends, prepend=-1) - 1, flat[flat != self.line[0]]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.index) > MEMO_PIECES:
-            self._reset()
+            self._forget()
         split = [None if odd(t) else pieces_of(t) for t in texts]
-        fresh = set().union(*(s for s in split if s is not None)).difference(self.index)
-        self._learn(list(fresh))
-        return [self._whole(t) if s is None else self._joined(s) for t, s in zip(texts, split)]
+        sizes = [0 if s is None else len(s) for s in split]
+        pieces = chain.from_iterable(s for s in split if s is not None)
+        at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, sum(sizes))
+        self._learn()
+        uses = np.bincount(at)
+        self.uses[: len(uses)] += uses
+        lengths = self.lengths[at]
+        flat = _gathered(self.flat, self.starts[at], lengths)
+        ends = np.r_[0, np.cumsum(lengths)][np.r_[0, np.cumsum(sizes)]].tolist()
+        return [self._whole(t) if s is None else flat[a:b] for t, s, a, b in zip(texts, split, ends, ends[1:])]
 
     def _whole(self, text: bytes) -> np.ndarray:
         return np.array(self.tk.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
 
-    def _joined(self, pieces: list[bytes]) -> np.ndarray:
-        at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
-        lengths = self.lengths[at]
-        before = np.cumsum(lengths) - lengths
-        take = np.repeat(self.starts[at] - before, lengths)
-        return self.flat[take + np.arange(len(take))]
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` behind each other."""
+    take = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+    return flat[take + np.arange(len(take))]
 
 
 def _grown(a: np.ndarray, need: int) -> np.ndarray:

@@ -134,3 +134,18 @@ def test_failed_borders_of_copies_are_seen(spark, tmp_path, monkeypatch, copies)
     got = token_counts.count_tokens(docs, str(path), huge_chars=1500, chunk_chars=1000, overlap=66).collect()
     assert [r.n_tokens for r in got] == [len(library(str(path), text))] * copies == [1500] * copies
     assert len(rounds) == 2
+
+
+def test_pieces_are_learned_together_and_known_ones_kept(monkeypatch):
+    """New pieces go to the library many in a text; those met again survive when the memo is full."""
+    monkeypatch.setattr(token_files, "MEMO_PIECES", 60)
+    pieces = token_files.PieceIds(BYTE)
+    learned, texts, encode = [], [], pieces._encoded
+    monkeypatch.setattr(pieces, "_encoded", lambda t: texts.extend(t) or encode(t))
+    together = pieces._together
+    monkeypatch.setattr(pieces, "_together", lambda p: learned.extend(p) or together(p))
+    for i in range(10):
+        text = "again and again\nand again " + " ".join(f"new{chr(97 + i)}{chr(97 + k)}" for k in range(20))
+        assert pieces.encode([text.encode()])[0].tolist() == library(BYTE, text)
+    assert learned.count(b" again") == 1 and learned.count(b"\n") == 0 and len(learned) == 204
+    assert len(texts) == 10
