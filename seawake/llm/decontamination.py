@@ -25,9 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seawake.llm.common import slices, stored, utf8
+from seawake.llm.common import slices, small_batches, stored, utf8
 from seawake.llm.ids import drop_ids, folded_bits
-from seawake.llm.near_duplicates import _mix, hash_words
+from seawake.llm.near_duplicates import _mix, forget_words, hash_words
 
 MASKS = ("1111011", "11001000111", "11010110001")
 #: masks of shorter items: from, to how many words, and the masks; 13 and 14 words have those above
@@ -148,6 +148,7 @@ def _regions(field, masks: tuple[int, ...], window: int):
                 if rows:
                     arrays = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
                     yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text", "start", "cut", "words", "hits"])
+        forget_words()
 
     return run
 
@@ -249,6 +250,7 @@ def benchmark_overlaps(
     NULL or empty overlap nothing; rows without id have no name to be given and are left to ``decontaminate``.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), utf8().alias("body"))
     own = items.mapInArrow(_item_seeds(window, shortest), "h long, item_id long, i int, mask int, same long")
     if not every:

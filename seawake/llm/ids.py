@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seawake.llm.common import small_batches
+
 ID_BITS = 16_777_213
 #: words of a field that travel to the driver in one row
 ROW_WORDS = 1 << 13
@@ -51,6 +53,7 @@ def has_bit(field: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 def with_bit(df: DataFrame, column: str, field: np.ndarray, on: bool = True) -> DataFrame:
     """The rows of ``df`` whose id has its bit set, or with ``on=False`` the others; NULL ids count as 0."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(field)
 
     def run(batches):

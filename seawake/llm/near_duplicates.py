@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from seawake.llm.common import shuffle_width, slices, stored, utf8
+from seawake.llm.common import shuffle_width, slices, small_batches, stored, utf8
 from seawake.llm.components import connected
 from seawake.llm.ids import drop_ids, has_bit, id_bits, with_bit
 
@@ -88,6 +88,11 @@ def hash_words(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_memo.__getitem__, words), np.uint64, len(words))
 
 
+def forget_words() -> None:
+    """At the end of a task: the worker lives on, beside those of later stages."""
+    _memo.clear()
+
+
 def shingle_set(text: bytes, width: int) -> np.ndarray:
     """Sorted hashes of the distinct shingles; a text with fewer words is one shingle, without words none."""
     w = word_hashes(text)
@@ -170,7 +175,7 @@ def _describe(width: int):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
         if held:
             count()
-        _memo.clear()  # the worker lives on, and the sketch is packed next
+        forget_words()  # the sketch is packed next
         packer = zstandard.ZstdCompressor(level=1)
         rows = [
             (i, packer.compress(sketch[at : at + SKETCH_ROW].tobytes()))
@@ -262,6 +267,7 @@ def _index(width: int, percent: int, freq, skip=None):
                 for at in range(0, len(flat), 100_000):
                     cut = slice(at, at + 100_000)
                     yield pa.RecordBatch.from_arrays([pa.array(c[cut]) for c in (flat, docs, n)], names=["key", "doc", "n"])
+        forget_words()
 
     return run
 
@@ -273,6 +279,7 @@ def _sets(width: int, bits):
             for ids, texts in slices(batch, "doc_id", "body"):
                 sets = [shingle_set(t, width).tobytes() for t in texts]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["doc", "shingles"])
+        forget_words()
 
     return run
 
@@ -449,6 +456,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     if percent < 70:
         raise ValueError("the size ranges of TIERS hold for similarities from 70 %")
     spark = docs.sparkSession
+    small_batches(spark)
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("body"))
     seen = stored(
         body.mapInArrow(_describe(width), "doc_id long, n long, f1 long, f2 long, signature binary, row int, counts binary"),
@@ -487,6 +495,8 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     found = found.select("key", F.explode(F.array(size, size + 1)).alias("size"), "doc")
     found = found.withColumns(ends(W.partitionBy("key", "size"))).where("d0 <> d1")
     groups = stored(found.select(F.col("d0").alias("lead"), "doc").distinct(), "jaccard-groups")
+    freq.unpersist()
+    skip.unpersist()
     bits = id_bits(groups.select("doc"))
     marks = seen.where("row is null and doc_id is not null and n > 1").select(F.col("doc_id").alias("doc"), "n", "signature")
     marks = stored(with_bit(marks, "doc", bits), "jaccard-signatures")

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seawake.llm.common import slices, utf8
+from seawake.llm.common import slices, small_batches, utf8
 
 #: bytes after which a window is closed
 WINDOW = 48
@@ -241,6 +241,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     A ``score`` column of the input is replaced.  Without labels of both classes every text scores
     the share of toxic labels (0 without any).
     """
+    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c != "score"]
     # the given columns travel in one, so that none can clash with the text beside them
     packed = docs.select(F.struct(*keep).alias("row"), utf8().alias("body"))
